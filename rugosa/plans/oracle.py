@@ -233,6 +233,7 @@ def _yj(x: str, lam: float) -> str:
 def _yj_col(x: str, lam: str) -> str:
     """Yeo-Johnson with a lambda column (no exact 0 / 2 cases on our grids
     except the literal ones, handled by CASE)."""
+    x = f"({x})"
     return (f"(CASE WHEN {x} >= 0 THEN (CASE WHEN abs({lam}) < 2.220446049250313e-16 THEN ln(1.0::DOUBLE + {x}) "
             f"ELSE (power({x} + 1.0::DOUBLE, {lam}) - 1.0::DOUBLE) / {lam} END) "
             f"ELSE (CASE WHEN abs({lam} - 2.0::DOUBLE) > 2.220446049250313e-16 "
@@ -241,6 +242,7 @@ def _yj_col(x: str, lam: str) -> str:
 
 
 def _yj_inv_col(t: str, lam: str) -> str:
+    t = f"({t})"
     return (f"(CASE WHEN {t} >= 0 THEN (CASE WHEN abs({lam}) < 2.220446049250313e-16 THEN exp({t}) - 1.0::DOUBLE "
             f"ELSE power({t} * {lam} + 1.0::DOUBLE, 1.0::DOUBLE / {lam}) - 1.0::DOUBLE END) "
             f"ELSE (CASE WHEN abs({lam} - 2.0::DOUBLE) > 2.220446049250313e-16 "
