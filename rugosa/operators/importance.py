@@ -51,24 +51,23 @@ def permutation_importance(df: DataFrame, key: str, features: Sequence[str], tar
     feats = list(features)
     base_cols = {f: F.col(f) for f in feats}
     y = F.col(target)
-    base = df.select(key, *feats, target)
+    # one shuffle by bucket; both windows below are clustered by a superset
+    # of the bucket and reuse it, and the explode runs after it in parallel
+    base = df.select(key, *feats, target).withColumn("_bk", _bucket(key, seed, hex_digits)).repartition("_bk")
     ka = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    d = base.withColumn("_bk", _bucket(key, seed, hex_digits)).withColumn(
-        "_ra", F.row_number().over(Window.partitionBy("_bk").orderBy(ka)))
-    grid = F.array(*[F.struct(F.lit(r).alias("rep"), F.lit(j).alias("feat"))
-                     for r in range(n_repeats) for j in range(len(feats))])
-    ex = d.select("*", F.inline(grid))
+    # receivers: one row per input row, position ``_ra`` inside its bucket
+    d = base.withColumn("_ra", F.row_number().over(Window.partitionBy("_bk").orderBy(ka)))
+    # donors: the exploded side stays narrow -- (rep, feat, bucket, rank, value)
+    grid = F.array(*[F.struct(F.lit(r).alias("rep"), F.lit(j).alias("feat"), F.col(f).alias("_pv"))
+                     for r in range(n_repeats) for j, f in enumerate(feats)])
+    narrow = base.select(key, "_bk", F.inline(grid))
     kb = F.md5(F.concat(F.lit(f"{seed}:"), F.col("rep").cast("string"), F.lit(":"),
                         F.col("feat").cast("string"), F.lit(":"), F.col(key).cast("string")))
-    value_of_feat = F.col(feats[0])
-    for j, f in enumerate(feats[1:], start=1):
-        value_of_feat = F.when(F.col("feat") == j, F.col(f)).otherwise(value_of_feat)
-    donors = ex.select(
-        "rep", "feat", "_bk",
-        F.row_number().over(Window.partitionBy("rep", "feat", "_bk").orderBy(kb)).alias("_ra"),
-        value_of_feat.alias("_pv"),
+    donors = narrow.select(
+        "rep", "feat", "_bk", "_pv",
+        F.row_number().over(Window.partitionBy("_bk", "rep", "feat").orderBy(kb)).alias("_ra"),
     )
-    paired = ex.join(donors, on=["rep", "feat", "_bk", "_ra"], how="inner")
+    paired = d.join(donors, on=["_bk", "_ra"], how="inner")
     swapped = {f: F.when(F.col("feat") == j, F.col("_pv")).otherwise(F.col(f)) for j, f in enumerate(feats)}
     per_rep_aggs, base_aggs = [], []
     for i, fn in enumerate(scorers.values()):
@@ -77,7 +76,7 @@ def permutation_importance(df: DataFrame, key: str, features: Sequence[str], tar
         db = fn(base_cols) - y
         base_aggs.append(F.avg(db * db).alias(f"_b{i}"))
     per_rep = paired.groupBy("rep", "feat").agg(*per_rep_aggs)
-    baseline = base.agg(*base_aggs).select(F.struct(*[f"_b{i}" for i in range(len(scorers))])).scalar()
+    baseline = df.agg(*base_aggs).select(F.struct(*[f"_b{i}" for i in range(len(scorers))])).scalar()
     diffs = per_rep.select(
         "rep", "feat",
         F.inline(F.array(*[
