@@ -26,6 +26,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -245,6 +247,35 @@ def _huber_eps(r: np.ndarray, eps: np.ndarray, delta: float):
     return loss, d
 
 
+# Executor-side cache of projected features per distinct input, valid for one
+# fit (keyed by its token). Python workers are reused across tasks, so the
+# feature pipeline runs once per input per worker instead of once per L-BFGS
+# pass; a lost worker just recomputes.
+_PROJ_CACHE: dict = {}
+_PROJ_CACHE_MAX = 2_000_000
+
+
+def _cached_projection(token: str, d: int, s: int, uniq: np.ndarray, compute) -> np.ndarray:
+    cache = _PROJ_CACHE.setdefault((token, d, s), {})
+    keys = [r.tobytes() for r in uniq]
+    missing = [i for i, k in enumerate(keys) if k not in cache]
+    if missing:
+        vals = compute(np.asarray(missing))
+        if sum(len(c) for c in _PROJ_CACHE.values()) + len(missing) > _PROJ_CACHE_MAX:
+            _PROJ_CACHE.clear()
+            cache = _PROJ_CACHE.setdefault((token, d, s), {})
+            return _cached_or_direct(keys, missing, vals, cache, compute)
+        for i, v in zip(missing, vals):
+            cache[keys[i]] = v
+    return np.stack([cache[k] for k in keys])
+
+
+def _cached_or_direct(keys, missing, vals, cache, compute):
+    if len(missing) == len(keys):
+        return vals
+    return compute(np.arange(len(keys)))
+
+
 def _svr_pass_fn(model_like, thetas: np.ndarray, n_splits: int, delta: float):
     specs, problems = model_like["specs"], model_like["problems"]
     preps, target, proj, phase = model_like["preps"], model_like["target"], model_like["proj"], model_like["phase"]
@@ -256,18 +287,18 @@ def _svr_pass_fn(model_like, thetas: np.ndarray, n_splits: int, delta: float):
     C = np.array([specs[t].C for t, _ in problems])
     EPS = np.array([specs[t].epsilon for t, _ in problems])
 
+    token = model_like["token"]
+
     def fn(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
         uniq, inv = _unique_inputs(pdf)
         y = pdf["y"].to_numpy(np.float64)
         fold = pdf["fold"].to_numpy()
-        eng = engineered_np(uniq)
-        polys = {}
         out = {}
         for (d, s), ms in by_ds.items():
-            if d not in polys:
-                polys[d] = poly_np(eng, d)
-            z = preps[d].transform(polys[d], s)
-            base = z @ proj[d].T                             # (u, D)
+            def compute(idx, d=d, s=s):
+                z = preps[d].transform(poly_np(engineered_np(uniq[idx]), d), s)
+                return z @ proj[d].T
+            base = _cached_projection(token, d, s, uniq, compute)   # (u, D)
             rows = (fold != s) if s < n_splits else np.ones(len(y), bool)
             if not rows.any():
                 continue
@@ -328,7 +359,7 @@ def fit_svr(rows: DataFrame, preps: dict[int, Prep], target: TargetPrep, specs:
                      np.zeros((M, D + 1)), np.zeros(M), 0)
     gammas = np.array([model.gamma(t, s) for t, s in problems])
     ctx = {"specs": model.specs, "problems": problems, "preps": preps, "target": target,
-           "proj": proj, "phase": phase, "gammas": gammas}
+           "proj": proj, "phase": phase, "gammas": gammas, "token": uuid.uuid4().hex}
     data = rows.select(*INPUTS, "y", "fold")
 
     def evaluate(th):
@@ -453,32 +484,44 @@ def score_rows(rows: DataFrame, svr: SVRModel | None, gp: GPModel | None, key: s
 
 def pooled_trial_mse(rows: DataFrame, svr: SVRModel | None = None, gp: GPModel | None = None,
                      n_specs: int = 0, n_splits: int = SETTINGS.n_splits) -> np.ndarray:
-    """A10 for a whole study: pooled out-of-fold MSE of every spec, one pass."""
+    """A10 for a whole study: pooled out-of-fold MSE of every spec in one
+    pass. SVR trials of one degree share the projection of every split."""
+    token = uuid.uuid4().hex
 
     def fn(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
         uniq, inv = _unique_inputs(pdf)
         fold = pdf["fold"].to_numpy()
         y = pdf["y"].to_numpy(np.float64)
-        eng = engineered_np(uniq)
-        polys = {}
         sse = np.zeros(n_specs)
         for s in range(n_splits):
             sel = fold == s
             if not sel.any():
                 continue
             used, local = np.unique(inv[sel], return_inverse=True)
-            for t in range(n_specs):
-                if svr is not None:
-                    d = svr.specs[t].poly_degree
-                    if d not in polys:
-                        polys[d] = poly_np(eng, d)
-                    pred = svr_predict_np(svr, t, s, eng[used], {d: polys[d][used]})
-                else:
-                    d = gp.prep.degree
-                    if d not in polys:
-                        polys[d] = poly_np(eng, d)
-                    pred, _ = gp_predict_np(gp, t, s, polys[d][used], with_std=False)
-                sse[t] += np.sum((y[sel] - pred[local.ravel()]) ** 2)
+            local = local.ravel()
+            xs = uniq[used]
+            if svr is not None:
+                D = svr.phase.shape[0]
+                by_d: dict[int, list[int]] = {}
+                for t in range(n_specs):
+                    by_d.setdefault(svr.specs[t].poly_degree, []).append(t)
+                for d, ts in by_d.items():
+                    def compute(idx, d=d):
+                        z = svr.preps[d].transform(poly_np(engineered_np(xs[idx]), d), s)
+                        return z @ svr.proj[d].T
+                    base = _cached_projection(token, d, s, xs, compute)
+                    ts = np.array(ts)
+                    g = np.sqrt(2.0 * np.array([svr.gamma(t, s) for t in ts]))
+                    phi = np.sqrt(2.0 / D) * np.cos(g[:, None, None] * base[None] + svr.phase[None, None, :])
+                    th = svr.theta[[svr.index(t, s) for t in ts]]
+                    f = np.einsum("tud,td->tu", phi, th[:, :D]) + th[:, D:D + 1]
+                    pred = svr.target.inverse(f, s)
+                    sse[ts] += np.sum((y[sel][None, :] - pred[:, local]) ** 2, axis=1)
+            else:
+                poly = poly_np(engineered_np(xs), gp.prep.degree)
+                for t in range(n_specs):
+                    pred, _ = gp_predict_np(gp, t, s, poly, with_std=False)
+                    sse[t] += np.sum((y[sel] - pred[local]) ** 2)
         return {0: np.concatenate([[len(y)], sse])}
 
     v = partial_sums(rows.select(*INPUTS, "y", "fold"), fn)[0]
@@ -486,4 +529,7 @@ def pooled_trial_mse(rows: DataFrame, svr: SVRModel | None = None, gp: GPModel |
 
 
 def with_fold_rows(folded: DataFrame, target: str, key: str = "run_id") -> DataFrame:
-    return folded.select(key, *INPUTS, F.col(target).alias("y"), "fold")
+    """Rows for the model passes, hash-partitioned by input so that every
+    task sees each of its distinct inputs once (see ``spread``)."""
+    from rugosa.operators.preprocess import spread
+    return spread(folded.select(key, *INPUTS, F.col(target).alias("y"), "fold"))

@@ -60,19 +60,21 @@ def poly_np(x: np.ndarray, degree: int) -> np.ndarray:
     return out
 
 
-def yj_np(x: np.ndarray, lam: np.ndarray) -> np.ndarray:
-    """Yeo-Johnson with per-column (broadcast) lambdas."""
+def yj_np(x: np.ndarray, lam: np.ndarray, log1p_abs: np.ndarray | None = None) -> np.ndarray:
+    """Yeo-Johnson with per-column (broadcast) lambdas, written with one
+    ``expm1`` per element: for x >= 0, ((1+x)^l - 1)/l = expm1(l ln(1+x))/l;
+    for x < 0, -((1-x)^(2-l) - 1)/(2-l) = expm1((2-l) ln(1-x)) / (l-2); the
+    log branches (l = 0 for x >= 0, l = 2 for x < 0) are +-ln(1+|x|).
+    ``log1p_abs`` may be passed in when many lambdas share one ``x``."""
     x, lam = np.broadcast_arrays(np.asarray(x, dtype=np.float64), np.asarray(lam, dtype=np.float64))
     pos = x >= 0
+    L = np.log1p(np.abs(x)) if log1p_abs is None else np.broadcast_to(log1p_abs, x.shape)
+    e = np.where(pos, lam, 2.0 - lam)
+    special = np.abs(e) < _EPS
+    den = np.where(pos, lam, lam - 2.0)
     with np.errstate(all="ignore"):
-        l0 = np.abs(lam) < _EPS
-        l2 = np.abs(lam - 2.0) > _EPS
-        xp = np.where(pos, x, 0.0)
-        xn = np.where(pos, 0.0, x)
-        p = np.where(l0, np.log1p(xp), (np.power(xp + 1.0, lam) - 1.0) / np.where(l0, 1.0, lam))
-        n = np.where(l2, -(np.power(1.0 - xn, 2.0 - lam) - 1.0) / np.where(l2, 2.0 - lam, 1.0),
-                     -np.log1p(-xn))
-    return np.where(pos, p, n)
+        gen = np.expm1(e * L) / np.where(special, 1.0, den)
+    return np.where(special, np.where(pos, L, -L), gen)
 
 
 def yj_inverse_np(t: np.ndarray, lam: float) -> np.ndarray:
@@ -131,7 +133,17 @@ def input_summary(folded: DataFrame, target: str, n_splits: int = SETTINGS.n_spl
             F.sum(F.when(inf, y).otherwise(0.0)).alias(f"sy{k}"),
             F.sum(F.when(inf, y * y).otherwise(0.0)).alias(f"syy{k}"),
         ]
-    return folded.groupBy(*INPUTS).agg(*aggs)
+    summary = folded.groupBy(*INPUTS).agg(*aggs)
+    return spread(summary, INPUTS)
+
+
+def spread(df: DataFrame, keys=INPUTS, factor: int = 2) -> DataFrame:
+    """Hash-partition by ``keys`` over at least ``factor x`` the cluster's
+    parallelism. The numpy passes are CPU-bound per distinct input, so a
+    small table must not be coalesced into one task; rows of one input land
+    in one task, so features are computed once per input per task."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism * factor, 1)
+    return df.repartition(n, *keys)
 
 
 def state_weights(pdf: pd.DataFrame, n_splits: int) -> np.ndarray:
@@ -189,17 +201,19 @@ def _yj_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, grids: np
         poly = poly_np(engineered_np(pdf[list(INPUTS)].to_numpy(np.float64)), degree)
         w = state_weights(pdf, n_splits)
         out = {}
-        for s in range(S):
-            ws = w[:, s]
-            z = (poly - med[s]) / iqr[s]
-            slog = ws @ (np.sign(z) * np.log1p(np.abs(z)))
-            acc = np.empty((3, p, G))
-            for g in range(G):
-                t = yj_np(z, grids[s, :, g])
-                acc[0, :, g] = ws @ t
-                acc[1, :, g] = ws @ (t * t)
-                acc[2, :, g] = slog
-            out[s] = np.concatenate([[ws.sum()], acc.ravel()])
+        with np.errstate(all="ignore"):
+            for s in range(S):
+                ws = w[:, s]
+                z = (poly - med[s]) / iqr[s]
+                L = np.log1p(np.abs(z))
+                slog = ws @ (np.sign(z) * L)
+                acc = np.empty((3, p, G))
+                for g in range(G):
+                    t = yj_np(z, grids[s, :, g], L)
+                    acc[0, :, g] = ws @ t
+                    acc[1, :, g] = ws @ (t * t)
+                    acc[2, :, g] = slog
+                out[s] = np.concatenate([[ws.sum()], acc.ravel()])
         return out
 
     sums = partial_sums(summary, fn)
@@ -246,9 +260,9 @@ def fit_prep(summary: DataFrame, degree: int, n_splits: int = SETTINGS.n_splits)
     small passes over the distinct-input table)."""
     med, iqr = _robust_pass(summary, degree, n_splits)
     S, p = med.shape
-    lo, hi, n = SETTINGS.yj_grid
-    base = np.linspace(lo, hi, n)
-    grids = np.broadcast_to(base, (S, p, n)).copy()
+    lo, hi, _ = SETTINGS.yj_grid
+    base = np.linspace(lo, hi, 17)
+    grids = np.broadcast_to(base, (S, p, len(base))).copy()
     ll = _yj_pass(summary, degree, n_splits, med, iqr, grids)
     best = np.take_along_axis(grids, ll.argmax(axis=2)[..., None], axis=2)[..., 0]
     step = base[1] - base[0]
