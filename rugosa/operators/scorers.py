@@ -17,22 +17,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def training_means(folded: DataFrame, target: str, fold_col: str = "fold") -> DataFrame:
+def _summand(target: str, decimals: int | None):
+    """The value that is summed: the target itself, or -- for fixed-precision
+    targets -- the target in integer units of ``10**-decimals``, which makes
+    every sum exact and independent of the summation order."""
+    if decimals is None:
+        return F.col(target)
+    return F.round(F.col(target) * F.lit(10.0 ** decimals), 0).cast("long")
+
+
+def _mean(s, n, decimals: int | None):
+    m = s.cast("double") / n.cast("double")
+    return m if decimals is None else m / F.lit(10.0 ** decimals)
+
+
+def training_means(folded: DataFrame, target: str, fold_col: str = "fold",
+                   decimals: int | None = None) -> DataFrame:
     """Per fold k: mean target of rows outside fold k. At most n_splits rows."""
-    per = folded.groupBy(fold_col).agg(F.sum(target).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    tot = folded.agg(F.sum(target).alias("s"), F.count(F.lit(1)).alias("n")).select(
+    v = _summand(target, decimals)
+    per = folded.groupBy(fold_col).agg(F.sum(v).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    tot = folded.agg(F.sum(v).alias("s"), F.count(F.lit(1)).alias("n")).select(
         F.struct("s", "n")).scalar()
     return per.select(
         F.col(fold_col),
-        F.try_divide(tot["s"] - F.col("_s"), (tot["n"] - F.col("_n")).cast("double")).alias("_tm"),
+        F.when(tot["n"] - F.col("_n") > 0, _mean(tot["s"] - F.col("_s"), tot["n"] - F.col("_n"), decimals))
+        .alias("_tm"),
     )
 
 
 def oof_group_mean(folded: DataFrame, group_cols: Sequence[str], target: str, out: str,
-                   fold_col: str = "fold") -> DataFrame:
+                   fold_col: str = "fold", decimals: int | None = None) -> DataFrame:
     """Add ``out`` = out-of-fold mean of ``target`` within ``group_cols``."""
     g = folded.groupBy(*group_cols, fold_col).agg(
-        F.sum(target).alias("_gs"), F.count(F.lit(1)).alias("_gn"))
+        F.sum(_summand(target, decimals)).alias("_gs"), F.count(F.lit(1)).alias("_gn"))
     gt = g.groupBy(*group_cols).agg(F.sum("_gs").alias("_ts"), F.sum("_gn").alias("_tn"))
     stats = g.join(gt, on=list(group_cols), how="inner").select(
         *group_cols, fold_col,
@@ -40,22 +57,22 @@ def oof_group_mean(folded: DataFrame, group_cols: Sequence[str], target: str, ou
         (F.col("_tn") - F.col("_gn")).alias("_rn"),
     )
     # bounded by n_splits rows -> broadcast is safe
-    tm = F.broadcast(training_means(folded, target, fold_col))
+    tm = F.broadcast(training_means(folded, target, fold_col, decimals))
     return (
         folded.join(stats, on=[*group_cols, fold_col], how="inner")
         .join(tm, on=fold_col, how="inner")
-        .withColumn(out, F.when(F.col("_rn") > 0, F.col("_rs") / F.col("_rn").cast("double"))
+        .withColumn(out, F.when(F.col("_rn") > 0, _mean(F.col("_rs"), F.col("_rn"), decimals))
                     .otherwise(F.col("_tm")))
         .drop("_rs", "_rn", "_tm")
     )
 
 
 def oof_base_predictions(folded: DataFrame, target: str, key: str = "run_id",
-                         fold_col: str = "fold") -> DataFrame:
+                         fold_col: str = "fold", decimals: int | None = None) -> DataFrame:
     """The OOF table ``(key, fold, y, pred_svr, pred_gpr)`` from the two
     closed-form scorers: group mean by ``Vc`` and by ``(Fz, ap)``."""
-    a = oof_group_mean(folded, ["Vc"], target, "pred_svr", fold_col)
-    b = oof_group_mean(a, ["Fz", "ap"], target, "pred_gpr", fold_col)
+    a = oof_group_mean(folded, ["Vc"], target, "pred_svr", fold_col, decimals)
+    b = oof_group_mean(a, ["Fz", "ap"], target, "pred_gpr", fold_col, decimals)
     return b.select(
         F.col(key), F.col(fold_col).alias("fold"), F.col(target).alias("y"),
         "pred_svr", "pred_gpr",

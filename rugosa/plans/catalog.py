@@ -124,7 +124,7 @@ def _yj_grid():
 def q_yeo_johnson_fit(spark, sf):
     table = sc.yj_fit_table(events(spark, sf), "value", _yj_grid())
     best = sc.yj_best(table).select("lambda").scalar()
-    return table.select(r6("lambda").alias("lambda"), F.round("loglik", 4).alias("loglik"),
+    return table.select(r6("lambda").alias("lambda"), (F.round(F.col("loglik") * F.lit(1e4), 0) / F.lit(1e4)).alias("loglik"),
                         (F.col("lambda") == best).alias("best"))
 
 

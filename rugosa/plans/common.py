@@ -21,7 +21,10 @@ TARGET = "Ra_planted"
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """6-decimal rounding written as ``round(x * 1e6) / 1e6`` so that a tie is
+    decided on the same binary product in every engine."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.round(x * F.lit(1e6), 0) / F.lit(1e6)
 
 
 def round_all(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
@@ -47,7 +50,8 @@ def folded(spark: SparkSession, sf: str) -> DataFrame:
 def oof(spark: SparkSession, sf: str) -> DataFrame:
     """The out-of-fold table, pinned: blending, stacking and metrics each run
     small aggregates over it."""
-    return materialize(oof_base_predictions(folded(spark, sf), TARGET), checkpoint=True)
+    # the target has 6 decimals: group sums are exact integer micro-unit sums
+    return materialize(oof_base_predictions(folded(spark, sf), TARGET, decimals=6), checkpoint=True)
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

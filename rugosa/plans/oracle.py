@@ -13,7 +13,7 @@ SEED = 151101
 
 
 def r6(x: str) -> str:
-    return f"(round({x}, 6) + 0.0)"
+    return f"(round(({x}) * 1000000.0::DOUBLE) / 1000000.0::DOUBLE + 0.0)"
 
 
 RUN_ID = ("concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
@@ -45,20 +45,21 @@ folded AS (
   FROM binned)"""
 
 OOF = FOLDED + """,
-g1 AS (SELECT Vc, fold, sum(Ra_planted) AS gs, count(*) AS gn FROM folded GROUP BY Vc, fold),
+micro AS (SELECT *, CAST(round(Ra_planted * 1000000.0::DOUBLE) AS BIGINT) AS yi FROM folded),
+g1 AS (SELECT Vc, fold, sum(yi) AS gs, count(*) AS gn FROM micro GROUP BY Vc, fold),
 t1 AS (SELECT Vc, sum(gs) AS ts, sum(gn) AS tn FROM g1 GROUP BY Vc),
 s1 AS (SELECT g1.Vc, g1.fold, ts - gs AS rs, tn - gn AS rn FROM g1 JOIN t1 ON g1.Vc = t1.Vc),
-g2 AS (SELECT Fz, ap, fold, sum(Ra_planted) AS gs, count(*) AS gn FROM folded GROUP BY Fz, ap, fold),
+g2 AS (SELECT Fz, ap, fold, sum(yi) AS gs, count(*) AS gn FROM micro GROUP BY Fz, ap, fold),
 t2 AS (SELECT Fz, ap, sum(gs) AS ts, sum(gn) AS tn FROM g2 GROUP BY Fz, ap),
 s2 AS (SELECT g2.Fz, g2.ap, g2.fold, ts - gs AS rs, tn - gn AS rn
        FROM g2 JOIN t2 ON g2.Fz = t2.Fz AND g2.ap = t2.ap),
-tot AS (SELECT sum(Ra_planted) AS s, count(*) AS n FROM folded),
-tm AS (SELECT fold, (max(tot.s) - sum(Ra_planted)) / CAST(max(tot.n) - count(*) AS DOUBLE) AS tm
-       FROM folded, tot GROUP BY fold),
+tot AS (SELECT sum(yi) AS s, count(*) AS n FROM micro),
+tm AS (SELECT fold, CAST(max(tot.s) - sum(yi) AS DOUBLE) / CAST(max(tot.n) - count(*) AS DOUBLE) / 1000000.0::DOUBLE AS tm
+       FROM micro, tot GROUP BY fold),
 oof AS (
   SELECT f.run_id, f.fold, f.Ra_planted AS y,
-         CASE WHEN s1.rn > 0 THEN s1.rs / CAST(s1.rn AS DOUBLE) ELSE tm.tm END AS pred_svr,
-         CASE WHEN s2.rn > 0 THEN s2.rs / CAST(s2.rn AS DOUBLE) ELSE tm.tm END AS pred_gpr
+         CASE WHEN s1.rn > 0 THEN CAST(s1.rs AS DOUBLE) / CAST(s1.rn AS DOUBLE) / 1000000.0::DOUBLE ELSE tm.tm END AS pred_svr,
+         CASE WHEN s2.rn > 0 THEN CAST(s2.rs AS DOUBLE) / CAST(s2.rn AS DOUBLE) / 1000000.0::DOUBLE ELSE tm.tm END AS pred_gpr
   FROM folded f
   JOIN s1 ON f.Vc = s1.Vc AND f.fold = s1.fold
   JOIN s2 ON f.Fz = s2.Fz AND f.ap = s2.ap AND f.fold = s2.fold
@@ -404,7 +405,7 @@ FROM lineitem"""
         "SELECT event_id, v, " + ", ".join(f"{r6(_yj('v', lam))} AS {nm}" for lam, nm in yj_names.items())
         + " FROM (SELECT event_id, value - 50.0::DOUBLE AS v FROM events)")
     sql["yeo_johnson_fit"] = _with(
-        f"SELECT {r6('lam')} AS lambda, round(loglik, 4) + 0.0 AS loglik, lam = (SELECT lam FROM bestlam) AS best FROM fit",
+        f"SELECT {r6('lam')} AS lambda, round(loglik * 10000.0::DOUBLE) / 10000.0::DOUBLE + 0.0 AS loglik, lam = (SELECT lam FROM bestlam) AS best FROM fit",
         "ev AS (SELECT value FROM events)," + _yj_fit_cte("ev", "value"))
     std_cols = ["Vc", "Fz", "ap", "Ra_planted"]
     stdsel = ", ".join(
