@@ -32,12 +32,23 @@ def seeded_key(key: str | Column, seed: int | str = SETTINGS.seed) -> Column:
 
 
 def quantile_edges(df: DataFrame, column: str, n_bins: int = SETTINGS.n_bins,
-                   exact: bool = True, accuracy: int = 100_000) -> DataFrame:
+                   exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Equal-frequency edges with duplicates dropped, one row
-    ``edges ARRAY<DOUBLE>`` (ascending). Exact linear percentiles by default."""
+    ``edges ARRAY<DOUBLE>`` (ascending). Exact linear percentiles by default,
+    computed with bounded memory (``operators/quantiles.py``); the edges are
+    parameters (n_bins + 1 numbers) bound as literals."""
     qs = [i / n_bins for i in range(n_bins + 1)]
-    q = F.percentile(column, qs) if exact else F.percentile_approx(column, qs, accuracy)
-    return df.agg(F.array_distinct(q).alias("edges"))
+    if not exact:
+        return df.agg(F.array_distinct(F.percentile_approx(column, qs, accuracy)).alias("edges"))
+    from rugosa.operators.quantiles import exact_quantiles
+
+    vals = exact_quantiles(df, [column], qs, accuracy)[column]
+    uniq = []
+    for v in vals:
+        if v is not None and (not uniq or v != uniq[-1]):
+            uniq.append(float(v))
+    return df.sparkSession.range(1).select(
+        F.array(*[F.lit(v) for v in uniq]).cast("array<double>").alias("edges"))
 
 
 def bin_code(value: Column, edges: Column) -> Column:

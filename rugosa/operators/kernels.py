@@ -138,14 +138,15 @@ def fit_gp(summary: DataFrame, prep: Prep, specs: Sequence[GPSpec], n_splits: in
     freqs = []
     for t, sp in enumerate(specs):
         for lm in lmults:
-            v = GPSpec(sp.amplitude, sp.length_scale * lm, sp.alpha, sp.noise)
+            v = GPSpec(sp.amplitude, np.asarray(sp.length_scale) * lm if np.ndim(sp.length_scale) else
+                       sp.length_scale * lm, sp.alpha, sp.noise)
             variants.append((t, v))
             freqs.append(gp_frequencies(p, v, n_features, seed + 1000 * t))
     V = len(variants)
     D = n_features
 
     def fn(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
-        poly = poly_np(engineered_np(pdf[list(INPUTS)].to_numpy(np.float64)), prep.degree)
+        poly = prep.expand(pdf[list(INPUTS)].to_numpy(np.float64))
         w = state_weights(pdf, n_splits)
         sy = np.column_stack([pdf[f"sy{k}"].to_numpy(np.float64) for k in range(n_splits)])
         syy = np.column_stack([pdf[f"syy{k}"].to_numpy(np.float64) for k in range(n_splits)])
@@ -468,10 +469,7 @@ def score_rows(rows: DataFrame, svr: SVRModel | None, gp: GPModel | None, key: s
                     vals[used] = svr_predict_np(svr, svr_spec, s, eng[used], {d: polys[d][used]})
                     ps[sel] = vals[inv[sel]]
                 if gp is not None:
-                    d = gp.prep.degree
-                    if d not in polys:
-                        polys[d] = poly_np(eng, d)
-                    m, sd = gp_predict_np(gp, gp_spec, s, polys[d][used])
+                    m, sd = gp_predict_np(gp, gp_spec, s, gp.prep.expand(uniq[used]))
                     vm, vs = np.full(len(uniq), np.nan), np.full(len(uniq), np.nan)
                     vm[used], vs[used] = m, sd
                     pg[sel], sg[sel] = vm[inv[sel]], vs[inv[sel]]
@@ -518,7 +516,7 @@ def pooled_trial_mse(rows: DataFrame, svr: SVRModel | None = None, gp: GPModel |
                     pred = svr.target.inverse(f, s)
                     sse[ts] += np.sum((y[sel][None, :] - pred[:, local]) ** 2, axis=1)
             else:
-                poly = poly_np(engineered_np(xs), gp.prep.degree)
+                poly = gp.prep.expand(xs)
                 for t in range(n_specs):
                     pred, _ = gp_predict_np(gp, t, s, poly, with_std=False)
                     sse[t] += np.sum((y[sel] - pred[local]) ** 2)
@@ -533,3 +531,54 @@ def with_fold_rows(folded: DataFrame, target: str, key: str = "run_id") -> DataF
     task sees each of its distinct inputs once (see ``spread``)."""
     from rugosa.operators.preprocess import spread
     return spread(folded.select(key, *INPUTS, F.col(target).alias("y"), "fold"))
+
+
+def score_inputs(df: DataFrame, svr: SVRModel | None, gp: GPModel | None, key: str = "run_id",
+                 state: int = SETTINGS.n_splits, svr_spec: int = 0, gp_spec: int = 0) -> DataFrame:
+    """Stateless scoring of new inputs ``(key, Vc, Fz, ap)`` with one fitted
+    state (default: the all-rows refit): ``(key, pred_svr, pred_gpr,
+    std_gpr)``. A pure per-batch projection, so it also runs on a streaming
+    DataFrame."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            uniq, inv = _unique_inputs(pdf)
+            eng = engineered_np(uniq)
+            n = len(pdf)
+            ps, pg, sg = np.full(n, np.nan), np.full(n, np.nan), np.full(n, np.nan)
+            if svr is not None:
+                ps = svr_predict_np(svr, svr_spec, state, eng)[inv]
+            if gp is not None:
+                m, sd = gp_predict_np(gp, gp_spec, state, gp.prep.expand(uniq))
+                pg, sg = m[inv], sd[inv]
+            yield pd.DataFrame({key: pdf[key].astype(str), "pred_svr": ps, "pred_gpr": pg, "std_gpr": sg})
+
+    schema = f"{key} string, pred_svr double, pred_gpr double, std_gpr double"
+    return df.select(F.col(key).cast("string").alias(key), *INPUTS).mapInPandas(run, schema)
+
+
+def gp_sensitivity(summary: DataFrame, n_features: int = SETTINGS.gp_features, seed: int = SETTINGS.seed,
+                   grid: Sequence[float] = (0.25, 0.5, 1.0, 2.0, 4.0),
+                   state: int = SETTINGS.n_splits) -> tuple[list[dict], GPModel]:
+    """I6 (ARD variant): one length scale per base variable on the
+    standardised, Yeo-Johnson-transformed base inputs, chosen by marginal
+    likelihood over the full ``grid^3`` in ONE Gram pass; importance is the
+    inverse length scale normalised to sum 1."""
+    import itertools
+
+    from rugosa.operators.preprocess import fit_prep
+
+    prep = fit_prep(summary, 1, inputs="base")
+    base = GPSpec(**SETTINGS.gpr_defaults)
+    specs = [GPSpec(base.amplitude, np.array(c, dtype=np.float64), base.alpha, base.noise)
+             for c in itertools.product(grid, repeat=len(INPUTS))]
+    model = fit_gp(summary, prep, specs, n_features=n_features, seed=seed, refit=False, states=[state])
+    best_t = max(range(len(specs)), key=lambda t: (model.states[(t, state)].lml, -t))
+    ls = np.asarray(specs[best_t].length_scale, dtype=np.float64)
+    inv = 1.0 / ls
+    imp = inv / inv.sum() if inv.sum() != 0 else np.zeros_like(inv)
+    rows = [{"variable": v, "length_scale": float(l), "inv_length_scale": float(i), "importance": float(m),
+             "lml": float(model.states[(best_t, state)].lml)} for v, l, i, m in zip(INPUTS, ls, inv, imp)]
+    return rows, model

@@ -91,6 +91,12 @@ def yj_inverse_np(t: np.ndarray, lam: float) -> np.ndarray:
     return np.where(pos, p, n)
 
 
+def model_inputs_np(v: np.ndarray, inputs: str = "engineered") -> np.ndarray:
+    """Model input columns from ``(Vc, Fz, ap)``: the 15 engineered features,
+    or the three base inputs themselves (``inputs="base"``)."""
+    return engineered_np(v) if inputs == "engineered" else np.asarray(v, dtype=np.float64)
+
+
 @dataclass
 class Prep:
     """Fitted preprocessing of one polynomial degree for every state."""
@@ -101,6 +107,11 @@ class Prep:
     lam: np.ndarray    # (S, p)
     mean: np.ndarray   # (S, p)
     sd: np.ndarray     # (S, p)
+    inputs: str = "engineered"
+
+    def expand(self, v: np.ndarray) -> np.ndarray:
+        """Polynomial expansion of the model inputs of raw ``(Vc, Fz, ap)``."""
+        return poly_np(model_inputs_np(v, self.inputs), self.degree)
 
     @property
     def width(self) -> int:
@@ -157,15 +168,15 @@ def state_weights(pdf: pd.DataFrame, n_splits: int) -> np.ndarray:
 # fitting passes
 # --------------------------------------------------------------------------
 
-def _robust_pass(summary: DataFrame, degree: int, n_splits: int) -> tuple[np.ndarray, np.ndarray]:
-    p = len(poly_terms(len(engineered_np(np.ones((1, 3)))[0]), degree))
+def _robust_pass(summary: DataFrame, degree: int, n_splits: int, inputs: str = "engineered") -> tuple[np.ndarray, np.ndarray]:
+    p = len(poly_terms(model_inputs_np(np.ones((1, 3)), inputs).shape[1], degree))
     ncols = [f"n{k}" for k in range(n_splits)]
 
     def long_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            poly = poly_np(engineered_np(pdf[list(INPUTS)].to_numpy(np.float64)), degree)
+            poly = poly_np(model_inputs_np(pdf[list(INPUTS)].to_numpy(np.float64), inputs), degree)
             b = len(pdf)
             out = {"j": np.repeat(np.arange(p, dtype=np.int32)[None, :], b, axis=0).ravel(),
                    "v": poly.ravel()}
@@ -193,12 +204,13 @@ def _robust_pass(summary: DataFrame, degree: int, n_splits: int) -> tuple[np.nda
     return med, iqr
 
 
-def _yj_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, grids: np.ndarray) -> np.ndarray:
+def _yj_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, grids: np.ndarray,
+             inputs: str = "engineered") -> np.ndarray:
     """Returns ``(S, p, G)`` log-likelihoods for per-(state, column) grids."""
     S, p, G = grids.shape
 
     def fn(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
-        poly = poly_np(engineered_np(pdf[list(INPUTS)].to_numpy(np.float64)), degree)
+        poly = poly_np(model_inputs_np(pdf[list(INPUTS)].to_numpy(np.float64), inputs), degree)
         w = state_weights(pdf, n_splits)
         out = {}
         with np.errstate(all="ignore"):
@@ -230,11 +242,12 @@ def _yj_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, grids: np
     return ll
 
 
-def _std_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, lam) -> tuple[np.ndarray, np.ndarray]:
+def _std_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, lam,
+              inputs: str = "engineered") -> tuple[np.ndarray, np.ndarray]:
     S = n_splits + 1
 
     def fn(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
-        poly = poly_np(engineered_np(pdf[list(INPUTS)].to_numpy(np.float64)), degree)
+        poly = poly_np(model_inputs_np(pdf[list(INPUTS)].to_numpy(np.float64), inputs), degree)
         w = state_weights(pdf, n_splits)
         out = {}
         for s in range(S):
@@ -255,22 +268,23 @@ def _std_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, lam) ->
     return mean, sd
 
 
-def fit_prep(summary: DataFrame, degree: int, n_splits: int = SETTINGS.n_splits) -> Prep:
+def fit_prep(summary: DataFrame, degree: int, n_splits: int = SETTINGS.n_splits,
+             inputs: str = "engineered") -> Prep:
     """Fit the preprocessing of one polynomial degree for every state (four
     small passes over the distinct-input table)."""
-    med, iqr = _robust_pass(summary, degree, n_splits)
+    med, iqr = _robust_pass(summary, degree, n_splits, inputs)
     S, p = med.shape
     lo, hi, _ = SETTINGS.yj_grid
     base = np.linspace(lo, hi, 17)
     grids = np.broadcast_to(base, (S, p, len(base))).copy()
-    ll = _yj_pass(summary, degree, n_splits, med, iqr, grids)
+    ll = _yj_pass(summary, degree, n_splits, med, iqr, grids, inputs)
     best = np.take_along_axis(grids, ll.argmax(axis=2)[..., None], axis=2)[..., 0]
     step = base[1] - base[0]
     fine = best[..., None] + np.linspace(-step, step, 9)[None, None, :]
-    ll2 = _yj_pass(summary, degree, n_splits, med, iqr, fine)
+    ll2 = _yj_pass(summary, degree, n_splits, med, iqr, fine, inputs)
     lam = np.take_along_axis(fine, ll2.argmax(axis=2)[..., None], axis=2)[..., 0]
-    mean, sd = _std_pass(summary, degree, n_splits, med, iqr, lam)
-    return Prep(degree, med, iqr, lam, mean, sd)
+    mean, sd = _std_pass(summary, degree, n_splits, med, iqr, lam, inputs)
+    return Prep(degree, med, iqr, lam, mean, sd, inputs)
 
 
 # --------------------------------------------------------------------------

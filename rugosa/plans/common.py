@@ -44,7 +44,12 @@ def features(spark: SparkSession, sf: str, guard_eps: float | None = 1e-9) -> Da
 def folded(spark: SparkSession, sf: str) -> DataFrame:
     """Runs with bins and folds, written once to the checkpoint folder: every
     later operator (scorers, models, plot data) reads the pinned table."""
-    return materialize(assign_folds(runs(spark, sf), "run_id", TARGET), checkpoint=True)
+    # the fold passes (quantile brackets, bucket counts, ranks) read the
+    # computed runs projection several times: persist it for their duration
+    r = materialize(runs(spark, sf))
+    out = materialize(assign_folds(r, "run_id", TARGET), checkpoint=True)
+    r.unpersist(blocking=False)
+    return out
 
 
 def oof(spark: SparkSession, sf: str) -> DataFrame:

@@ -141,6 +141,13 @@ def q_tune_gpr(spark, sf):
     return _memo((sf, "tune_gpr"), lambda: tu.tune_gpr(_base(spark, sf)[0], TARGET))[0]
 
 
+def q_gpr_sensitivity(spark, sf):
+    rows, _ = _memo((sf, "gp_sens"), lambda: kk.gp_sensitivity(_base(spark, sf)[1]))
+    return spark.createDataFrame([tuple(r.values()) for r in rows],
+                                 "variable string, length_scale double, inv_length_scale double, "
+                                 "importance double, lml double")
+
+
 MODEL_QUERIES = {
     "svr_fit": q_svr_fit,
     "svr_predict": q_svr_predict,
@@ -154,4 +161,5 @@ MODEL_QUERIES = {
     "model_stacking": q_model_stacking,
     "tune_gpr": q_tune_gpr,
     "tune_svr": q_tune_svr,
+    "gpr_sensitivity": q_gpr_sensitivity,
 }
