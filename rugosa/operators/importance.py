@@ -40,24 +40,19 @@ def permute_column(df: DataFrame, key: str, column: str, repeat: int = 0,
     return d.join(donors, on=["_bk", "_ra"], how="inner").drop("_bk", "_ka", "_kb", "_ra", "_rb")
 
 
-def permutation_importance(df: DataFrame, key: str, features: Sequence[str], target: str,
-                           scorers: Mapping[str, Scorer], n_repeats: int = SETTINGS.permutation_repeats,
-                           seed: int = SETTINGS.seed,
-                           hex_digits: int = SETTINGS.perm_bucket_hex) -> DataFrame:
-    """I1 + I2: ``(method, feature, importance, std)`` where importance is the
-    mean over repeats of ``MSE(permuted) - MSE(base)`` (score = -MSE) and std
-    the population deviation over repeats. ``scorers`` maps a method name to
-    a function from feature columns to a prediction column."""
+def permutation_pairs(df: DataFrame, key: str, features: Sequence[str], target: str,
+                      n_repeats: int = SETTINGS.permutation_repeats, seed: int = SETTINGS.seed,
+                      hex_digits: int = SETTINGS.perm_bucket_hex) -> DataFrame:
+    """W4 for every (repeat, feature): ``(rep, feat, <key>, <features>, <target>, _pv)``
+    where ``_pv`` is the permuted value of feature number ``feat`` for this row.
+
+    One shuffle by bucket; both windows are clustered by a superset of the
+    bucket and reuse it. Only the donor side is exploded and it stays narrow
+    ``(rep, feat, bucket, rank, value)``; the receivers are the input rows."""
     feats = list(features)
-    base_cols = {f: F.col(f) for f in feats}
-    y = F.col(target)
-    # one shuffle by bucket; both windows below are clustered by a superset
-    # of the bucket and reuse it, and the explode runs after it in parallel
     base = df.select(key, *feats, target).withColumn("_bk", _bucket(key, seed, hex_digits)).repartition("_bk")
     ka = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    # receivers: one row per input row, position ``_ra`` inside its bucket
     d = base.withColumn("_ra", F.row_number().over(Window.partitionBy("_bk").orderBy(ka)))
-    # donors: the exploded side stays narrow -- (rep, feat, bucket, rank, value)
     grid = F.array(*[F.struct(F.lit(r).alias("rep"), F.lit(j).alias("feat"), F.col(f).alias("_pv"))
                      for r in range(n_repeats) for j, f in enumerate(feats)])
     narrow = base.select(key, "_bk", F.inline(grid))
@@ -67,7 +62,28 @@ def permutation_importance(df: DataFrame, key: str, features: Sequence[str], tar
         "rep", "feat", "_bk", "_pv",
         F.row_number().over(Window.partitionBy("_bk", "rep", "feat").orderBy(kb)).alias("_ra"),
     )
-    paired = d.join(donors, on=["_bk", "_ra"], how="inner")
+    return d.join(donors, on=["_bk", "_ra"], how="inner").drop("_bk", "_ra")
+
+
+def _summarise(per_rep: DataFrame, feats: Sequence[str]) -> DataFrame:
+    names = F.array(*[F.lit(f) for f in feats])
+    return per_rep.groupBy("method", "feat").agg(
+        F.avg("d").alias("importance"), F.stddev_pop("d").alias("std")
+    ).select("method", F.element_at(names, F.col("feat") + 1).alias("feature"), "importance", "std")
+
+
+def permutation_importance(df: DataFrame, key: str, features: Sequence[str], target: str,
+                           scorers: Mapping[str, Scorer], n_repeats: int = SETTINGS.permutation_repeats,
+                           seed: int = SETTINGS.seed,
+                           hex_digits: int = SETTINGS.perm_bucket_hex) -> DataFrame:
+    """I1 + I2: ``(method, feature, importance, std)`` where importance is the
+    mean over repeats of ``MSE(permuted) - MSE(base)`` (score = -MSE) and std
+    the population deviation over repeats. ``scorers`` maps a method name to
+    a function from feature columns to a prediction column (JVM-side)."""
+    feats = list(features)
+    base_cols = {f: F.col(f) for f in feats}
+    y = F.col(target)
+    paired = permutation_pairs(df, key, feats, target, n_repeats, seed, hex_digits)
     swapped = {f: F.when(F.col("feat") == j, F.col("_pv")).otherwise(F.col(f)) for j, f in enumerate(feats)}
     per_rep_aggs, base_aggs = [], []
     for i, fn in enumerate(scorers.values()):
@@ -84,10 +100,52 @@ def permutation_importance(df: DataFrame, key: str, features: Sequence[str], tar
             for i, name in enumerate(scorers)
         ])),
     )
-    names = F.array(*[F.lit(f) for f in feats])
-    return diffs.groupBy("method", "feat").agg(
-        F.avg("d").alias("importance"), F.stddev_pop("d").alias("std")
-    ).select("method", F.element_at(names, F.col("feat") + 1).alias("feature"), "importance", "std")
+    return _summarise(diffs, feats)
+
+
+def model_permutation_importance(df: DataFrame, key: str, features: Sequence[str], target: str,
+                                 predict, method: str, n_repeats: int = SETTINGS.permutation_repeats,
+                                 seed: int = SETTINGS.seed,
+                                 hex_digits: int = SETTINGS.perm_bucket_hex) -> DataFrame:
+    """I1 + I2 for a fitted model: ``predict(matrix) -> predictions`` is a
+    numpy function of the feature matrix (columns in ``features`` order),
+    applied in ``mapInPandas`` to the permuted copies (rows with equal
+    permuted vectors share one evaluation). Per-(repeat, feature) squared
+    errors are partial sums; the baseline is one more pass."""
+    import numpy as np
+    import pandas as pd
+
+    feats = list(features)
+    paired = permutation_pairs(df, key, feats, target, n_repeats, seed, hex_digits)
+
+    def score(it):
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            x = pdf[feats].to_numpy(np.float64).copy()
+            j = pdf["feat"].to_numpy()
+            x[np.arange(len(x)), j] = pdf["_pv"].to_numpy(np.float64)
+            u, inv = np.unique(x, axis=0, return_inverse=True)
+            err = (predict(u)[inv.ravel()] - pdf[target].to_numpy(np.float64)) ** 2
+            g = pd.DataFrame({"rep": pdf["rep"], "feat": j, "se": err}).groupby(["rep", "feat"], as_index=False)
+            yield g.agg(se=("se", "sum"), n=("se", "size"))
+
+    per_rep = paired.mapInPandas(score, "rep int, feat int, se double, n long").groupBy("rep", "feat").agg(
+        (F.sum("se") / F.sum("n")).alias("mse"))
+
+    def base_score(it):
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            x = pdf[feats].to_numpy(np.float64)
+            u, inv = np.unique(x, axis=0, return_inverse=True)
+            err = (predict(u)[inv.ravel()] - pdf[target].to_numpy(np.float64)) ** 2
+            yield pd.DataFrame({"se": [float(err.sum())], "n": [len(err)]})
+
+    baseline = df.select(*feats, target).mapInPandas(base_score, "se double, n long").agg(
+        (F.sum("se") / F.sum("n")).alias("b")).select("b").scalar()
+    diffs = per_rep.select("rep", "feat", F.lit(method).alias("method"), (F.col("mse") - baseline).alias("d"))
+    return _summarise(diffs, feats)
 
 
 # --------------------------------------------------------------------------

@@ -148,6 +148,25 @@ def q_gpr_sensitivity(spark, sf):
                                  "importance double, lml double")
 
 
+def q_svr_permutation_importance(spark, sf):
+    """I1/I2 with the fitted all-rows SVR over the 15 model inputs, then I4
+    lineage grouping and I3 normalisation (the monolith's flow)."""
+    from rugosa.functions.features import FEATURES_15, add_engineered_features
+    from rugosa.operators import importance as imp
+    from rugosa.plans.common import runs
+
+    svr = default_svr(spark, sf)
+    d = svr.specs[0].poly_degree
+
+    def predict(eng):
+        return kk.svr_predict_np(svr, 0, ALL, eng, {d: pp.poly_np(eng, d)})
+
+    df = add_engineered_features(runs(spark, sf)).select("run_id", *FEATURES_15, TARGET)
+    raw = imp.model_permutation_importance(df, "run_id", FEATURES_15, TARGET, predict, "SVR (Permutation)")
+    grouped = imp.group_importance(raw, imp.lineage_mapping(FEATURES_15))
+    return imp.normalize_importance(grouped)
+
+
 MODEL_QUERIES = {
     "svr_fit": q_svr_fit,
     "svr_predict": q_svr_predict,
@@ -162,4 +181,5 @@ MODEL_QUERIES = {
     "tune_gpr": q_tune_gpr,
     "tune_svr": q_tune_svr,
     "gpr_sensitivity": q_gpr_sensitivity,
+    "svr_permutation_importance": q_svr_permutation_importance,
 }
