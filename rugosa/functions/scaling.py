@@ -152,15 +152,26 @@ def yj_fit_lambda(df: DataFrame, column: str, lo: float | None = None, hi: float
 # --------------------------------------------------------------------------
 
 def robust_stats(df: DataFrame, columns: Sequence[str], exact: bool = True,
-                 accuracy: int = 100_000) -> DataFrame:
+                 accuracy: int = 10_000) -> DataFrame:
     """One-row table of ``<c>_med`` and ``<c>_iqr`` for every column. Exact
-    linear-interpolation percentiles by default; ``exact=False`` uses
-    ``percentile_approx`` (bounded memory per column, for very large inputs)."""
+    linear-interpolation percentiles by default, computed with bounded memory
+    (``operators/quantiles.py``) and returned as a literal parameter row;
+    ``exact=False`` uses ``percentile_approx``."""
     qs = [0.25, 0.5, 0.75]
+    if exact:
+        from rugosa.operators.quantiles import exact_quantiles
+
+        vals = exact_quantiles(df, columns, qs, accuracy)
+        sel = []
+        for c in columns:
+            q1, med, q3 = vals[c]
+            iqr = q3 - q1
+            sel.append(F.lit(float(med)).alias(f"{c}_med"))
+            sel.append(F.lit(1.0 if iqr < 10 * _EPS else float(iqr)).alias(f"{c}_iqr"))
+        return df.sparkSession.range(1).select(*sel)
     aggs = []
     for c in columns:
-        q = F.percentile(c, qs) if exact else F.percentile_approx(c, qs, accuracy)
-        aggs.append(q.alias(f"{c}__q"))
+        aggs.append(F.percentile_approx(c, qs, accuracy).alias(f"{c}__q"))
     out = df.agg(*aggs)
     sel = []
     for c in columns:

@@ -30,62 +30,84 @@ from pyspark.sql import functions as F
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
                     accuracy: int = 10_000) -> dict[str, list[float | None]]:
-    """``{column: [quantile at q for q in qs]}`` (driver floats; NULLs ignored)."""
+    """``{column: [quantile at q for q in qs]}`` (driver floats; NULLs ignored).
+
+    Long format: the columns are unpivoted to ``(ci, v)`` so that every pass
+    is a handful of grouped aggregates, whatever the number of columns; the
+    bracket table (columns x probabilities rows) is broadcast."""
+    from rugosa.session import materialize
+
     cols = list(columns)
     qs = [float(q) for q in qs]
-    delta = 2.0 / accuracy
+    spark = df.sparkSession
+    long = materialize(df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)
+    ])).alias("t")).select("t.ci", "t.v").filter(F.col("v").isNotNull() & ~F.isnan("v")))
+    try:
+        return _exact_long(spark, long, cols, qs, accuracy)
+    finally:
+        long.unpersist(blocking=False)
+
+
+def _exact_long(spark, long: DataFrame, cols, qs, accuracy):
+    out: dict[str, list] = {c: [None] * len(qs) for c in cols}
     widen = 1.0
     for _ in range(6):
-        d = delta * widen
+        d = 2.0 * widen / accuracy
         lo_q = [max(0.0, q - d) for q in qs]
         hi_q = [min(1.0, q + d) for q in qs]
-        aggs = []
-        for i, c in enumerate(cols):
-            x = F.col(c)
-            aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
-                     F.percentile_approx(x, lo_q, accuracy).alias(f"lo{i}"),
-                     F.percentile_approx(x, hi_q, accuracy).alias(f"hi{i}")]
-        st = df.agg(*aggs).first()
-        plan = []   # (col idx, q idx, lo, hi, k)
-        out: dict[str, list] = {c: [None] * len(qs) for c in cols}
-        for i, c in enumerate(cols):
-            n = st[f"n{i}"]
-            if not n:
+        st = {r["ci"]: r for r in long.groupBy("ci").agg(
+            F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
+            F.percentile_approx("v", lo_q, accuracy).alias("lo"),
+            F.percentile_approx("v", hi_q, accuracy).alias("hi")).collect()}
+        plan = {}
+        for i in range(len(cols)):
+            r = st.get(i)
+            if r is None or not r["n"]:
                 continue
+            n = r["n"]
             for j, q in enumerate(qs):
                 h = (n - 1) * q
                 k = int(math.floor(h))
-                lo = st[f"mn{i}"] if lo_q[j] == 0.0 else st[f"lo{i}"][j]
-                hi = st[f"mx{i}"] if hi_q[j] == 1.0 else st[f"hi{i}"][j]
-                plan.append((i, j, float(lo), float(hi), k, h, n))
+                lo = r["mn"] if lo_q[j] == 0.0 else r["lo"][j]
+                hi = r["mx"] if hi_q[j] == 1.0 else r["hi"][j]
+                plan[(i, j)] = (float(lo), float(hi), k, h, n)
         if not plan:
             return out
-        # counts below every bracket, one aggregate
-        below = df.agg(*[F.count(F.when(F.col(cols[i]) < F.lit(lo), 1)).alias(f"b{p}")
-                         for p, (i, j, lo, hi, k, h, n) in enumerate(plan)]).first()
-        # rows inside the brackets, tagged with their bracket
-        tags = F.array(*[
-            F.when((F.col(cols[i]) >= F.lit(lo)) & (F.col(cols[i]) <= F.lit(hi)),
-                   F.struct(F.lit(p).alias("p"), F.col(cols[i]).cast("double").alias("v")))
-            for p, (i, j, lo, hi, k, h, n) in enumerate(plan)])
-        inside = df.select(F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("t")).select("t.p", "t.v")
-        wanted = []
-        for p, (i, j, lo, hi, k, h, n) in enumerate(plan):
-            base = below[f"b{p}"]
-            wanted.append((p, k - base + 1, min(k + 1, n - 1) - base + 1))
-        w = Window.partitionBy("p").orderBy("v")
-        ranked = inside.withColumn("r", F.row_number().over(w))
-        cond = F.lit(False)
-        for p, r1, r2 in wanted:
-            cond = cond | ((F.col("p") == p) & F.col("r").isin(r1, r2))
-        picked = {(r["p"], r["r"]): r["v"] for r in ranked.filter(cond).collect()}
-        ok = True
-        for (p, r1, r2), (i, j, lo, hi, k, h, n) in zip(wanted, plan):
-            a, b = picked.get((p, r1)), picked.get((p, r2))
-            if a is None or b is None:
-                ok = False
-                break
-            out[cols[i]][j] = a + (h - k) * (b - a)
+        # bounded by len(cols) * len(qs) rows
+        br = F.broadcast(spark.createDataFrame([(i, j, lo, hi) for (i, j), (lo, hi, *_r) in plan.items()],
+                                               "ci int, qi int, lo double, hi double"))
+        joined = long.join(br, "ci")
+        v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+        cnt = {(r["ci"], r["qi"]): r for r in joined.groupBy("ci", "qi").agg(
+            F.count(F.when(v < lo, 1)).alias("below"),
+            F.count(F.when((v >= lo) & (v <= hi), 1)).alias("inside"),
+            F.max(F.when(v < lo, v)).alias("mb"), F.min(F.when(v > hi, v)).alias("ma")).collect()}
+        need, values, ok = [], {}, True
+        for (i, j), (lo_v, hi_v, k, h, n) in plan.items():
+            c = cnt[(i, j)]
+            for rk in {k, min(k + 1, n - 1)}:
+                if c["below"] <= rk < c["below"] + c["inside"]:
+                    need.append((i, j, rk - c["below"] + 1, rk))
+                elif rk == c["below"] - 1:
+                    values[(i, j, rk)] = c["mb"]
+                elif rk == c["below"] + c["inside"]:
+                    values[(i, j, rk)] = c["ma"]
+                else:
+                    ok = False
+        if ok and need:
+            wanted = F.broadcast(spark.createDataFrame(need, "ci int, qi int, r int, g long"))
+            inside = joined.filter((v >= lo) & (v <= hi))
+            ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("ci", "qi").orderBy("v")))
+            for row in ranked.join(wanted, ["ci", "qi", "r"]).select("ci", "qi", "g", "v").collect():
+                values[(row["ci"], row["qi"], row["g"])] = row["v"]
+        if ok:
+            for (i, j), (lo_v, hi_v, k, h, n) in plan.items():
+                a, b = values.get((i, j, k)), values.get((i, j, min(k + 1, n - 1)))
+                if a is None or b is None:
+                    ok = False
+                    break
+                out[cols[i]][j] = a + (h - k) * (b - a)
         if ok:
             return out
         widen *= 4.0
