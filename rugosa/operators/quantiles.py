@@ -29,17 +29,26 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
-                    accuracy: int = 10_000) -> dict[str, list[float | None]]:
+                    accuracy: int = 10_000, max_exact_rows: int | None = None) -> dict[str, list[float | None]]:
     """``{column: [quantile at q for q in qs]}`` (driver floats; NULLs ignored).
 
     Long format: the columns are unpivoted to ``(ci, v)`` so that every pass
     is a handful of grouped aggregates, whatever the number of columns; the
     bracket table (columns x probabilities rows) is broadcast."""
     from rugosa.session import materialize
+    from rugosa.settings import SETTINGS
 
     cols = list(columns)
     qs = [float(q) for q in qs]
     spark = df.sparkSession
+    # small inputs: Spark's exact percentile, whose single-task merge holds at
+    # most ``exact_quantile_max_rows`` values -- a proven bound
+    limit = SETTINGS.exact_quantile_max_rows if max_exact_rows is None else max_exact_rows
+    if df.count() <= limit:
+        row = df.agg(*[F.percentile(F.when(~F.isnan(c), F.col(c)), qs).alias(f"q{i}")
+                       for i, c in enumerate(cols)]).first()
+        return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(qs)
+                for i, c in enumerate(cols)}
     long = materialize(df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)
     ])).alias("t")).select("t.ci", "t.v").filter(F.col("v").isNotNull() & ~F.isnan("v")))

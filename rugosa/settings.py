@@ -65,8 +65,9 @@ class Settings:
     svr_huber_delta: float = 0.1
     yj_grid: tuple[float, float, int] = (-3.0, 5.0, 33)
     yj_refine_rounds: int = 2
-    # exact percentiles up to this many rows, KLL sketches above
-    exact_quantile_max_rows: int = 50_000_000
+    # exact quantiles: Spark's percentile (one-task merge of all values) up to
+    # this many rows, the bounded-memory bracket method above
+    exact_quantile_max_rows: int = 5_000_000
 
 
 SETTINGS = Settings()

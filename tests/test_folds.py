@@ -58,3 +58,14 @@ def test_quantile_edges_dedupe(spark):
     df = spark.createDataFrame([(1.0,)] * 8 + [(2.0,), (3.0,)], "y double")
     ref = np.unique(np.quantile([1.0] * 8 + [2.0, 3.0], np.linspace(0, 1, 6))).tolist()
     assert fo.quantile_edges(df, "y").collect()[0]["edges"] == pytest.approx(ref) and len(ref) == 3
+
+
+def test_bracket_quantiles_equal_exact(spark, skewed):
+    """The bounded-memory bracket path (used above the row threshold) gives
+    the same values as numpy's linear percentiles, ties and all."""
+    from rugosa.operators import quantiles as qq
+
+    df, y = skewed
+    qs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    got = qq.exact_quantiles(df, ["y"], qs, accuracy=200, max_exact_rows=0)["y"]
+    assert np.allclose(got, np.quantile(y, qs), rtol=0, atol=1e-12)
