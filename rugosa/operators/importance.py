@@ -115,6 +115,9 @@ def model_permutation_importance(df: DataFrame, key: str, features: Sequence[str
     import numpy as np
     import pandas as pd
 
+    from rugosa.session import ship_package
+
+    ship_package(df.sparkSession)
     feats = list(features)
     paired = permutation_pairs(df, key, feats, target, n_repeats, seed, hex_digits)
 

@@ -476,6 +476,9 @@ def score_rows(rows: DataFrame, svr: SVRModel | None, gp: GPModel | None, key: s
             yield pd.DataFrame({key: pdf[key], "fold": pdf["fold"].astype("int32"), "y": pdf["y"],
                                 "pred_svr": ps, "pred_gpr": pg, "std_gpr": sg})
 
+    from rugosa.session import ship_package
+
+    ship_package(rows.sparkSession)
     schema = f"{key} string, fold int, y double, pred_svr double, pred_gpr double, std_gpr double"
     return rows.select(key, *INPUTS, "y", "fold").mapInPandas(run, schema)
 
@@ -555,6 +558,9 @@ def score_inputs(df: DataFrame, svr: SVRModel | None, gp: GPModel | None, key: s
                 pg, sg = m[inv], sd[inv]
             yield pd.DataFrame({key: pdf[key].astype(str), "pred_svr": ps, "pred_gpr": pg, "std_gpr": sg})
 
+    from rugosa.session import ship_package
+
+    ship_package(df.sparkSession)
     schema = f"{key} string, pred_svr double, pred_gpr double, std_gpr double"
     return df.select(F.col(key).cast("string").alias(key), *INPUTS).mapInPandas(run, schema)
 

@@ -30,6 +30,9 @@ def vsum(v: pd.Series) -> list:
 
 def reduce_partials(partials: DataFrame, fanin: int = 64) -> dict[int, np.ndarray]:
     """Sum ``(key, vec)`` rows per key; returns driver arrays."""
+    from rugosa.session import ship_package
+
+    ship_package(partials.sparkSession)
     lvl1 = partials.groupBy("key", (F.abs(F.hash(F.spark_partition_id())) % fanin).alias("_t")).agg(
         vsum("vec").alias("vec"))
     lvl2 = lvl1.groupBy("key").agg(vsum("vec").alias("vec"))

@@ -184,6 +184,9 @@ def _robust_pass(summary: DataFrame, degree: int, n_splits: int, inputs: str = "
                 out[c] = np.repeat(pdf[c].to_numpy(np.int64), p)
             yield pd.DataFrame(out)
 
+    from rugosa.session import ship_package
+
+    ship_package(summary.sparkSession)
     schema = "j int, v double, " + ", ".join(f"{c} long" for c in ncols)
     long = summary.mapInPandas(long_rows, schema)
     tot = sum(F.col(c) for c in ncols)

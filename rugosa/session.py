@@ -67,3 +67,32 @@ def materialize(df: DataFrame, checkpoint: bool = False) -> DataFrame:
         cached.unpersist(blocking=False)
         return out
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rugosa`` importable in the executors' Python workers (pandas
+    UDFs and ``mapInPandas`` functions reference it). The package is zipped
+    once per SparkContext and distributed with ``addPyFile``, as for any
+    Python library shipped to a cluster."""
+    import zipfile
+
+    import rugosa
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(rugosa.__file__))
+    root = os.path.dirname(pkg)
+    path = os.path.join(tempfile.mkdtemp(prefix="rugosa-pkg-"), "rugosa.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
