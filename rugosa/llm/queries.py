@@ -43,6 +43,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), END_ID)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from rugosa.llm.rule_ensemble import classify
+
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    out = classify(read(spark, sf_dir, "documents"), labels.where(~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rugosa.llm.line_rules import quality_rules
 
@@ -65,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_files": op4_token_files,
+    "op6_quality_classifier": op6_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
 }
