@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rugosa.llm.common import read
+from rugosa.llm.sql import url_filter_sql
 
 #: The id that ends a document in token files.
 END_ID = 2
@@ -54,6 +55,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rugosa.llm.url_filter import filter_urls
+
+    return filter_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rugosa.llm.line_rules import quality_rules
 
@@ -77,8 +84,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_files": op4_token_files,
     "op6_quality_classifier": op6_quality_classifier,
+    "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_url_filter": url_filter_sql(),
+}
