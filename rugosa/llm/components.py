@@ -1,12 +1,18 @@
-"""Connected components of an edge table, as DataFrame operations."""
+"""Connected components of an edge table, and links among the members of shared
+keys, as DataFrame operations."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rugosa.llm.common import store
 
+#: Representatives of a key per round.
+REPRESENTATIVES = (1, 4, 16)
+
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``node, root`` for every node of the edges ``u, v``; the root is the
@@ -49,3 +55,75 @@ def _mark(edges: DataFrame) -> tuple:
     """Number of edges and an order-free digest of them."""
     digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     return tuple(edges.agg(F.count(F.lit(1)), digest).first())
+
+
+def shared_members(keys: DataFrame, label: str) -> DataFrame:
+    """The ``key, id`` rows of keys that hold two ids or more."""
+    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    return store(keys.join(shared, "key"), f"{label}-members")
+
+
+def link_members(
+    members: DataFrame, ids: DataFrame, confirm: Callable[[DataFrame], DataFrame], label: str
+) -> DataFrame:
+    """``id, component`` of every id, where ids that share a key are linked if
+    ``confirm`` says so; the component is its smallest id.
+
+    ``confirm`` gets distinct pairs ``a < b`` with their components ``ca, cb``
+    and returns an edge ``u, v`` between the components of each confirmed pair.
+
+    In each round a few representatives of a key, drawn by hash, are compared
+    with all members of other components, never all members with all. A
+    representative so compared leaves the key; a key of one component is done.
+    Rounds end when no key holds two components, so every confirmed link has
+    been found or joins what is joined already.
+    """
+    labels = ids.select("id", F.col("id").alias("component"))
+    turn = 0
+    while True:
+        n = REPRESENTATIVES[min(turn, len(REPRESENTATIVES) - 1)]
+        placed = members.join(labels, "id")
+        picks = [
+            F.min(F.struct(F.xxhash64("id", F.lit(turn * 100 + i)).alias("h"), "id", "component")).alias(f"p{i}")
+            for i in range(n)
+        ]
+        chosen = store(
+            placed.groupBy("key")
+            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *picks)
+            .where("lo < hi")
+            .select("key", F.explode(F.array_distinct(F.transform(F.array(*[F.col(f"p{i}") for i in range(n)]), _member))).alias("p"))
+            .select("key", F.col("p.id").alias("pid"), F.col("p.component").alias("pcomponent")),
+            f"{label}-chosen",
+        )
+        if chosen.isEmpty():
+            return labels
+        first = F.col("id") < F.col("pid")
+        pairs = (
+            placed.join(chosen, "key")
+            .where("component <> pcomponent")
+            .select(
+                F.when(first, F.col("id")).otherwise(F.col("pid")).alias("a"),
+                F.when(first, F.col("pid")).otherwise(F.col("id")).alias("b"),
+                F.when(first, F.col("component")).otherwise(F.col("pcomponent")).alias("ca"),
+                F.when(first, F.col("pcomponent")).otherwise(F.col("component")).alias("cb"),
+            )
+            .distinct()
+        )
+        edges = store(confirm(pairs), f"{label}-edges")
+        merged = components(edges, f"{label}-components").select(F.col("node").alias("component"), "root")
+        labels = store(
+            labels.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component")),
+            f"{label}-labels",
+        )
+        members = store(
+            members.join(chosen.select("key").distinct(), "key", "left_semi").join(
+                chosen.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti"
+            ),
+            f"{label}-members",
+        )
+        turn += 1
+
+
+def _member(pick):
+    """A pick without the hash that drew it, so that repeated picks are equal."""
+    return F.struct(pick["id"].alias("id"), pick["component"].alias("component"))

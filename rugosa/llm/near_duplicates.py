@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rugosa.llm.common import SLICE_ROWS, id_text, store
-from rugosa.llm.components import components
+from rugosa.llm.components import link_members, shared_members
 from rugosa.session import ship_package
 
 #: Words of a shingle.
@@ -51,9 +51,6 @@ POSITIONS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
 #: Words a worker remembers the hash of before it starts anew.
 CACHE_WORDS = 400_000
-#: Representatives of a key per round.
-REPRESENTATIVES = (1, 4, 16)
-
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -212,54 +209,11 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 def link_classes(docs: DataFrame, classes: DataFrame, least: int = LEAST, size: int = SHINGLE) -> DataFrame:
     """``id, component`` of every class (``id, signature``) that shares a key."""
-    keys = index_keys(classes)
-    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    members = store(keys.join(shared, "key"), "near-members")
+    members = shared_members(index_keys(classes), "near")
     ids = store(members.select("id").distinct(), "near-ids")
     sets = store(_sets(docs, ids, size), "near-sets")
     signed = store(classes.join(ids, "id", "left_semi").select("id", "signature"), "near-signed")
-    labels = ids.select("id", F.col("id").alias("component"))
-    turn = 0
-    while True:
-        n = REPRESENTATIVES[min(turn, len(REPRESENTATIVES) - 1)]
-        placed = members.join(labels, "id")
-        picks = [F.min(F.struct(F.xxhash64("id", F.lit(turn * 100 + i)).alias("h"), "id", "component")).alias(f"p{i}") for i in range(n)]
-        chosen = store(
-            placed.groupBy("key")
-            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *picks)
-            .where("lo < hi")
-            .select("key", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}") for i in range(n)]))).alias("p"))
-            .select("key", F.col("p.id").alias("pid"), F.col("p.component").alias("pcomponent")),
-            "near-chosen",
-        )
-        if chosen.isEmpty():
-            return labels
-        first = F.col("id") < F.col("pid")
-        pairs = (
-            placed.join(chosen, "key")
-            .where("component <> pcomponent")
-            .select(
-                F.when(first, F.col("id")).otherwise(F.col("pid")).alias("a"),
-                F.when(first, F.col("pid")).otherwise(F.col("id")).alias("b"),
-                F.when(first, F.col("component")).otherwise(F.col("pcomponent")).alias("ca"),
-                F.when(first, F.col("pcomponent")).otherwise(F.col("component")).alias("cb"),
-            )
-            .distinct()
-        )
-        edges = store(_confirmed(_near(pairs, signed), sets, least), "near-edges")
-        merged = components(edges, "near-components").select(F.col("node").alias("component"), "root")
-        labels = store(
-            labels.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component")),
-            "near-labels",
-        )
-        # keys of one component are done, and so is a representative in its key
-        members = store(
-            members.join(chosen.select("key").distinct(), "key", "left_semi").join(
-                chosen.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti"
-            ),
-            "near-members",
-        )
-        turn += 1
+    return link_members(members, ids, lambda pairs: _confirmed(_near(pairs, signed), sets, least), "near")
 
 
 def near_duplicates(docs: DataFrame, least: int = LEAST, size: int = SHINGLE) -> DataFrame:
