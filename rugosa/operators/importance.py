@@ -1,11 +1,13 @@
 """Permutation importance and importance tables.
 
-Permutation without a global sort: rows fall into md5 buckets; inside a
-bucket, the row at position r (ordered by ``md5(seed:key)``) receives the
-value of the row at position r in a second order (``md5(seed:rep:feature:key)``).
-This is a uniformly random permutation inside every bucket, built from two
-windows and one equi-join on ``(bucket, rank)``. All (repeat, feature)
-copies are scored in one exploded pass and reduced by one grouped aggregate.
+A permutation of a whole column, without a global sort: every row has two exact
+ranks, one by ``md5(seed:key)`` (the receiver's) and one by
+``md5(seed:repeat:key)`` (the donor's), both by the two-stage rank of
+``operators/folds.py``; the row of receiver rank r gets the values of the row of
+donor rank r. That is a uniformly random permutation of all rows, the same on
+any cluster. One repeat moves whole rows once, for all features: each feature is
+then swapped alone in the scoring expression, so a repeat costs one join on a
+dense integer, whatever the number of features.
 """
 
 from __future__ import annotations
@@ -16,53 +18,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rugosa.functions.features import BASE_INPUTS
+from rugosa.operators.folds import _bucketed_rank, seeded_key
 from rugosa.settings import SETTINGS
 
 Scorer = Callable[[Mapping[str, Column]], Column]
 
 
-def _bucket(key: str, seed: int, hex_digits: int) -> Column:
-    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, hex_digits)
+def _donor_key(seed: int, repeat: Column, key: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), repeat.cast("string"), F.lit(":"), F.col(key).cast("string")))
 
 
 def permute_column(df: DataFrame, key: str, column: str, repeat: int = 0,
-                   seed: int = SETTINGS.seed, hex_digits: int = SETTINGS.perm_bucket_hex,
-                   out: str | None = None) -> DataFrame:
+                   seed: int = SETTINGS.seed, out: str | None = None) -> DataFrame:
     """Add ``out`` (default ``<column>_perm``): the column's values,
-    permuted inside md5 buckets for the given repeat."""
+    permuted over all rows for the given repeat."""
     out = out or f"{column}_perm"
-    ka = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    kb = F.md5(F.concat(F.lit(f"{seed}:{repeat}:{column}:"), F.col(key).cast("string")))
-    d = df.withColumn("_bk", _bucket(key, seed, hex_digits)).withColumn("_ka", ka).withColumn("_kb", kb)
-    d = d.withColumn("_ra", F.row_number().over(Window.partitionBy("_bk").orderBy("_ka")))
-    d = d.withColumn("_rb", F.row_number().over(Window.partitionBy("_bk").orderBy("_kb")))
-    donors = d.select("_bk", F.col("_rb").alias("_ra"), F.col(column).alias(out))
-    return d.join(donors, on=["_bk", "_ra"], how="inner").drop("_bk", "_ka", "_kb", "_ra", "_rb")
+    receivers = _bucketed_rank(df, seeded_key(key, seed), [], SETTINGS.rank_bucket_hex, "_r")
+    donors = _bucketed_rank(df.select(key, F.col(column).alias(out)), _donor_key(seed, F.lit(repeat), key), [],
+                            SETTINGS.rank_bucket_hex, "_r").select("_r", out)
+    return receivers.join(donors, "_r").drop("_r")
 
 
 def permutation_pairs(df: DataFrame, key: str, features: Sequence[str], target: str,
-                      n_repeats: int = SETTINGS.permutation_repeats, seed: int = SETTINGS.seed,
-                      hex_digits: int = SETTINGS.perm_bucket_hex) -> DataFrame:
-    """W4 for every (repeat, feature): ``(rep, feat, <key>, <features>, <target>, _pv)``
-    where ``_pv`` is the permuted value of feature number ``feat`` for this row.
-
-    One shuffle by bucket; both windows are clustered by a superset of the
-    bucket and reuse it. Only the donor side is exploded and it stays narrow
-    ``(rep, feat, bucket, rank, value)``; the receivers are the input rows."""
+                      n_repeats: int = SETTINGS.permutation_repeats, seed: int = SETTINGS.seed) -> DataFrame:
+    """W4 for every repeat: ``(rep, <key>, <features>, <target>, _pv)`` where the
+    struct ``_pv`` holds the donor row's value of every feature."""
     feats = list(features)
-    base = df.select(key, *feats, target).withColumn("_bk", _bucket(key, seed, hex_digits)).repartition("_bk")
-    ka = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    d = base.withColumn("_ra", F.row_number().over(Window.partitionBy("_bk").orderBy(ka)))
-    grid = F.array(*[F.struct(F.lit(r).alias("rep"), F.lit(j).alias("feat"), F.col(f).alias("_pv"))
-                     for r in range(n_repeats) for j, f in enumerate(feats)])
-    narrow = base.select(key, "_bk", F.inline(grid))
-    kb = F.md5(F.concat(F.lit(f"{seed}:"), F.col("rep").cast("string"), F.lit(":"),
-                        F.col("feat").cast("string"), F.lit(":"), F.col(key).cast("string")))
-    donors = narrow.select(
-        "rep", "feat", "_bk", "_pv",
-        F.row_number().over(Window.partitionBy("_bk", "rep", "feat").orderBy(kb)).alias("_ra"),
-    )
-    return d.join(donors, on=["_bk", "_ra"], how="inner").drop("_bk", "_ra")
+    receivers = _bucketed_rank(df.select(key, *feats, target), seeded_key(key, seed), [],
+                               SETTINGS.rank_bucket_hex, "_r")
+    donors = df.select(key, F.struct(*[F.col(f).alias(f"p{j}") for j, f in enumerate(feats)]).alias("_pv")).select(
+        F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("rep"), key, "_pv")
+    donors = _bucketed_rank(donors, _donor_key(seed, F.col("rep"), key), ["rep"], SETTINGS.rank_bucket_hex, "_r")
+    return receivers.join(donors.select("rep", "_r", "_pv"), "_r").drop("_r")
 
 
 def _summarise(per_rep: DataFrame, feats: Sequence[str]) -> DataFrame:
@@ -74,8 +61,7 @@ def _summarise(per_rep: DataFrame, feats: Sequence[str]) -> DataFrame:
 
 def permutation_importance(df: DataFrame, key: str, features: Sequence[str], target: str,
                            scorers: Mapping[str, Scorer], n_repeats: int = SETTINGS.permutation_repeats,
-                           seed: int = SETTINGS.seed,
-                           hex_digits: int = SETTINGS.perm_bucket_hex) -> DataFrame:
+                           seed: int = SETTINGS.seed) -> DataFrame:
     """I1 + I2: ``(method, feature, importance, std)`` where importance is the
     mean over repeats of ``MSE(permuted) - MSE(base)`` (score = -MSE) and std
     the population deviation over repeats. ``scorers`` maps a method name to
@@ -83,15 +69,18 @@ def permutation_importance(df: DataFrame, key: str, features: Sequence[str], tar
     feats = list(features)
     base_cols = {f: F.col(f) for f in feats}
     y = F.col(target)
-    paired = permutation_pairs(df, key, feats, target, n_repeats, seed, hex_digits)
-    swapped = {f: F.when(F.col("feat") == j, F.col("_pv")).otherwise(F.col(f)) for j, f in enumerate(feats)}
+    paired = permutation_pairs(df, key, feats, target, n_repeats, seed)
     per_rep_aggs, base_aggs = [], []
     for i, fn in enumerate(scorers.values()):
-        dp = fn(swapped) - y
-        per_rep_aggs.append(F.avg(dp * dp).alias(f"_m{i}"))
         db = fn(base_cols) - y
         base_aggs.append(F.avg(db * db).alias(f"_b{i}"))
-    per_rep = paired.groupBy("rep", "feat").agg(*per_rep_aggs)
+        for j, f in enumerate(feats):
+            dp = fn({**base_cols, f: F.col(f"_pv.p{j}")}) - y
+            per_rep_aggs.append(F.avg(dp * dp).alias(f"_m{i}_{j}"))
+    wide = paired.groupBy("rep").agg(*per_rep_aggs)
+    per_rep = wide.select("rep", F.inline(F.array(*[
+        F.struct(F.lit(j).alias("feat"), *[F.col(f"_m{i}_{j}").alias(f"_m{i}") for i in range(len(scorers))])
+        for j in range(len(feats))])))
     baseline = df.agg(*base_aggs).select(F.struct(*[f"_b{i}" for i in range(len(scorers))])).scalar()
     diffs = per_rep.select(
         "rep", "feat",
@@ -105,8 +94,7 @@ def permutation_importance(df: DataFrame, key: str, features: Sequence[str], tar
 
 def model_permutation_importance(df: DataFrame, key: str, features: Sequence[str], target: str,
                                  predict, method: str, n_repeats: int = SETTINGS.permutation_repeats,
-                                 seed: int = SETTINGS.seed,
-                                 hex_digits: int = SETTINGS.perm_bucket_hex) -> DataFrame:
+                                 seed: int = SETTINGS.seed) -> DataFrame:
     """I1 + I2 for a fitted model: ``predict(matrix) -> predictions`` is a
     numpy function of the feature matrix (columns in ``features`` order),
     applied in ``mapInPandas`` to the permuted copies (rows with equal
@@ -119,21 +107,25 @@ def model_permutation_importance(df: DataFrame, key: str, features: Sequence[str
 
     ship_package(df.sparkSession)
     feats = list(features)
-    paired = permutation_pairs(df, key, feats, target, n_repeats, seed, hex_digits)
+    paired = permutation_pairs(df, key, feats, target, n_repeats, seed)
+    narrow = paired.select("rep", *feats, target, *[F.col(f"_pv.p{j}").alias(f"p{j}") for j in range(len(feats))])
 
     def score(it):
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            x = pdf[feats].to_numpy(np.float64).copy()
-            j = pdf["feat"].to_numpy()
-            x[np.arange(len(x)), j] = pdf["_pv"].to_numpy(np.float64)
-            u, inv = np.unique(x, axis=0, return_inverse=True)
-            err = (predict(u)[inv.ravel()] - pdf[target].to_numpy(np.float64)) ** 2
-            g = pd.DataFrame({"rep": pdf["rep"], "feat": j, "se": err}).groupby(["rep", "feat"], as_index=False)
-            yield g.agg(se=("se", "sum"), n=("se", "size"))
-
-    per_rep = paired.mapInPandas(score, "rep int, feat int, se double, n long").groupBy("rep", "feat").agg(
+            own = pdf[feats].to_numpy(np.float64)
+            y = pdf[target].to_numpy(np.float64)
+            rep = pdf["rep"].to_numpy()
+            for j in range(len(feats)):
+                x = own.copy()
+                x[:, j] = pdf[f"p{j}"].to_numpy(np.float64)
+                u, inv = np.unique(x, axis=0, return_inverse=True)
+                err = (predict(u)[inv.ravel()] - y) ** 2
+                g = pd.DataFrame({"rep": rep, "feat": j, "se": err}).groupby(["rep", "feat"], as_index=False)
+                yield g.agg(se=("se", "sum"), n=("se", "size"))
+
+    per_rep = narrow.mapInPandas(score, "rep int, feat int, se double, n long").groupBy("rep", "feat").agg(
         (F.sum("se") / F.sum("n")).alias("mse"))
 
     def base_score(it):

@@ -50,8 +50,9 @@ def scatter_binned(df: DataFrame, params: Sequence[str], target: str, n_bins: in
     agg = long.groupBy("param").agg(F.min("x").alias("xmn"), F.max("x").alias("xmx"))
     yb = bounds(df, target).select(F.struct("mn", "mx")).scalar()
     j = long.join(F.broadcast(agg), "param")
-    bx = F.least(F.floor((F.col("x") - F.col("xmn")) / (F.col("xmx") - F.col("xmn")) * n_bins), F.lit(n_bins - 1))
-    by = F.least(F.floor((F.col(target) - yb["mn"]) / (yb["mx"] - yb["mn"]) * n_bins), F.lit(n_bins - 1))
+    # a constant column has one bin, number 0
+    bx = F.least(F.floor(F.try_divide(F.col("x") - F.col("xmn"), F.col("xmx") - F.col("xmn")) * n_bins), F.lit(n_bins - 1))
+    by = F.least(F.floor(F.try_divide(F.col(target) - yb["mn"], yb["mx"] - yb["mn"]) * n_bins), F.lit(n_bins - 1))
     return j.groupBy("param", F.coalesce(bx, F.lit(0)).cast("int").alias("xbin"),
                      F.coalesce(by, F.lit(0)).cast("int").alias("ybin")).agg(F.count(F.lit(1)).alias("count"))
 

@@ -8,13 +8,15 @@ rows, fatal for billions. Here (per column, per probability ``q``):
    ``q -/+ 2/accuracy``: a bracket ``[lo, hi]`` that contains the order
    statistics at ranks ``floor(h)`` and ``floor(h)+1``, ``h = (n-1) q``
    (Greenwald-Khanna rank error <= n/accuracy);
-2. one pass: ``count(x < lo)`` per bracket, and the rows inside the brackets
-   (about ``4 n / accuracy`` per bracket) ranked by a window per bracket;
-   the two needed order statistics are picked by global rank
-   ``count(x < lo) + local rank``;
+2. one pass: ``count(x < lo)`` per bracket, and a count of every distinct
+   value inside the brackets (pre-aggregated per task, so a value that holds a
+   third of the rows is one row; a bracket that is a single value needs no
+   more); running sums of these counts place the two order statistics;
 3. if a bracket misses a needed rank (never with the guarantee, but cheap to
    check) it is widened and the pass repeated.
 
+The method is the same at every size.
+
 The value is ``x[k] + (h - k) * (x[k+1] - x[k])``, the usual linear
 (type 7) definition, so results equal ``percentile`` / ``quantile_cont``.
 """
@@ -29,31 +31,21 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
-                    accuracy: int = 10_000, max_exact_rows: int | None = None) -> dict[str, list[float | None]]:
+                    accuracy: int = 10_000) -> dict[str, list[float | None]]:
     """``{column: [quantile at q for q in qs]}`` (driver floats; NULLs ignored).
 
     Long format: the columns are unpivoted to ``(ci, v)`` so that every pass
     is a handful of grouped aggregates, whatever the number of columns; the
     bracket table (columns x probabilities rows) is broadcast."""
     from rugosa.session import materialize
-    from rugosa.settings import SETTINGS
 
     cols = list(columns)
     qs = [float(q) for q in qs]
-    spark = df.sparkSession
-    # small inputs: Spark's exact percentile, whose single-task merge holds at
-    # most ``exact_quantile_max_rows`` values -- a proven bound
-    limit = SETTINGS.exact_quantile_max_rows if max_exact_rows is None else max_exact_rows
-    if df.count() <= limit:
-        row = df.agg(*[F.percentile(F.when(~F.isnan(c), F.col(c)), qs).alias(f"q{i}")
-                       for i, c in enumerate(cols)]).first()
-        return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(qs)
-                for i, c in enumerate(cols)}
     long = materialize(df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)
     ])).alias("t")).select("t.ci", "t.v").filter(F.col("v").isNotNull() & ~F.isnan("v")))
     try:
-        return _exact_long(spark, long, cols, qs, accuracy)
+        return _exact_long(df.sparkSession, long, cols, qs, accuracy)
     finally:
         long.unpersist(blocking=False)
 
@@ -97,7 +89,10 @@ def _exact_long(spark, long: DataFrame, cols, qs, accuracy):
             c = cnt[(i, j)]
             for rk in {k, min(k + 1, n - 1)}:
                 if c["below"] <= rk < c["below"] + c["inside"]:
-                    need.append((i, j, rk - c["below"] + 1, rk))
+                    if lo_v == hi_v:
+                        values[(i, j, rk)] = lo_v
+                    else:
+                        need.append((i, j, rk - c["below"] + 1, rk))
                 elif rk == c["below"] - 1:
                     values[(i, j, rk)] = c["mb"]
                 elif rk == c["below"] + c["inside"]:
@@ -105,10 +100,11 @@ def _exact_long(spark, long: DataFrame, cols, qs, accuracy):
                 else:
                     ok = False
         if ok and need:
-            wanted = F.broadcast(spark.createDataFrame(need, "ci int, qi int, r int, g long"))
-            inside = joined.filter((v >= lo) & (v <= hi))
-            ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("ci", "qi").orderBy("v")))
-            for row in ranked.join(wanted, ["ci", "qi", "r"]).select("ci", "qi", "g", "v").collect():
+            wanted = F.broadcast(spark.createDataFrame(need, "ci int, qi int, r long, g long"))
+            inside = joined.filter((v >= lo) & (v <= hi)).groupBy("ci", "qi", "v").agg(F.count(F.lit(1)).alias("c"))
+            upto = inside.withColumn("e", F.sum("c").over(Window.partitionBy("ci", "qi").orderBy("v")))
+            found = upto.join(wanted, ["ci", "qi"]).where("r > e - c and r <= e")
+            for row in found.select("ci", "qi", "g", "v").collect():
                 values[(row["ci"], row["qi"], row["g"])] = row["v"]
         if ok:
             for (i, j), (lo_v, hi_v, k, h, n) in plan.items():

@@ -271,7 +271,7 @@ bestlam AS (SELECT lam FROM fit ORDER BY loglik DESC, lam ASC LIMIT 1)"""
 def _importance_cte():
     reps = 10
     feats = F12
-    case_val = "CASE feat " + " ".join(f"WHEN {j} THEN {q(f)}" for j, f in enumerate(feats)) + " END"
+    case_val = "CASE feat " + " ".join(f"WHEN {j} THEN p{j}" for j, f in enumerate(feats)) + " END"
 
     def swapped(f):
         j = feats.index(f)
@@ -287,18 +287,13 @@ def _importance_cte():
     plain = lambda f: q(f)
     return FEAT12 + f""",
 pbase AS (SELECT run_id, {', '.join(q(f) for f in feats)}, Ra_planted AS y,
-                 substr(md5('{SEED}:' || run_id), 1, 2) AS bk,
-                 row_number() OVER (PARTITION BY substr(md5('{SEED}:' || run_id), 1, 2)
-                                    ORDER BY md5('{SEED}:' || run_id)) AS ra
+                 row_number() OVER (ORDER BY md5('{SEED}:' || run_id)) AS ra
           FROM feat),
-pgrid AS (SELECT r.rep, f.feat FROM range({reps}) r(rep), range({len(feats)}) f(feat)),
-pex AS (SELECT pgrid.rep, pgrid.feat, pbase.* FROM pbase, pgrid),
-pdonor AS (SELECT rep, feat, bk, {case_val} AS pv,
-                  row_number() OVER (PARTITION BY rep, feat, bk
-                                     ORDER BY md5('{SEED}:' || rep || ':' || feat || ':' || run_id)) AS rb
-           FROM pex),
-ppaired AS (SELECT pex.*, pdonor.pv FROM pex JOIN pdonor
-            ON pex.rep = pdonor.rep AND pex.feat = pdonor.feat AND pex.bk = pdonor.bk AND pex.ra = pdonor.rb),
+pdonor AS (SELECT r.rep, row_number() OVER (PARTITION BY r.rep ORDER BY md5('{SEED}:' || r.rep || ':' || run_id)) AS ra,
+                  {', '.join(f'{q(f)} AS p{j}' for j, f in enumerate(feats))}
+           FROM pbase, range({reps}) r(rep)),
+ppaired AS (SELECT f.feat, pdonor.rep, pbase.*, {case_val} AS pv
+            FROM pbase JOIN pdonor ON pbase.ra = pdonor.ra, range({len(feats)}) f(feat)),
 pbaseline AS (SELECT avg(power({svr(plain)} - y, 2)) AS b0, avg(power({gpr(plain)} - y, 2)) AS b1 FROM pbase),
 prep AS (SELECT rep, feat, avg(power({svr(swapped)} - y, 2)) AS m0, avg(power({gpr(swapped)} - y, 2)) AS m1
          FROM ppaired GROUP BY rep, feat),
@@ -434,13 +429,9 @@ FROM (SELECT run_id, Ra_planted AS y FROM runs) r,
         RUNS)
     sql["permute_column"] = _with(f"""
 SELECT a.run_id, a.Vc, b.Vc AS Vc_perm
-FROM (SELECT run_id, Vc, substr(md5('{SEED}:' || run_id), 1, 2) AS bk,
-             row_number() OVER (PARTITION BY substr(md5('{SEED}:' || run_id), 1, 2) ORDER BY md5('{SEED}:' || run_id)) AS r
-      FROM runs) a
-JOIN (SELECT Vc, substr(md5('{SEED}:' || run_id), 1, 2) AS bk,
-             row_number() OVER (PARTITION BY substr(md5('{SEED}:' || run_id), 1, 2) ORDER BY md5('{SEED}:0:Vc:' || run_id)) AS r
-      FROM runs) b
-ON a.bk = b.bk AND a.r = b.r""", RUNS)
+FROM (SELECT run_id, Vc, row_number() OVER (ORDER BY md5('{SEED}:' || run_id)) AS r FROM runs) a
+JOIN (SELECT Vc, row_number() OVER (ORDER BY md5('{SEED}:0:' || run_id)) AS r FROM runs) b
+ON a.r = b.r""", RUNS)
     sql["oof_union"] = _with(f"SELECT run_id, fold, y, {r6('pred_svr')} AS pred_svr, {r6('pred_gpr')} AS pred_gpr FROM oof", OOF)
     sql["meta_matrix"] = _with(f"SELECT run_id, y, {r6('pred_svr')} AS pred_svr, {r6('pred_gpr')} AS pred_gpr FROM oof", OOF)
     sql["weighted_ensemble"] = _with(

@@ -33,8 +33,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) point it at a fresh scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``. Only a local master may leave it
+    unset (tests); it then gets a fresh scratch folder. On a cluster a folder of
+    one machine would lose data, so there it is an error."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None
@@ -46,6 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    master = sc.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
     path = tempfile.mkdtemp(prefix="rugosa-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path

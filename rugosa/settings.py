@@ -56,18 +56,12 @@ class Settings:
     # hex digits of the md5 prefix used to split a rank into buckets; the
     # bucket-offset table has at most n_strata * 16**rank_bucket_hex rows.
     rank_bucket_hex: int = 3
-    # hex digits of the md5 prefix that defines permutation buckets
-    perm_bucket_hex: int = 2
     # random Fourier features
     gp_features: int = 128
     svr_features: int = 64
-    svr_newton_iters: int = 12
     svr_huber_delta: float = 0.1
     yj_grid: tuple[float, float, int] = (-3.0, 5.0, 33)
     yj_refine_rounds: int = 2
-    # exact quantiles: Spark's percentile (one-task merge of all values) up to
-    # this many rows, the bounded-memory bracket method above
-    exact_quantile_max_rows: int = 5_000_000
 
 
 SETTINGS = Settings()
