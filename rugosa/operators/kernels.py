@@ -16,8 +16,8 @@ undoing the target normalisation.
 SVR (M1-M2). RBF kernel ``exp(-gamma |x-x'|^2)`` -> ``omega ~ N(0, 2 gamma I)``.
 Primal ``1/2 |w|^2 + C sum L(y~ - phi'w - b)`` with the eps-insensitive loss
 smoothed over a width ``delta`` (Huber corner), on the Yeo-Johnson +
-standardised target. Solved by L-BFGS on the driver; each iteration is ONE
-pass over the rows that returns objective and gradient of every problem
+standardised target. Solved by damped Newton steps on the driver; each is ONE
+pass over the rows that returns objective, gradient and Hessian of every problem
 (trials x training splits) at once, so a whole tuning study shares its scans.
 """
 
@@ -26,8 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -229,6 +227,7 @@ class SVRModel:
     phase: np.ndarray
     theta: np.ndarray                         # (M, D + 1)
     objective: np.ndarray
+    gap: np.ndarray                           # bound on the relative distance to the optimum
     iterations: int
 
     def gamma(self, t: int, s: int) -> float:
@@ -240,115 +239,99 @@ class SVRModel:
 
 
 def _huber_eps(r: np.ndarray, eps: np.ndarray, delta: float):
+    """Loss, slope and curvature of the smoothed eps-insensitive loss, and the
+    curvature of a quadratic above its linear part (for the first steps)."""
     a = np.abs(r) - eps
     quad = (a > 0) & (a <= delta)
     lin = a > delta
     loss = np.where(quad, a * a / (2 * delta), np.where(lin, a - delta / 2, 0.0))
     d = np.where(quad, a / delta, np.where(lin, 1.0, 0.0)) * np.sign(r)
-    return loss, d
-
-
-# Executor-side cache of projected features per distinct input, valid for one
-# fit (keyed by its token). Python workers are reused across tasks, so the
-# feature pipeline runs once per input per worker instead of once per L-BFGS
-# pass; a lost worker just recomputes.
-_PROJ_CACHE: dict = {}
-_PROJ_CACHE_MAX = 2_000_000
-
-
-def _cached_projection(token: str, d: int, s: int, uniq: np.ndarray, compute) -> np.ndarray:
-    cache = _PROJ_CACHE.setdefault((token, d, s), {})
-    keys = [r.tobytes() for r in uniq]
-    missing = [i for i, k in enumerate(keys) if k not in cache]
-    if missing:
-        vals = compute(np.asarray(missing))
-        if sum(len(c) for c in _PROJ_CACHE.values()) + len(missing) > _PROJ_CACHE_MAX:
-            _PROJ_CACHE.clear()
-            cache = _PROJ_CACHE.setdefault((token, d, s), {})
-            return _cached_or_direct(keys, missing, vals, cache, compute)
-        for i, v in zip(missing, vals):
-            cache[keys[i]] = v
-    return np.stack([cache[k] for k in keys])
-
-
-def _cached_or_direct(keys, missing, vals, cache, compute):
-    if len(missing) == len(keys):
-        return vals
-    return compute(np.arange(len(keys)))
-
-
-def _svr_pass_fn(model_like, thetas: np.ndarray, n_splits: int, delta: float):
-    specs, problems = model_like["specs"], model_like["problems"]
-    preps, target, proj, phase = model_like["preps"], model_like["target"], model_like["proj"], model_like["phase"]
-    gammas = model_like["gammas"]
+    return loss, d, np.where(quad, 1.0 / delta, 0.0), np.where(lin, 1.0 / np.maximum(a, delta), 0.0)
+
+
+def _svr_table(rows: DataFrame, model: SVRModel) -> DataFrame:
+    """One row per distinct input and Arrow batch: the projections of every
+    (degree, state) and the batch's targets and folds of that input. Computed
+    once; every Newton pass reads it. No key is shuffled, so an input that holds
+    a third of all rows is spread like any other."""
+    combos = sorted({(model.specs[t].poly_degree, s) for t, s in model.problems})
+    preps, proj = model.preps, model.proj
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            uniq, inv = _unique_inputs(pdf)
+            order = np.argsort(inv, kind="stable")
+            cuts = np.cumsum(np.bincount(inv, minlength=len(uniq)))[:-1]
+            out = {"y": np.split(pdf["y"].to_numpy(np.float64)[order], cuts),
+                   "fold": np.split(pdf["fold"].to_numpy(np.int32)[order], cuts)}
+            eng = engineered_np(uniq)
+            for d in sorted({d for d, _ in combos}):
+                poly = poly_np(eng, d)
+                for s in (s for e, s in combos if e == d):
+                    out[f"b{d}_{s}"] = list(preps[d].transform(poly, s) @ proj[d].T)
+            yield pd.DataFrame(out)
+
+    from rugosa.session import ship_package
+
+    ship_package(rows.sparkSession)
+    schema = "y array<double>, fold array<int>, " + ", ".join(f"b{d}_{s} array<double>" for d, s in combos)
+    return rows.select(*INPUTS, "y", "fold").mapInPandas(run, schema)
+
+
+def _svr_pass_fn(model: SVRModel, thetas: np.ndarray, steep: np.ndarray, gammas: np.ndarray,
+                 n_splits: int, delta: float):
+    """Per problem: objective, gradient and packed Hessian of the loss part.
+    ``steep`` marks problems that also count the curvature above linear parts."""
+    specs, problems, target, phase = model.specs, model.problems, model.target, model.phase
     D = phase.shape[0]
     by_ds: dict[tuple[int, int], list[int]] = {}
     for m, (t, s) in enumerate(problems):
         by_ds.setdefault((specs[t].poly_degree, s), []).append(m)
-    C = np.array([specs[t].C for t, _ in problems])
-    EPS = np.array([specs[t].epsilon for t, _ in problems])
-
-    token = model_like["token"]
+    upper = np.triu_indices(D + 1)
 
     def fn(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
-        uniq, inv = _unique_inputs(pdf)
-        y = pdf["y"].to_numpy(np.float64)
-        fold = pdf["fold"].to_numpy()
+        ys, folds = pdf["y"].tolist(), pdf["fold"].tolist()
+        y, fold = np.concatenate(ys), np.concatenate(folds)
+        of = np.repeat(np.arange(len(ys)), [len(v) for v in ys])
         out = {}
         for (d, s), ms in by_ds.items():
-            def compute(idx, d=d, s=s):
-                z = preps[d].transform(poly_np(engineered_np(uniq[idx]), d), s)
-                return z @ proj[d].T
-            base = _cached_projection(token, d, s, uniq, compute)   # (u, D)
             rows = (fold != s) if s < n_splits else np.ones(len(y), bool)
             if not rows.any():
                 continue
-            yt = target.forward(y[rows], s)
-            iv = inv[rows]
-            ms = np.array(ms)
-            g = np.sqrt(2.0 * gammas[ms])                    # (T,)
-            phi = np.sqrt(2.0 / D) * np.cos(g[:, None, None] * base[None] + phase[None, None, :])  # (T,u,D)
-            th = thetas[ms]                                  # (T, D+1)
-            f = np.einsum("tud,td->tu", phi, th[:, :D]) + th[:, D:D + 1]
-            r = yt[None, :] - f[:, iv]                       # (T, rows)
-            loss, dl = _huber_eps(r, EPS[ms][:, None], delta)
-            gu = np.zeros((len(ms), len(uniq)))
-            for i in range(len(ms)):
-                gu[i] = np.bincount(iv, weights=dl[i], minlength=len(uniq))
-            gw = -C[ms][:, None] * np.einsum("tud,tu->td", phi, gu)
-            gb = -C[ms] * dl.sum(axis=1)
-            obj = C[ms] * loss.sum(axis=1)
-            for i, m in enumerate(ms):
-                out[int(m)] = np.concatenate([[obj[i]], gw[i], [gb[i]]])
+            base = np.stack(pdf[f"b{d}_{s}"].to_numpy())   # (u, D)
+            yt, iv = target.forward(y[rows], s), of[rows]
+            for m in ms:
+                C, eps = specs[problems[m][0]].C, specs[problems[m][0]].epsilon
+                phi = np.empty((len(base), D + 1))
+                phi[:, :D] = np.sqrt(2.0 / D) * np.cos(np.sqrt(2.0 * gammas[m]) * base + phase)
+                phi[:, D] = 1.0
+                loss, dl, curv, above = _huber_eps(yt - (phi @ thetas[m])[iv], eps, delta)
+                if steep[m]:
+                    curv = curv + above
+                g = np.bincount(iv, weights=dl, minlength=len(base))
+                h = np.bincount(iv, weights=curv, minlength=len(base))
+                hess = phi.T @ (phi * h[:, None])
+                out[m] = C * np.concatenate([[loss.sum()], -(phi.T @ g), hess[upper]])
         return out
 
     return fn
 
 
-def _lbfgs_direction(g, S_list, Y_list):
-    q = g.copy()
-    alphas = []
-    for s, y in zip(reversed(S_list), reversed(Y_list)):
-        rho = 1.0 / (y @ s)
-        a = rho * (s @ q)
-        alphas.append((rho, a, s, y))
-        q -= a * y
-    if S_list:
-        s, y = S_list[-1], Y_list[-1]
-        q *= (s @ y) / (y @ y)
-    for rho, a, s, y in reversed(alphas):
-        b = rho * (y @ q)
-        q += s * (a - b)
-    return -q
-
-
 def fit_svr(rows: DataFrame, preps: dict[int, Prep], target: TargetPrep, specs: Sequence[SVRSpec],
             states: Sequence[int], n_splits: int = SETTINGS.n_splits,
             n_features: int = SETTINGS.svr_features, seed: int = SETTINGS.seed,
-            max_iter: int = 60, delta: float = SETTINGS.svr_huber_delta, memory: int = 8,
-            tol: float = 1e-6) -> SVRModel:
-    """M1: fit every (spec, state) problem by L-BFGS; ``rows`` has columns
-    ``Vc, Fz, ap, y, fold``. Each iteration is one Spark pass."""
+            delta: float = SETTINGS.svr_huber_delta, tol: float = 1e-6, give_up: int = 200) -> SVRModel:
+    """M1: fit every (spec, state) problem by damped Newton steps; ``rows`` has
+    columns ``Vc, Fz, ap, y, fold``. Each step is one Spark pass that returns
+    objective, gradient and D x D Hessian of all problems.
+
+    The objective is 1-strongly convex in the weights, so ``|g|^2 / 2`` bounds
+    its distance to the optimum; a problem is solved when that is at most ``tol``
+    times the objective, and a fit that does not get there raises."""
+    from rugosa.session import materialize
+
     D = n_features
     rng = np.random.default_rng(seed + 7)
     degrees = sorted({sp.poly_degree for sp in specs})
@@ -357,67 +340,50 @@ def fit_svr(rows: DataFrame, preps: dict[int, Prep], target: TargetPrep, specs:
     problems = [(t, s) for t in range(len(specs)) for s in states]
     M = len(problems)
     model = SVRModel(dict(preps), target, list(specs), problems, proj, phase,
-                     np.zeros((M, D + 1)), np.zeros(M), 0)
+                     np.zeros((M, D + 1)), np.zeros(M), np.zeros(M), 0)
     gammas = np.array([model.gamma(t, s) for t, s in problems])
-    ctx = {"specs": model.specs, "problems": problems, "preps": preps, "target": target,
-           "proj": proj, "phase": phase, "gammas": gammas, "token": uuid.uuid4().hex}
-    data = rows.select(*INPUTS, "y", "fold")
-
-    def evaluate(th):
-        sums = partial_sums(data, _svr_pass_fn(ctx, th, n_splits, delta))
-        f = np.zeros(M)
-        g = np.zeros((M, D + 1))
+    data = materialize(_svr_table(rows, model))
+    upper = np.triu_indices(D + 1)
+    own = np.concatenate([np.ones(D), [0.0]])   # the regulariser spares the offset
+
+    def evaluate(th, steep):
+        sums = partial_sums(data, _svr_pass_fn(model, th, steep, gammas, n_splits, delta))
+        f, g, h = np.zeros(M), np.zeros((M, D + 1)), np.zeros((M, D + 1, D + 1))
         for m in range(M):
-            v = sums.get(m)
-            if v is not None:
-                f[m] = v[0]
-                g[m] = v[1:]
-        f += 0.5 * np.sum(th[:, :D] ** 2, axis=1)
-        g[:, :D] += th[:, :D]
-        return f, g
-
-    x = np.zeros((M, D + 1))
-    fx, gx = evaluate(x)
-    mem_s = [[] for _ in range(M)]
-    mem_y = [[] for _ in range(M)]
-    d = -gx / np.maximum(np.linalg.norm(gx, axis=1, keepdims=True), 1e-12)
+            if (v := sums.get(m)) is not None:
+                f[m], g[m] = v[0], v[1:D + 2]
+                h[m][upper] = v[D + 2:]
+                h[m] += np.triu(h[m], 1).T
+        return f + 0.5 * np.sum((own * th) ** 2, axis=1), g + own * th, h + np.diag(own)
+
+    def gap(f, g):
+        return 0.5 * np.sum(g * g, axis=1) / np.maximum(np.abs(f), 1e-12)
+
+    x, steep = np.zeros((M, D + 1)), np.ones(M, bool)
+    f, g, h = evaluate(x, steep)
+    ridge = 1e-9 * np.maximum(np.trace(h, axis1=1, axis2=2), 1.0)
     eta = np.ones(M)
-    done = np.zeros(M, bool)
     it = 0
-    for it in range(1, max_iter + 1):
-        if done.all():
-            break
-        cand = np.where(done[:, None], x, x + eta[:, None] * d)
-        fc, gc = evaluate(cand)
-        for m in range(M):
-            if done[m]:
-                continue
-            slope = gx[m] @ d[m]
-            if fc[m] <= fx[m] + 1e-4 * eta[m] * slope:
-                s_vec, y_vec = cand[m] - x[m], gc[m] - gx[m]
-                rel = (fx[m] - fc[m]) / max(abs(fx[m]), 1.0)
-                x[m], fx[m], gx[m] = cand[m], fc[m], gc[m]
-                if s_vec @ y_vec > 1e-12:
-                    mem_s[m].append(s_vec)
-                    mem_y[m].append(y_vec)
-                    if len(mem_s[m]) > memory:
-                        mem_s[m].pop(0)
-                        mem_y[m].pop(0)
-                if rel < tol or np.linalg.norm(gx[m]) < 1e-8:
-                    done[m] = True
-                d[m] = _lbfgs_direction(gx[m], mem_s[m], mem_y[m])
-                if gx[m] @ d[m] >= 0:
-                    d[m] = -gx[m]
-                    mem_s[m].clear()
-                    mem_y[m].clear()
-                eta[m] = 1.0
-            else:
-                eta[m] *= 0.5
-                if eta[m] < 1e-12:
-                    done[m] = True
-    model.theta = x
-    model.objective = fx
-    model.iterations = it
+    try:
+        while (open_ := gap(f, g) > tol).any():
+            it += 1
+            if it > give_up:
+                raise RuntimeError(f"SVR fit did not converge: relative gaps up to {gap(f, g).max():.3g}")
+            step = np.stack([-np.linalg.solve(h[m] + ridge[m] * np.eye(D + 1), g[m]) for m in range(M)])
+            slope = np.sum(g * step, axis=1)
+            cand = np.where(open_[:, None], x + eta[:, None] * step, x)
+            fc, gc, hc = evaluate(cand, steep)
+            good = open_ & (fc <= f + 1e-4 * eta * slope)
+            # plain Newton once steps gain little; back to the careful curvature where they fail
+            slow = good & (f - fc < 0.05 * np.abs(f))
+            bad = open_ & ~good
+            steep = np.where(slow, False, steep)
+            steep |= bad & (eta < 0.2)
+            x[good], f[good], g[good], h[good] = cand[good], fc[good], gc[good], hc[good]
+            eta = np.where(bad, eta * 0.4, 1.0)
+    finally:
+        data.unpersist(blocking=False)
+    model.theta, model.objective, model.gap, model.iterations = x, f, gap(f, g), it
     return model
 
 
@@ -487,7 +453,6 @@ def pooled_trial_mse(rows: DataFrame, svr: SVRModel | None = None, gp: GPModel |
                      n_specs: int = 0, n_splits: int = SETTINGS.n_splits) -> np.ndarray:
     """A10 for a whole study: pooled out-of-fold MSE of every spec in one
     pass. SVR trials of one degree share the projection of every split."""
-    token = uuid.uuid4().hex
 
     def fn(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
         uniq, inv = _unique_inputs(pdf)
@@ -507,10 +472,7 @@ def pooled_trial_mse(rows: DataFrame, svr: SVRModel | None = None, gp: GPModel |
                 for t in range(n_specs):
                     by_d.setdefault(svr.specs[t].poly_degree, []).append(t)
                 for d, ts in by_d.items():
-                    def compute(idx, d=d):
-                        z = svr.preps[d].transform(poly_np(engineered_np(xs[idx]), d), s)
-                        return z @ svr.proj[d].T
-                    base = _cached_projection(token, d, s, xs, compute)
+                    base = svr.preps[d].transform(poly_np(engineered_np(xs), d), s) @ svr.proj[d].T
                     ts = np.array(ts)
                     g = np.sqrt(2.0 * np.array([svr.gamma(t, s) for t in ts]))
                     phi = np.sqrt(2.0 / D) * np.cos(g[:, None, None] * base[None] + svr.phase[None, None, :])
@@ -530,10 +492,10 @@ def pooled_trial_mse(rows: DataFrame, svr: SVRModel | None = None, gp: GPModel |
 
 
 def with_fold_rows(folded: DataFrame, target: str, key: str = "run_id") -> DataFrame:
-    """Rows for the model passes, hash-partitioned by input so that every
-    task sees each of its distinct inputs once (see ``spread``)."""
-    from rugosa.operators.preprocess import spread
-    return spread(folded.select(key, *INPUTS, F.col(target).alias("y"), "fold"))
+    """Rows for the model passes, dealt evenly whatever their inputs and sorted
+    inside a partition, so that a batch holds few distinct inputs."""
+    n = max(folded.sparkSession.sparkContext.defaultParallelism * 2, 1)
+    return folded.select(key, *INPUTS, F.col(target).alias("y"), "fold").repartition(n).sortWithinPartitions(*INPUTS)
 
 
 def score_inputs(df: DataFrame, svr: SVRModel | None, gp: GPModel | None, key: str = "run_id",

@@ -108,6 +108,7 @@ class Prep:
     mean: np.ndarray   # (S, p)
     sd: np.ndarray     # (S, p)
     inputs: str = "engineered"
+    live: np.ndarray | None = None   # (S,) columns that are not constant
 
     def expand(self, v: np.ndarray) -> np.ndarray:
         """Polynomial expansion of the model inputs of raw ``(Vc, Fz, ap)``."""
@@ -123,8 +124,9 @@ class Prep:
         return (t - self.mean[state]) / self.sd[state]
 
     def gamma_scale(self, state: int) -> float:
-        """``gamma="scale"``: 1 / (p * variance of all transformed entries)."""
-        return 1.0 / self.width
+        """``gamma="scale"``: 1 / (p * variance of all transformed entries).
+        Columns have mean 0 and variance 1, constant ones variance 0."""
+        return 1.0 / max(self.width if self.live is None else int(self.live[state]), 1)
 
 
 # --------------------------------------------------------------------------
@@ -168,6 +170,10 @@ def state_weights(pdf: pd.DataFrame, n_splits: int) -> np.ndarray:
 # fitting passes
 # --------------------------------------------------------------------------
 
+#: Beyond this a power transform overflows doubles; the search ends there.
+YJ_LIMIT = 64.0
+
+
 def _robust_pass(summary: DataFrame, degree: int, n_splits: int, inputs: str = "engineered") -> tuple[np.ndarray, np.ndarray]:
     p = len(poly_terms(model_inputs_np(np.ones((1, 3)), inputs).shape[1], degree))
     ncols = [f"n{k}" for k in range(n_splits)]
@@ -246,7 +252,9 @@ def _yj_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, grids: np
 
 
 def _std_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, lam,
-              inputs: str = "engineered") -> tuple[np.ndarray, np.ndarray]:
+              inputs: str = "engineered") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, deviation and number of non-constant columns. Columns are centred
+    at their median by now, so plain sums of squares do not cancel."""
     S = n_splits + 1
 
     def fn(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
@@ -260,7 +268,7 @@ def _std_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, lam,
 
     sums = partial_sums(summary, fn)
     p = med.shape[1]
-    mean, sd = np.zeros((S, p)), np.ones((S, p))
+    mean, sd, live = np.zeros((S, p)), np.ones((S, p)), np.zeros(S, int)
     for s in range(S):
         v = sums[s]
         m = v[1:1 + p] / v[0]
@@ -268,26 +276,40 @@ def _std_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, lam,
         sdv = np.sqrt(var)
         mean[s] = m
         sd[s] = np.where(sdv == 0.0, 1.0, sdv)
-    return mean, sd
+        live[s] = int((sdv > 0).sum())
+    return mean, sd, live
 
 
 def fit_prep(summary: DataFrame, degree: int, n_splits: int = SETTINGS.n_splits,
              inputs: str = "engineered") -> Prep:
     """Fit the preprocessing of one polynomial degree for every state (four
-    small passes over the distinct-input table)."""
+    kinds of small passes over the distinct-input table)."""
+    from rugosa.sources.experiments import assert_finite
+
+    assert_finite(summary, list(INPUTS))
     med, iqr = _robust_pass(summary, degree, n_splits, inputs)
     S, p = med.shape
+
+    def search(grids):
+        ll = _yj_pass(summary, degree, n_splits, med, iqr, grids, inputs)
+        best = ll.argmax(axis=2)
+        return np.take_along_axis(grids, best[..., None], axis=2)[..., 0], best
+
     lo, hi, _ = SETTINGS.yj_grid
     base = np.linspace(lo, hi, 17)
-    grids = np.broadcast_to(base, (S, p, len(base))).copy()
-    ll = _yj_pass(summary, degree, n_splits, med, iqr, grids, inputs)
-    best = np.take_along_axis(grids, ll.argmax(axis=2)[..., None], axis=2)[..., 0]
     step = base[1] - base[0]
-    fine = best[..., None] + np.linspace(-step, step, 9)[None, None, :]
-    ll2 = _yj_pass(summary, degree, n_splits, med, iqr, fine, inputs)
-    lam = np.take_along_axis(fine, ll2.argmax(axis=2)[..., None], axis=2)[..., 0]
-    mean, sd = _std_pass(summary, degree, n_splits, med, iqr, lam, inputs)
-    return Prep(degree, med, iqr, lam, mean, sd, inputs)
+    lam, at = search(np.broadcast_to(base, (S, p, len(base))).copy())
+    edge = (at == 0) | (at == len(base) - 1)
+    # the best value lies beyond the grid: follow it
+    while edge.any() and np.abs(lam).max() < YJ_LIMIT:
+        wide = lam[..., None] + 4 * step * np.linspace(-1, 1, 9)[None, None, :]
+        far, at = search(wide)
+        lam, edge = np.where(edge, far, lam), edge & ((at == 0) | (at == 8))
+    for _ in range(2):
+        lam, _at = search(lam[..., None] + np.linspace(-step, step, 9)[None, None, :])
+        step /= 4
+    mean, sd, live = _std_pass(summary, degree, n_splits, med, iqr, lam, inputs)
+    return Prep(degree, med, iqr, lam, mean, sd, inputs, live)
 
 
 # --------------------------------------------------------------------------

@@ -6,8 +6,8 @@ scale), so it is reproducible and identical on any cluster. The reference's
 sequential TPE sampler is a single-machine optimiser; here every trial is
 evaluated in parallel, sharing each pass over the data:
 
-* SVR (T2): all trials x training splits are one batch of L-BFGS problems --
-  one scan per iteration for the whole study;
+* SVR (T2): all trials x training splits are one batch of Newton problems --
+  one scan per step for the whole study;
 * GP (T3): one Gram pass over the distinct-input table for all trials x
   splits (amplitude and noise reuse a Gram), then one scoring pass.
 
@@ -60,7 +60,7 @@ def _result_table(spark, trials: list[dict], mse: np.ndarray, extra_cols: dict |
 
 
 def tune_svr(folded: DataFrame, target: str, n_trials: int = SETTINGS.svr_trials,
-             seed: int = SETTINGS.seed, max_iter: int = 40) -> tuple[DataFrame, dict, kk.SVRModel]:
+             seed: int = SETTINGS.seed) -> tuple[DataFrame, dict, kk.SVRModel]:
     """Returns (trial table with pooled OOF MSE, best params, fitted study)."""
     spark = folded.sparkSession
     trials = [r.asDict() for r in trial_table(spark, SETTINGS.svr_space, n_trials, "svr", seed).collect()]
@@ -70,8 +70,9 @@ def tune_svr(folded: DataFrame, target: str, n_trials: int = SETTINGS.svr_trials
     tprep = pp.fit_target_prep(folded, target)
     specs = [kk.SVRSpec(t["C"], t["epsilon"], t["gamma"], t["poly_degree"]) for t in trials]
     rows = materialize(kk.with_fold_rows(folded, target))
-    model = kk.fit_svr(rows, preps, tprep, specs, states=range(SETTINGS.n_splits), seed=seed, max_iter=max_iter)
+    model = kk.fit_svr(rows, preps, tprep, specs, states=range(SETTINGS.n_splits), seed=seed)
     mse = kk.pooled_trial_mse(rows, svr=model, n_specs=len(specs))
+    rows.unpersist(blocking=False)
     table = _result_table(spark, trials, mse)
     best = min(range(len(trials)), key=lambda i: (mse[i], trials[i]["trial_id"]))
     return table, trials[best], model

@@ -26,6 +26,9 @@ ALL = SETTINGS.n_splits  # index of the all-rows state
 
 
 def _memo(key, fn):
+    """Fits of this application alone: a new session starts anew."""
+    spark = SparkSession.getActiveSession()
+    key = (spark.sparkContext.applicationId if spark else None, key)
     if key not in _MEMO:
         _MEMO[key] = fn()
     return _MEMO[key]
@@ -35,7 +38,7 @@ def _base(spark: SparkSession, sf: str):
     def build():
         f = folded(spark, sf)
         summary = materialize(pp.input_summary(f, TARGET), checkpoint=True)
-        rows = materialize(kk.with_fold_rows(f, TARGET), checkpoint=True)
+        rows = materialize(kk.with_fold_rows(f, TARGET))
         return f, summary, rows
     return _memo((sf, "base"), build)
 
@@ -57,7 +60,7 @@ def default_svr(spark: SparkSession, sf: str) -> kk.SVRModel:
     def build():
         spec = kk.SVRSpec(**SETTINGS.svr_defaults)
         return kk.fit_svr(_base(spark, sf)[2], {spec.poly_degree: _prep(spark, sf, spec.poly_degree)},
-                          _target_prep(spark, sf), [spec], states=range(SETTINGS.n_splits + 1), max_iter=50)
+                          _target_prep(spark, sf), [spec], states=range(SETTINGS.n_splits + 1))
     return _memo((sf, "svr"), build)
 
 
@@ -73,9 +76,9 @@ def q_svr_fit(spark, sf):
     for i, (t, s) in enumerate(m.problems):
         sp = m.specs[t]
         rows.append((s, sp.C, sp.epsilon, m.gamma(t, s), sp.poly_degree, float(m.objective[i]), m.iterations,
-                     float(m.target.lam[s]), float(m.target.mean[s]), float(m.target.sd[s])))
+                     float(m.gap[i]), float(m.target.lam[s]), float(m.target.mean[s]), float(m.target.sd[s])))
     schema = ("state int, C double, epsilon double, gamma double, poly_degree int, objective double, "
-              "iterations int, target_lambda double, target_mean double, target_sd double")
+              "iterations int, relative_gap double, target_lambda double, target_mean double, target_sd double")
     return spark.createDataFrame(rows, schema)
 
 
@@ -134,7 +137,7 @@ def q_model_stacking(spark, sf):
 
 
 def q_tune_svr(spark, sf):
-    return _memo((sf, "tune_svr"), lambda: tu.tune_svr(_base(spark, sf)[0], TARGET, max_iter=25))[0]
+    return _memo((sf, "tune_svr"), lambda: tu.tune_svr(_base(spark, sf)[0], TARGET))[0]
 
 
 def q_tune_gpr(spark, sf):
