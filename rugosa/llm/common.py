@@ -33,6 +33,46 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete a table made by :func:`store` that nothing will read again."""
+    jvm = df.sparkSession._jvm
+    conf = df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/rugosa-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+class Numbered(dict):
+    """Numbers distinct keys in the order in which they are first looked up; the
+    new ones wait in ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list = []
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
+
+    def take_fresh(self) -> list:
+        out, self.fresh = self.fresh, []
+        return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that starts no column name of ``df``."""
+    name = "_" + stem
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = "_" + name
+    return name
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, so that other columns never clash or travel."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

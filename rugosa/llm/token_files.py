@@ -24,14 +24,16 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from rugosa.llm.common import SLICE_ROWS, fresh_path, id_text, store
+from rugosa.llm.common import SLICE_ROWS, Numbered, fresh_path, id_text, release, store
 from rugosa.session import ship_package
 
 #: Longest code word; one decoding table has 2**MAX_BITS entries.
@@ -40,77 +42,123 @@ MAX_BITS = 20
 STEP = 1024
 #: A block is closed when it holds this many ids.
 BLOCK_IDS = 1 << 16
+#: Blocks decoded side by side.
+LANES = 32
 #: Segments a worker remembers before it starts anew.
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 1_200_000
 
 # A single space between two of these characters always starts a pre-token.
 _SAFE = "!-~¡-¬®-ɏ"
-_UNSAFE = re.compile(f"(?:^|[^{_SAFE}]) | (?:$|[^{_SAFE}])")
+_UNSAFE = (re.compile(f" (?![{_SAFE}])"), re.compile(f" (?<![{_SAFE}] )"))
 _CUT = re.compile(f"(?<=[{_SAFE}]) (?=[{_SAFE}])")
+#: Segments that one call of the library encodes as one text.
+JOINED = 64
 
 
 def segments(text: str) -> list[str]:
-    """The text cut at safe single spaces; each later segment lost its space."""
-    if _UNSAFE.search(text) is None:
-        return text.split(" ")
-    return _CUT.split(text)
+    """The text cut before safe single spaces; each later segment lost its space."""
+    if any(p.search(text) for p in _UNSAFE):
+        return _CUT.split(text)
+    return text.split(" ")
 
 
 class SegmentEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer_file: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        # a byte-level vocabulary writes each byte as one character
+        added = {i: t.content for i, t in self.library.get_added_tokens_decoder().items()}
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(added[i].encode()) if i in added else len(token)
+        self.known = Numbered()
+        self.ids: list[bytes] = []
+        self.width = 4
+
+    def whole(self, texts: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        kind = "I" if self.width == 4 else "H"
+        return [array(kind, e.ids).tobytes() for e in got]
+
+    def learn(self, fresh: list[str]) -> None:
+        """Encode new segments, many in one text, and cut their ids apart: a
+        byte-level vocabulary loses no byte, so byte lengths tell where."""
+        spaced = [" " + s for s in fresh]
+        data = b"".join(self.whole(["".join(spaced[i : i + JOINED]) for i in range(0, len(spaced), JOINED)]))
+        read = np.cumsum(self.n_bytes[np.frombuffer(data, dtype=f"<u{self.width}")])
+        ends = np.cumsum(np.fromiter((len(s.encode()) for s in spaced), dtype=np.int64, count=len(spaced)))
+        last = np.searchsorted(read, ends)
+        if read[-1] != ends[-1] or (read[last] != ends).any():
+            raise AssertionError("the tokenizer joined bytes of two segments")
+        cuts = (last + 1) * self.width
+        at = 0
+        for end in cuts.tolist():
+            self.ids.append(data[at:end])
+            at = end
+
+    def encode(self, texts: list[str], width: int = 4) -> list[bytes]:
+        if len(self.known) > CACHE_SEGMENTS or width != self.width:
+            self.known, self.ids, self.width = Numbered(), [], width
+        number = self.known.__getitem__
         cut = [segments(t) for t in texts]
-        if len(self.known) > CACHE_SEGMENTS:
-            self.known.clear()
-        known = self.known
-        new = list({s for c in cut for s in c[1:] if s not in known})
-        known.update(zip(new, self._ids([" " + s for s in new]), strict=True))
-        first = self._ids([c[0] for c in cut])
-        return [f + b"".join([known[s] for s in c[1:]]) for f, c in zip(first, cut, strict=True)]
+        later = [list(map(number, c[1:])) for c in cut]
+        if self.known.fresh:
+            self.learn(self.known.take_fresh())
+        first = self.whole([c[0] for c in cut])
+        ids = self.ids
+        return [f + b"".join([ids[n] for n in own]) for f, own in zip(first, later, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(tokenizer_file: str) -> SegmentEncoder:
+    """The encoder of this Python worker; it outlives a task."""
+    return SegmentEncoder(tokenizer_file)
+
+
+def id_bytes(tokenizer_file: str, end_id: int) -> int:
+    """Bytes that hold any id: 2 or 4."""
+    from tokenizers import Tokenizer
 
+    return 2 if max(end_id + 1, Tokenizer.from_file(tokenizer_file).get_vocab_size()) <= 1 << 16 else 4
 
-def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens and ids (binary) of every document, with the end id."""
+
+def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int, width: int = 4) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian, ``width`` bytes each) of every
+    document, with the end id."""
     ship_package(docs.sparkSession)
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = SegmentEncoder(tokenizer_file)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        encoder = worker_encoder(tokenizer_file)
+        end = np.array([end_id], dtype=f"<u{width}").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                ids = [x + end for x in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
+                ids = [x + end for x in encoder.encode([t or "" for t in part.column(1).to_pylist()], width)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    [part.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "n_tokens", "ids"],
                 )
 
     return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> DataFrame:
+def count_ids(tokens: DataFrame, width: int) -> DataFrame:
     """id and its number of occurrences over all documents; a task sends at most
     one row per id of the vocabulary."""
 
     def run(batches):
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                got = np.bincount(np.frombuffer(ids, dtype="<u4"))
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                data = b"".join(batch.column(0).slice(at, SLICE_ROWS).to_pylist())
+                got = np.bincount(np.frombuffer(data, dtype=f"<u{width}"))
                 if len(got) > len(total):
                     got[: len(total)] += total
                     total = got
@@ -175,19 +223,31 @@ class Codebook:
         out[: len(filled)] = filled
         return out
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """Code words of one document, and the bit offset of every STEP-th id."""
-        bits = self.bits[ids]
+    def encode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[np.ndarray]]:
+        """Code words of documents of ``sizes`` ids each (at least one), every
+        document from a byte of its own on, and the bit offsets of every STEP-th
+        id of a document."""
+        bits = self.bits[ids].astype(np.int64)
         ends = np.cumsum(bits)
-        starts = ends - bits
-        word = (starts >> np.uint64(5)).astype(np.int64)
-        placed = self.code[ids] << (np.uint64(64) - (starts & np.uint64(31)) - bits)
+        last = np.cumsum(sizes)
+        doc_bits = np.diff(ends[last - 1], prepend=0)
+        doc_bytes = (doc_bits + 7) // 8
+        doc_end = np.cumsum(doc_bytes)
+        # bits that alignment has put before each document
+        shift = (doc_end - doc_bytes) * 8 - (np.cumsum(doc_bits) - doc_bits)
+        inside = ends - bits + np.repeat(shift, sizes)
+        word = inside >> 5
+        placed = self.code[ids] << (64 - (inside & 31) - bits).astype(np.uint64)
         n_words = int(word[-1]) + 2
         # the bits of two ids never overlap, so sums below 2**32 are exact in doubles
         packed = np.bincount(word, weights=(placed >> np.uint64(32)).astype(np.float64), minlength=n_words)
         packed += np.bincount(word + 1, weights=(placed & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n_words)
-        n_bytes = (int(ends[-1]) + 7) // 8
-        return packed.astype(">u4").tobytes()[:n_bytes], starts[::STEP].astype(np.int64)
+        data = packed.astype(">u4").tobytes()
+        payloads, points = [], []
+        for a, b, first, n in zip((doc_end - doc_bytes).tolist(), doc_end.tolist(), (last - sizes).tolist(), sizes.tolist(), strict=True):
+            payloads.append(data[a:b])
+            points.append(inside[first : first + n : STEP] - 8 * a)
+        return payloads, points
 
 
 def decode_lanes(payload: np.ndarray, starts: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -215,16 +275,17 @@ def decode_lanes(payload: np.ndarray, starts: np.ndarray, counts: np.ndarray, ta
 
 
 BLOCKS = (
-    "doc_ids array<long>, n_tokens array<long>, n_bytes array<long>, checkpoints array<long>, payload binary"
+    "part int, part_start long, doc_ids array<long>, n_tokens array<long>, n_bytes array<long>, checkpoints array<long>, payload binary"
 )
 
 
-def write_files(tokens: DataFrame, path: str) -> None:
-    """Write ``codebook`` and ``blocks`` under ``path``. The driver holds one
-    count per id of the vocabulary (bounded by MAX_BITS) and nothing else."""
+def write_files(tokens: DataFrame, path: str, width: int = 4) -> None:
+    """Write ``codebook`` and ``blocks`` under ``path``, and delete ``tokens``, a
+    stored table, as soon as it is coded. The driver holds one count per id of the
+    vocabulary (bounded by MAX_BITS) and nothing else."""
     spark = tokens.sparkSession
     ship_package(spark)
-    counted = count_ids(tokens).orderBy("id").collect()
+    counted = count_ids(tokens, width).orderBy("id").collect()
     ids = np.array([r["id"] for r in counted], dtype=np.int64)
     bits = code_lengths(np.array([r["n"] for r in counted], dtype=np.int64))
     rows = [(int(i), int(b)) for i, b in zip(ids, bits, strict=True)]
@@ -236,20 +297,23 @@ def write_files(tokens: DataFrame, path: str) -> None:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                made = [code.encode(np.frombuffer(x, dtype="<u4")) for x in part.column(2).to_pylist()]
+                data = part.column(2).to_pylist()
+                sizes = np.array([len(x) // width for x in data], dtype=np.int64)
+                payloads, points = code.encode(np.frombuffer(b"".join(data), dtype=f"<u{width}"), sizes)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         part.column(1),
-                        pa.array([c for _, c in made], pa.list_(pa.int64())),
-                        pa.array([p for p, _ in made], pa.binary()),
+                        pa.array(points, pa.list_(pa.int64())),
+                        pa.array(payloads, pa.binary()),
                     ],
                     names=["doc_id", "n_tokens", "checkpoints", "payload"],
                 )
 
     def pack(batches):
         docs: list[tuple] = []
-        held = 0
+        held = done = 0
+        part = TaskContext.get().partitionId()
 
         def block():
             ids, counts, points, payloads = zip(*docs, strict=True)
@@ -258,13 +322,15 @@ def write_files(tokens: DataFrame, path: str) -> None:
             offsets = np.concatenate([np.asarray(c, dtype=np.int64) + s for c, s in zip(points, starts, strict=True)])
             return pa.RecordBatch.from_arrays(
                 [
+                    pa.array([part], pa.int32()),
+                    pa.array([done], pa.int64()),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([counts], pa.list_(pa.int64())),
                     pa.array([sizes], pa.list_(pa.int64())),
                     pa.array([offsets], pa.list_(pa.int64())),
                     pa.array([b"".join(payloads)], pa.binary()),
                 ],
-                names=["doc_ids", "n_tokens", "n_bytes", "checkpoints", "payload"],
+                names=["part", "part_start", "doc_ids", "n_tokens", "n_bytes", "checkpoints", "payload"],
             )
 
         for batch in batches:
@@ -273,35 +339,48 @@ def write_files(tokens: DataFrame, path: str) -> None:
                 held += row[1]
                 if held >= BLOCK_IDS:
                     yield block()
+                    done += held
                     docs, held = [], 0
         if docs:
             yield block()
 
+    # stored, as dealing by range reads it twice
+    coded = store(tokens.mapInArrow(encode, "doc_id long, n_tokens long, checkpoints array<long>, payload binary"), "token-codes")
+    release(tokens)
     (
-        tokens.mapInArrow(encode, "doc_id long, n_tokens long, checkpoints array<long>, payload binary")
-        .repartitionByRange("doc_id")
+        coded.repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id")
         .mapInArrow(pack, BLOCKS)
         .write.option("compression", "uncompressed")
         .parquet(f"{path}/blocks")
     )
+    release(coded)
 
 
 def read_files(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens and ids_crc32 (and the ids themselves) of every document."""
+    """doc_id, start (ids of all documents before), n_tokens and ids_crc32 (and
+    the ids themselves) of every document."""
     ship_package(spark)
     book = spark.read.schema("id long, bits int").parquet(f"{path}/codebook").collect()  # at most 2**MAX_BITS rows
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    # parts are doc_id ranges in order; a row per part reaches the driver
+    sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, n: a + n)).alias("n"))
+    before, total = {}, 0
+    for r in sorted(sizes.collect()):
+        before[r["part"]] = total
+        total += r["n"]
     shared = spark.sparkContext.broadcast(
-        (np.array([r["id"] for r in book], dtype=np.int64), np.array([r["bits"] for r in book], dtype=np.int64))
+        (np.array([r["id"] for r in book], dtype=np.int64), np.array([r["bits"] for r in book], dtype=np.int64), before)
     )
-    names = ["doc_id", "n_tokens", "ids_crc32", "ids"][: 4 if ids else 3]
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 5 if ids else 4]
 
     def run(batches):
-        table = Codebook(*shared.value).table()
+        symbols, bits, base_of = shared.value
+        table = Codebook(symbols, bits).table() if len(symbols) else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 8):  # eight blocks side by side
-                part = batch.slice(at, 8)
-                doc_ids, counts, _, points, payloads = (c.to_pylist() for c in part.columns)
+            for at in range(0, batch.num_rows, LANES):
+                own = batch.slice(at, LANES)
+                part, part_start, doc_ids, counts, _, points, payloads = (c.to_pylist() for c in own.columns)
                 base = np.cumsum([0] + [len(p) for p in payloads[:-1]]) * 8
                 starts = np.concatenate([np.asarray(p, dtype=np.int64) + b for p, b in zip(points, base, strict=True)])
                 per_doc = np.concatenate([np.asarray(c, dtype=np.int64) for c in counts])
@@ -312,8 +391,10 @@ def read_files(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                 out = decode_lanes(payload, starts, per_lane, table).astype("<u4")
                 ends = np.cumsum(per_doc)
                 docs = [out[e - n : e] for e, n in zip(ends.tolist(), per_doc.tolist(), strict=True)]
+                first = [base_of[p] + s + np.cumsum([0, *c[:-1]]) for p, s, c in zip(part, part_start, counts, strict=True)]
                 cols = [
                     pa.array([d for x in doc_ids for d in x], pa.int64()),
+                    pa.array(np.concatenate(first).astype(np.int64)),
                     pa.array(per_doc),
                     pa.array([zlib.crc32(x.tobytes()) for x in docs], pa.int64()),
                 ]
@@ -321,34 +402,13 @@ def read_files(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                     cols.append(pa.array(docs, pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = "doc_id long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
-    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(run, schema)
-
-
-def with_starts(docs: DataFrame) -> DataFrame:
-    """Add ``start``, the ids of all documents before: sums per doc_id range
-    first (a row per partition reaches the driver), then sums within a range."""
-    ranged = store(
-        docs.repartitionByRange("doc_id").withColumn("_part", F.spark_partition_id()), "token-starts"
-    )
-    sums = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.sum("n_tokens").alias("n")).collect()}
-    before, total = [], 0
-    for part in sorted(sums):
-        before.append((part, total))
-        total += sums[part]
-    base = docs.sparkSession.createDataFrame(before, "_part int, _base long")
-    inside = Window.partitionBy("_part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranged.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-        .join(F.broadcast(base), "_part")  # one row per partition
-        .withColumn("start", F.col("_base") + F.col("_in"))
-        .drop("_part", "_base", "_in")
-    )
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
+    return blocks.mapInArrow(run, schema)
 
 
 def token_files(docs: DataFrame, tokenizer_file: str, end_id: int, path: str | None = None) -> DataFrame:
     """Encode, write and read back: doc_id, start, n_tokens, ids_crc32."""
-    spark = docs.sparkSession
-    path = path or fresh_path(spark, "token-files")
-    write_files(store(tokenise(docs, tokenizer_file, end_id), "tokens"), path)
-    return with_starts(read_files(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    path = path or fresh_path(docs.sparkSession, "token-files")
+    width = id_bytes(tokenizer_file, end_id)
+    write_files(store(tokenise(docs, tokenizer_file, end_id, width), "tokens"), path, width)
+    return read_files(docs.sparkSession, path)
