@@ -23,14 +23,16 @@ import heapq
 import re
 import struct
 from array import array
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 
-from rugosa.llm.common import arrow_rows, id_text
+from rugosa.llm.common import Numbered, arrow_rows, id_text
 
 SPACE = "▁"
 #: Segments a worker remembers before it starts anew.
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 800_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SCHEMA_FULL = "doc_id long, ids array<int>, decoded string"
 
@@ -171,35 +173,35 @@ class Encoder:
         self.model = PieceBpe(model_file)
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.check = check
-        self.known: dict[str, tuple[bytes, str]] = {}
-
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """Segments of each text, all of them known afterwards."""
-        cut = [segments(t) for t in texts]
-        if len(self.known) > CACHE_SEGMENTS:
-            self.known.clear()
-        known = self.known
-        new = list({s for c in cut for s in c if s not in known})
-        found = [self.model.segment_ids(s) for s in new]
-        if self.check == "segments" and new:
+        self.known = Numbered()
+        self.ids: list[bytes] = []
+        self.decimal: list[str] = []
+
+    def learn(self, fresh: list[str]) -> None:
+        """Run new segments through the agenda, in the order of their numbers."""
+        found = [self.model.segment_ids(s) for s in fresh]
+        if self.check == "segments":
             # the library adds no leading space to an empty text
-            full = [(s, i) for s, i in zip(new, found, strict=True) if s]
+            full = [(s, i) for s, i in zip(fresh, found, strict=True) if s]
             for (s, i), other in zip(full, self.library.encode([s for s, _ in full], num_threads=1), strict=True):
                 if i != other:
                     raise AssertionError(f"segment {s[:200]!r}: {i[:50]}, the library gives {other[:50]}")
-        for s, i in zip(new, found, strict=True):
-            known[s] = (array("i", i).tobytes(), ",".join(map(str, i)))
-        return cut
+        self.ids += [array("i", i).tobytes() for i in found]
+        self.decimal += [",".join(map(str, i)) for i in found]
 
     def encode(self, texts: list[str]) -> list[tuple[array, str]]:
         """Ids and their decimal form of each text."""
+        if len(self.known) > CACHE_SEGMENTS:
+            self.known, self.ids, self.decimal = Numbered(), [], []
+        number = self.known.__getitem__
+        cut = [list(map(number, segments(t))) for t in texts]
+        if self.known.fresh:
+            self.learn(self.known.take_fresh())
         out = []
-        known = self.known
-        for cut in self.learn(texts):
-            got = [known[s] for s in cut]
+        for own in cut:
             ids = array("i")
-            ids.frombytes(b"".join([g[0] for g in got]))
-            out.append((ids, ",".join([g[1] for g in got])))
+            ids.frombytes(b"".join([self.ids[n] for n in own]))
+            out.append((ids, ",".join([self.decimal[n] for n in own])))
         if self.check == "texts":
             for text, (ids, _), other in zip(texts, out, self.library.encode(texts, num_threads=1), strict=True):
                 if ids.tolist() != other:
@@ -207,11 +209,17 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(model_file: str, check: str) -> Encoder:
+    """The encoder of this Python worker; it outlives a task."""
+    return Encoder(model_file, check)
+
+
 def encode_documents(docs: DataFrame, model_file: str, check: str = "segments") -> DataFrame:
     """doc_id, ids and decoded text of every document."""
 
     def make():
-        encoder = Encoder(model_file, check)
+        encoder = worker_encoder(model_file, check)
 
         def rows(part):
             texts = [t or "" for _, t in part]
@@ -225,25 +233,27 @@ def encode_documents(docs: DataFrame, model_file: str, check: str = "segments")
     return arrow_rows(id_text(docs), SCHEMA_FULL, ["doc_id", "ids", "decoded"], make)
 
 
-def digest_documents(docs: DataFrame, model_file: str, check: str = "segments") -> DataFrame:
-    """doc_id, number of ids, digests of the ids and of the decoded text; the
-    same work as :func:`encode_documents`, without moving the ids to the JVM."""
+def digest_documents(docs: DataFrame, model_file: str, check: str = "segments", ids: bool = False) -> DataFrame:
+    """doc_id, number of ids, digests of the ids and of the decoded text (and the
+    ids themselves) of every document."""
+    columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if ids else 4]
 
     def make():
-        encoder = Encoder(model_file, check)
+        encoder = worker_encoder(model_file, check)
 
         def rows(part):
             out = []
-            for (d, _), (ids, decimal) in zip(part, encoder.encode([t or "" for _, t in part]), strict=True):
-                decoded = encoder.model.decode(ids) if ids else ""
-                out.append((
+            for (d, _), (own, decimal) in zip(part, encoder.encode([t or "" for _, t in part]), strict=True):
+                decoded = encoder.model.decode(own) if own else ""
+                row = (
                     d,
-                    len(ids),
+                    len(own),
                     hashlib.sha256(decimal.encode()).hexdigest(),
                     hashlib.sha256(decoded.encode()).hexdigest(),
-                ))
+                )
+                out.append((*row, np.frombuffer(own, dtype=np.int32)) if ids else row)
             return out
 
         return rows
 
-    return arrow_rows(id_text(docs), SCHEMA, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], make)
+    return arrow_rows(id_text(docs), SCHEMA + ", ids array<int>" * ids, columns, make)
