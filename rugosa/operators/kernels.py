@@ -6,10 +6,11 @@ product's spectral measure is the sum of independent frequencies:
 ``omega = z1 / l + sqrt(tau) z2`` with ``tau ~ Gamma(alpha, rate=alpha)``.
 With ``phi(x) = sqrt(2/D) cos(omega x + b)`` the GP becomes Bayesian linear
 regression: one pass accumulates ``Phi'W Phi``, ``Phi' y`` and ``Phi' 1`` per
-(model, training state) over the distinct-input table; the driver solves
-``(G + s/amp I) w = Phi' y~`` (D x D), scores the marginal likelihood of
-amplitude/noise candidates from the same Gram (the kernel-parameter refit the
-reference's library runs inside ``fit``), and predicts
+(model, training state) over the distinct-input table; the driver takes one
+eigendecomposition of each ``D x D`` Gram matrix, solves
+``(G + s/amp I) w = Phi' y~`` in its basis, scores the marginal likelihood of all
+amplitude/noise candidates there (the kernel-parameter refit the reference's
+library runs inside ``fit``), and predicts
 ``mean = phi' w``, ``var = s phi' A^-1 phi + noise`` (white noise included),
 undoing the target normalisation.
 
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rugosa.operators.linalg import cholesky_solve, partial_sums
+from rugosa.operators.linalg import partial_sums
 from rugosa.operators.preprocess import (
     INPUTS,
     Prep,
@@ -74,7 +75,7 @@ class GPState:
     y_mean: float
     y_std: float
     weights: np.ndarray
-    chol: np.ndarray        # Cholesky factor of A = G + (s/amp) I
+    root: np.ndarray        # root @ root.T is the inverse of A = G + (s/amp) I
     lml: float
     n: float
 
@@ -99,49 +100,40 @@ def gp_frequencies(p: int, spec: GPSpec, n_features: int, seed: int) -> tuple[np
     return z1 / spec.length_scale + np.sqrt(tau)[:, None] * z2, phase
 
 
-def _lml(G, uy, yy, n, amp, noise, jitter):
-    D = G.shape[0]
-    s = noise + jitter
-    A = G + (s / amp) * np.eye(D)
-    w, L = cholesky_solve(A, uy)
-    quad = (yy - uy @ w) / s
-    logdet = 2.0 * np.sum(np.log(np.diag(L)))
-    lml = -0.5 * (quad + (n - D) * np.log(s) + D * np.log(amp) + logdet + n * np.log(2 * np.pi))
-    return lml, w, L
-
-
-# candidate grids of the marginal-likelihood refit (M6), as multipliers of
-# the initial value; noise is scanned on absolute decades inside the white
-# kernel's default bounds
+# candidates of the marginal-likelihood refit (M6). Amplitude and noise are
+# scanned on absolute half decades, from one eigendecomposition per Gram matrix;
+# length scales and RQ alphas are multipliers of the initial value, and the scan
+# goes on beyond an end where the best value stands, up to KERNEL_BOUNDS
 REFIT_LENGTH_MULT = (1.0, 2.0, 4.0, 8.0, 16.0)
-REFIT_AMP_MULT = (0.25, 0.5, 1.0, 2.0, 4.0)
+REFIT_ALPHA_MULT = (0.125, 0.5, 2.0, 8.0)
+REFIT_AMP = tuple(float(10.0 ** (e / 2.0)) for e in range(-6, 9))
 REFIT_NOISE = tuple(float(10.0 ** (e / 2.0)) for e in range(-10, 3))
-
-
-def fit_gp(summary: DataFrame, prep: Prep, specs: Sequence[GPSpec], n_splits: int = SETTINGS.n_splits,
-           n_features: int = SETTINGS.gp_features, seed: int = SETTINGS.seed,
-           refit: bool = True, states: Sequence[int] | None = None,
-           length_mult: Sequence[float] = REFIT_LENGTH_MULT) -> GPModel:
-    """M3 + M6: fit every spec on every training state in ONE pass over the
-    distinct-input table (``input_summary``). With ``refit`` the kernel is
-    re-selected by marginal likelihood, as the reference's library does
-    inside ``fit``: length-scale candidates need their own feature maps
-    (computed in the same pass); amplitude and noise candidates reuse the
-    same Gram matrix."""
-    S = n_splits + 1
-    states = list(range(S)) if states is None else list(states)
-    p = prep.width
-    lmults = tuple(length_mult) if refit else (1.0,)
-    variants = []   # (spec index, length multiplier)
-    freqs = []
-    for t, sp in enumerate(specs):
-        for lm in lmults:
-            v = GPSpec(sp.amplitude, np.asarray(sp.length_scale) * lm if np.ndim(sp.length_scale) else
-                       sp.length_scale * lm, sp.alpha, sp.noise)
-            variants.append((t, v))
-            freqs.append(gp_frequencies(p, v, n_features, seed + 1000 * t))
-    V = len(variants)
-    D = n_features
+KERNEL_BOUNDS = (1e-5, 1e5)
+
+
+def _best_scales(e: np.ndarray, c: np.ndarray, yy: float, n: float, amps, noises) -> tuple[float, float, float]:
+    """(log marginal likelihood, amplitude, noise) of the best pair, given the
+    eigenvalues ``e`` of the Gram matrix and the target sums ``c`` in its basis."""
+    d = len(e)
+    best = (-np.inf, amps[0], noises[0])
+    for noise in noises:
+        s = noise + SETTINGS.gp_jitter
+        ratio = s / np.asarray(amps)[:, None]
+        shifted = e[None, :] + ratio
+        quad = (yy - np.sum(c * c / shifted, axis=1)) / s
+        lml = -0.5 * (quad + (n - d) * np.log(s) + d * np.log(amps) + np.sum(np.log(shifted), axis=1) + n * np.log(2 * np.pi))
+        i = int(np.argmax(lml))
+        if lml[i] > best[0]:
+            best = (float(lml[i]), float(amps[i]), float(noise))
+    return best
+
+
+def _gram_sums(summary: DataFrame, prep: Prep, variants: dict, n_splits: int) -> dict:
+    """Per (spec, state, variant): upper triangle of the weighted Gram matrix,
+    target sums and feature sums; per state (key ``-1 - state``) the moments."""
+    keys = list(variants)
+    freqs = list(variants.values())
+    states = sorted({k[1] for k in keys})
 
     def fn(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
         poly = prep.expand(pdf[list(INPUTS)].to_numpy(np.float64))
@@ -154,40 +146,96 @@ def fit_gp(summary: DataFrame, prep: Prep, specs: Sequence[GPSpec], n_splits: in
         for s in states:
             z = prep.transform(poly, s)
             out[-1 - s] = np.array([w[:, s].sum(), sy_tr[:, s].sum(), syy_tr[:, s].sum()])
-            for vi, (om, ph) in enumerate(freqs):
-                phi = rff(z, om, ph)
-                G = phi.T @ (phi * w[:, s][:, None])
-                out[vi * S + s] = np.concatenate([G.ravel(), phi.T @ sy_tr[:, s], phi.T @ w[:, s]])
+            for i, (_, state, _) in enumerate(keys):
+                if state == s:
+                    phi = rff(z, *freqs[i])
+                    gram = phi.T @ (phi * w[:, s][:, None])
+                    out[i] = np.concatenate([gram[np.triu_indices(len(gram))], phi.T @ sy_tr[:, s], phi.T @ w[:, s]])
         return out
 
     sums = partial_sums(summary, fn)
+    return {keys[k] if k >= 0 else k: v for k, v in sums.items()}
+
+
+def fit_gp(summary: DataFrame, prep: Prep, specs: Sequence[GPSpec], n_splits: int = SETTINGS.n_splits,
+           n_features: int = SETTINGS.gp_features, seed: int = SETTINGS.seed,
+           refit: bool = True, states: Sequence[int] | None = None,
+           length_mult: Sequence[float] = REFIT_LENGTH_MULT,
+           alpha_mult: Sequence[float] = REFIT_ALPHA_MULT) -> GPModel:
+    """M3 + M6: fit every spec on every training state; each pass over the
+    distinct-input table (``input_summary``) evaluates all open candidates. With
+    ``refit`` the kernel is re-selected by marginal likelihood, as the
+    reference's library does inside ``fit``: length scales first, then a finer
+    step, then the RQ alpha at the chosen length; amplitude and noise come from
+    the eigendecomposition of each candidate's Gram matrix. All specs share the
+    same random draws, so they are compared on equal terms.
+
+    An entry of the kernel matrix is approximated with a standard deviation of at
+    most ``amplitude / sqrt(n_features)``; the default keeps it below 4.5 %."""
+    S = n_splits + 1
+    states = list(range(S)) if states is None else list(states)
+    D = n_features
     model = GPModel(prep, list(specs), [None] * len(specs), [None] * len(specs))
-    amps = REFIT_AMP_MULT if refit else (1.0,)
-    for s in states:
-        W, SY, SYY = sums[-1 - s]
-        mu = SY / W
-        var = max(SYY / W - mu * mu, 0.0)
-        sd = np.sqrt(var) if var > 0 else 1.0
-        best: dict[int, tuple] = {}
-        for vi, (t, v) in enumerate(variants):
-            sp = specs[t]
-            vec = sums[vi * S + s]
-            G = vec[:D * D].reshape(D, D)
-            u, one = vec[D * D:D * D + D], vec[D * D + D:]
-            uy = (u - mu * one) / sd
+    upper = np.triu_indices(D)
+    best: dict[tuple[int, int], tuple] = {}   # (lml, length multiplier, alpha multiplier)
+    seen: set = set()
+
+    def kernel(t, lm, am):
+        sp = specs[t]
+        return GPSpec(sp.amplitude, np.asarray(sp.length_scale) * lm, sp.alpha * am, sp.noise)
+
+    def evaluate(wanted):
+        """``wanted``: (spec, state, (length multiplier, alpha multiplier))."""
+        new = [k for k in dict.fromkeys(wanted) if k not in seen]
+        seen.update(new)
+        if not new:
+            return
+        freqs = {k: gp_frequencies(prep.width, kernel(k[0], *k[2]), D, seed) for k in new}
+        sums = _gram_sums(summary, prep, freqs, n_splits)
+        for t, s, mult in new:
+            W, SY, SYY = sums[-1 - s]
+            mu = SY / W
+            var = max(SYY / W - mu * mu, 0.0)
+            sd = np.sqrt(var) if var > 0 else 1.0
+            vec = sums[(t, s, mult)]
+            G = np.zeros((D, D))
+            G[upper] = vec[:len(upper[0])]
+            G = G + np.triu(G, 1).T
+            u, one = vec[-2 * D:-D], vec[-D:]
+            e, Q = np.linalg.eigh(G)
+            e = np.maximum(e, 0.0)
+            c = Q.T @ ((u - mu * one) / sd)
             yy = (SYY - 2 * mu * SY + mu * mu * W) / (sd * sd)
-            noises = sorted({sp.noise, *REFIT_NOISE}) if refit else (sp.noise,)
-            for am in amps:
-                amp = float(np.clip(sp.amplitude * am, 1e-5, 1e5))
-                for noise in noises:
-                    lml, wv, L = _lml(G, uy, yy, W, amp, float(noise), SETTINGS.gp_jitter)
-                    model.candidates.append({"spec": t, "state": s, "length_scale": v.length_scale,
-                                             "amplitude": amp, "noise": float(noise), "lml": float(lml)})
-                    if t not in best or lml > best[t][0]:
-                        best[t] = (lml, vi, v, amp, float(noise), wv, L)
-        for t, (lml, vi, v, amp, noise, wv, L) in best.items():
-            model.states[(t, s)] = GPState(v, amp, noise, mu, sd, wv, L, float(lml), float(W))
-            model.state_freqs[(t, s)] = freqs[vi]
+            sp = kernel(t, *mult)
+            amps = sorted({sp.amplitude, *REFIT_AMP}) if refit else [sp.amplitude]
+            noises = sorted({sp.noise, *REFIT_NOISE}) if refit else [sp.noise]
+            lml, amp, noise = _best_scales(e, c, yy, W, amps, noises)
+            model.candidates.append({"spec": t, "state": s, "length_scale": sp.length_scale, "alpha": sp.alpha,
+                                     "amplitude": amp, "noise": noise, "lml": lml})
+            if (t, s) not in best or lml > best[t, s][0]:
+                best[t, s] = (lml, *mult)
+                shifted = e + (noise + SETTINGS.gp_jitter) / amp
+                model.states[t, s] = GPState(sp, amp, noise, mu, sd, Q @ (c / shifted), Q / np.sqrt(shifted), lml, float(W))
+                model.state_freqs[t, s] = freqs[t, s, mult]
+
+    every = [(t, s) for t in range(len(specs)) for s in states]
+    evaluate([(t, s, (lm, 1.0)) for t, s in every for lm in (length_mult if refit else (1.0,))])
+    if refit and len(length_mult) > 1:
+        low, high = min(length_mult), max(length_mult)
+        while True:   # follow the best length beyond the end of the scan
+            more = []
+            for t, s in every:
+                at, base = best[t, s][1], float(np.max(specs[t].length_scale))
+                if at >= high and KERNEL_BOUNDS[1] >= base * high * 4:
+                    more += [(t, s, (high * 2, 1.0)), (t, s, (high * 4, 1.0))]
+                if at <= low and KERNEL_BOUNDS[0] <= base * low / 4:
+                    more += [(t, s, (low / 2, 1.0)), (t, s, (low / 4, 1.0))]
+            if not more:
+                break
+            evaluate(more)
+            low, high = low / 4, high * 4
+        evaluate([(t, s, (best[t, s][1] * f, 1.0)) for t, s in every for f in (2 ** -0.5, 2 ** 0.5)])
+        evaluate([(t, s, (best[t, s][1], am)) for t, s in every for am in alpha_mult])
     return model
 
 
@@ -199,9 +247,8 @@ def gp_predict_np(model: GPModel, t: int, s: int, poly: np.ndarray, with_std: bo
     mean = phi @ st.weights * st.y_std + st.y_mean
     if not with_std:
         return mean, None
-    v = np.linalg.solve(st.chol, phi.T)
     s_n = st.noise + SETTINGS.gp_jitter
-    var = s_n * np.sum(v * v, axis=0) + st.noise
+    var = s_n * np.sum((phi @ st.root) ** 2, axis=1) + st.noise
     return mean, np.sqrt(np.maximum(var, 0.0)) * st.y_std
 
 
@@ -527,7 +574,7 @@ def score_inputs(df: DataFrame, svr: SVRModel | None, gp: GPModel | None, key: s
     return df.select(F.col(key).cast("string").alias(key), *INPUTS).mapInPandas(run, schema)
 
 
-def gp_sensitivity(summary: DataFrame, n_features: int = SETTINGS.gp_features, seed: int = SETTINGS.seed,
+def gp_sensitivity(summary: DataFrame, n_features: int = SETTINGS.gp_tuning_features, seed: int = SETTINGS.seed,
                    grid: Sequence[float] = (0.25, 0.5, 1.0, 2.0, 4.0),
                    state: int = SETTINGS.n_splits) -> tuple[list[dict], GPModel]:
     """I6 (ARD variant): one length scale per base variable on the

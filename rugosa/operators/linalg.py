@@ -1,7 +1,7 @@
 """Distributed partial sums and small dense algebra on the driver.
 
 Pattern used by every model operator: ``mapInPandas`` turns each partition
-into a few rows ``(key INT, vec ARRAY<DOUBLE>)`` of partial sums; a two-level
+into a few rows ``(key INT, vec BINARY)`` of partial sums; a two-level
 grouped element-wise sum (first by ``(key, task % fanin)``, then by ``key``)
 reduces them, so no reducer ever sees more than ``fanin`` (first level) or
 ``#tasks / fanin`` (second level) vectors of a key. Only the reduced vectors
@@ -19,13 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-PARTIAL_SCHEMA = "key int, vec array<double>"
+#: ``vec`` holds doubles, as bytes: long vectors never become Python lists.
+PARTIAL_SCHEMA = "key int, vec binary"
 
 
-@pandas_udf(T.ArrayType(T.DoubleType()))
-def vsum(v: pd.Series) -> list:
-    """Element-wise sum of equal-length double arrays (grouped aggregate)."""
-    return np.sum(np.stack(v.to_numpy()), axis=0).tolist()
+@pandas_udf(T.BinaryType())
+def vsum(v: pd.Series) -> bytes:
+    """Element-wise sum of equal-length vectors (grouped aggregate)."""
+    total = np.frombuffer(v.iloc[0], dtype=np.float64).copy()
+    for part in v.iloc[1:]:
+        total += np.frombuffer(part, dtype=np.float64)
+    return total.tobytes()
 
 
 def reduce_partials(partials: DataFrame, fanin: int = 64) -> dict[int, np.ndarray]:
@@ -36,7 +40,7 @@ def reduce_partials(partials: DataFrame, fanin: int = 64) -> dict[int, np.ndarra
     lvl1 = partials.groupBy("key", (F.abs(F.hash(F.spark_partition_id())) % fanin).alias("_t")).agg(
         vsum("vec").alias("vec"))
     lvl2 = lvl1.groupBy("key").agg(vsum("vec").alias("vec"))
-    return {int(r["key"]): np.asarray(r["vec"], dtype=np.float64) for r in lvl2.collect()}
+    return {int(r["key"]): np.frombuffer(r["vec"], dtype=np.float64) for r in lvl2.collect()}
 
 
 def partial_sums(df: DataFrame, fn: Callable[[pd.DataFrame], dict[int, np.ndarray]],
@@ -52,7 +56,7 @@ def partial_sums(df: DataFrame, fn: Callable[[pd.DataFrame], dict[int, np.ndarra
             for k, v in fn(pdf).items():
                 acc[k] = acc[k] + v if k in acc else np.asarray(v, dtype=np.float64).copy()
         if acc:
-            yield pd.DataFrame({"key": list(acc.keys()), "vec": [a.tolist() for a in acc.values()]})
+            yield pd.DataFrame({"key": list(acc.keys()), "vec": [a.tobytes() for a in acc.values()]})
 
     return reduce_partials(df.mapInPandas(per_partition, PARTIAL_SCHEMA), fanin)
 

@@ -79,18 +79,20 @@ def tune_svr(folded: DataFrame, target: str, n_trials: int = SETTINGS.svr_trials
 
 
 def tune_gpr(folded: DataFrame, target: str, n_trials: int = SETTINGS.gpr_trials,
-             seed: int = SETTINGS.seed, n_features: int = 64,
-             refit: bool = False) -> tuple[DataFrame, dict, kk.GPModel]:
+             seed: int = SETTINGS.seed, n_features: int = SETTINGS.gp_tuning_features,
+             refit: bool = True) -> tuple[DataFrame, dict, kk.GPModel]:
     """Returns (trial table with pooled OOF MSE, best params, fitted study).
-    ``refit=False`` scores the sampled kernel as drawn; ``refit=True`` lets
-    each trial re-select its kernel by marginal likelihood first."""
+    ``refit`` lets each trial re-select amplitude and noise by marginal
+    likelihood at its drawn length scale and alpha, as every fit of the
+    reference does; ``refit=False`` scores the kernel as drawn. All trials
+    share their random draws."""
     spark = folded.sparkSession
     trials = [r.asDict() for r in trial_table(spark, SETTINGS.gpr_space, n_trials, "gpr", seed).collect()]
     summary = materialize(pp.input_summary(folded, target), checkpoint=True)
     prep = pp.fit_prep(summary, SETTINGS.poly_degree)
     specs = [kk.GPSpec(t["amplitude"], t["length_scale"], t["alpha"], t["noise"]) for t in trials]
     model = kk.fit_gp(summary, prep, specs, n_features=n_features, seed=seed, refit=refit,
-                      states=range(SETTINGS.n_splits))
+                      states=range(SETTINGS.n_splits), length_mult=(1.0,))
     rows = kk.with_fold_rows(folded, target)
     mse = kk.pooled_trial_mse(rows, gp=model, n_specs=len(specs))
     table = _result_table(spark, trials, mse)

@@ -98,10 +98,10 @@ def q_gpr_fit(spark, sf):
 
 def q_gpr_marginal_likelihood(spark, sf):
     m = default_gp(spark, sf)
-    chosen = {(s): (st.spec.length_scale, st.amplitude, st.noise) for (t, s), st in m.states.items()}
-    rows = [(int(c["state"]), float(c["length_scale"]), float(c["amplitude"]), float(c["noise"]), float(c["lml"]),
-             chosen[c["state"]] == (c["length_scale"], c["amplitude"], c["noise"])) for c in m.candidates]
-    return spark.createDataFrame(rows, "state int, length_scale double, amplitude double, noise double, "
+    chosen = {s: st.lml for (t, s), st in m.states.items()}
+    rows = [(int(c["state"]), float(c["length_scale"]), float(c["alpha"]), float(c["amplitude"]), float(c["noise"]),
+             float(c["lml"]), chosen[c["state"]] == c["lml"]) for c in m.candidates]
+    return spark.createDataFrame(rows, "state int, length_scale double, alpha double, amplitude double, noise double, "
                                        "lml double, selected boolean")
 
 

@@ -57,7 +57,9 @@ class Settings:
     # bucket-offset table has at most n_strata * 16**rank_bucket_hex rows.
     rank_bucket_hex: int = 3
     # random Fourier features
-    gp_features: int = 128
+    gp_features: int = 512
+    # for studies of many kernels at once (tuning, sensitivity)
+    gp_tuning_features: int = 256
     svr_features: int = 64
     svr_huber_delta: float = 0.1
     yj_grid: tuple[float, float, int] = (-3.0, 5.0, 33)

@@ -61,6 +61,33 @@ def test_gp_posterior_equals_numpy_on_same_features(small):
     assert np.allclose(std, ref_std, rtol=1e-8)
 
 
+def test_gp_at_registered_settings_is_close_to_the_exact_gp(small):
+    """Default features and refit against an exact kernel GP with the chosen
+    kernel: held-out errors agree, and the exact marginal likelihood prefers no
+    noise far from the chosen one."""
+    _, pdf, summary, prep = small
+    model = kk.fit_gp(summary, prep, [kk.GPSpec(**kk.SETTINGS.gpr_defaults)], states=[0])
+    st = model.states[0, 0]
+    x = prep.transform(pp.poly_np(pp.engineered_np(pdf[["Vc", "Fz", "ap"]].to_numpy()), 1), 0)
+    tr = pdf.fold.to_numpy() != 0
+    y = pdf.y.to_numpy()
+    yt = (y[tr] - y[tr].mean()) / y[tr].std()
+    chosen = kk.GPSpec(st.amplitude, float(st.spec.length_scale), st.spec.alpha, st.noise)
+    k = _kernel(x[tr], x[tr], chosen)
+    mean = _kernel(x[~tr], x[tr], chosen) @ np.linalg.solve(k + st.noise * np.eye(len(k)), yt)
+    got, _ = kk.gp_predict_np(model, 0, 0, pp.poly_np(pp.engineered_np(pdf[["Vc", "Fz", "ap"]].to_numpy()[~tr]), 1))
+    error = np.mean((got - y[~tr]) ** 2)
+    assert error <= 1.15 * np.mean((mean * y[tr].std() + y[tr].mean() - y[~tr]) ** 2)
+
+    def lml(noise):
+        e = np.linalg.cholesky(k + noise * np.eye(len(k)))
+        v = np.linalg.solve(e, yt)
+        return -0.5 * v @ v - np.log(np.diag(e)).sum()
+
+    exact = max(kk.REFIT_NOISE, key=lml)
+    assert 0.3 < st.noise / exact < 3.3
+
+
 def test_random_feature_kernel_converges():
     """The product kernel RBF(l) * RQ(alpha, 1) is matched at the Monte Carlo
     rate: 16x the features -> about 4x smaller error."""
