@@ -5,13 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rugosa.llm.common import store
 
-#: Representatives of a key per round.
-REPRESENTATIVES = (1, 4, 16)
+#: The largest count of a block.
+FULL = (1 << 16) - 1
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -63,67 +63,107 @@ def shared_members(keys: DataFrame, label: str) -> DataFrame:
     return store(keys.join(shared, "key"), f"{label}-members")
 
 
+def packed(counts: list[Column]) -> list[Column]:
+    """Columns ``w0, w1, ...`` of counts of 16 bits, four in a word; larger counts
+    become FULL."""
+    out = []
+    for at in range(0, len(counts), 4):
+        word = F.lit(0).cast("long")
+        for i, c in enumerate(counts[at : at + 4]):
+            word = word.bitwiseOR(F.shiftleft(F.least(c, F.lit(FULL)).cast("long"), 16 * i))
+        out.append(word.alias(f"w{at // 4}"))
+    return out
+
+
+#: Most rows that are compared at once with others of a key, about.
+CHUNK = 512
+
+
+def joined_pairs(left: DataFrame, right: DataFrame, n_words: int, least: int) -> DataFrame:
+    """Members of other components that ``left`` may be similar to, by a join on the key."""
+    words = [f"w{i}" for i in range(n_words)]
+    counts = lambda w: [F.shiftrightunsigned(w, 16 * i).bitwiseAND(FULL) for i in range(4)]
+    shared = [F.least(x, y) for w in words for x, y in zip(counts(w), counts("p" + w), strict=True)]
+    shared = sum(shared[1:], shared[0])
+    # counts are exact unless both sets are larger than a count can be
+    possible = ((F.col("size") > FULL) & (F.col("psize") > FULL)) | (
+        (100 + least) * shared >= least * (F.col("size") + F.col("psize"))
+    )
+    other = right.select("key", *[F.col(c).alias("p" + c) for c in ("id", "component", "size", *words)])
+    both = left.join(other, "key").where("component <> pcomponent").where(possible)
+    return both.select("id", "component", "pid", "pcomponent")
+
+
 def link_members(
-    members: DataFrame, ids: DataFrame, confirm: Callable[[DataFrame], DataFrame], label: str
+    members: DataFrame,
+    profile: DataFrame,
+    n_words: int,
+    least: int,
+    confirm: Callable[[DataFrame], DataFrame],
+    label: str,
+    compare: Callable[[DataFrame, DataFrame, int, int], DataFrame] = joined_pairs,
 ) -> DataFrame:
-    """``id, component`` of every id, where ids that share a key are linked if
-    ``confirm`` says so; the component is its smallest id.
+    """``id, component`` of every id of ``profile``, where ids that share a key are
+    linked if ``confirm`` says so; the component is its smallest id.
+
+    ``profile`` has ``id, size`` and ``w0, w1, ...`` (``n_words`` of them): the size
+    of the id's set, and counts of 16 bits, four in a word, by hash block of the
+    elements, of those that another set may hold too (see :func:`packed`). Two sets
+    share at most ``m``, the sum over blocks of the smaller count, so their
+    similarity is at most ``m / (size + size - m)``; pairs that cannot reach
+    ``least`` hundredths are never made (``compare``).
 
     ``confirm`` gets distinct pairs ``a < b`` with their components ``ca, cb``
     and returns an edge ``u, v`` between the components of each confirmed pair.
 
-    In each round a few representatives of a key, drawn by hash, are compared
-    with all members of other components, never all members with all. A
-    representative so compared leaves the key; a key of one component is done.
-    Rounds end when no key holds two components, so every confirmed link has
-    been found or joins what is joined already.
+    First, one representative of each key, the one with the smallest share of
+    elements of its own (the text that others are copies of), is compared with the
+    key's members, and components are formed. Then the members of a key that are
+    not in its representative's component are compared with all of the key, but
+    for their own component. Two members that both are in the representative's
+    component need no comparison, so every confirmed link has been found or joins
+    what is joined already, and a group of copies costs rows in proportion to its
+    size.
     """
-    labels = ids.select("id", F.col("id").alias("component"))
-    turn = 0
-    while True:
-        n = REPRESENTATIVES[min(turn, len(REPRESENTATIVES) - 1)]
+    words = [f"w{i}" for i in range(n_words)]
+    labels = profile.select("id", F.col("id").alias("component"), "size", *words)
+    counts = [F.shiftrightunsigned(w, 16 * i).bitwiseAND(FULL) for w in words for i in range(4)]
+    common = sum(counts[1:], counts[0])
+    # without enough elements that others hold, no other can be similar
+    able = labels.where((F.col("size") > FULL) | (100 * common >= least * F.col("size"))).select("id")
+    members = store(members.join(able, "id", "left_semi").select("key", "id"), f"{label}-able")
+    for turn in range(2):
         placed = members.join(labels, "id")
-        picks = [
-            F.min(F.struct(F.xxhash64("id", F.lit(turn * 100 + i)).alias("h"), "id", "component")).alias(f"p{i}")
-            for i in range(n)
-        ]
-        chosen = store(
+        active = store(
             placed.groupBy("key")
-            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *picks)
+            .agg(
+                F.min("component").alias("lo"),
+                F.max("component").alias("hi"),
+                F.count(F.lit(1)).alias("n"),
+                F.min(F.struct((-common / F.col("size")).alias("share"), F.xxhash64("id").alias("h"), "id", "component")).alias("first"),
+            )
             .where("lo < hi")
-            .select("key", F.explode(F.array_distinct(F.transform(F.array(*[F.col(f"p{i}") for i in range(n)]), _member))).alias("p"))
-            .select("key", F.col("p.id").alias("pid"), F.col("p.component").alias("pcomponent")),
-            f"{label}-chosen",
+            .select("key", "n", F.col("first.id").alias("first"), F.col("first.component").alias("main")),
+            f"{label}-active",
         )
-        if chosen.isEmpty():
-            return labels
+        if active.isEmpty():
+            break
+        placed = store(placed.join(active, "key"), f"{label}-placed")
+        if turn == 0:
+            found = joined_pairs(placed.where("id = first"), placed, n_words, least)
+        else:
+            found = compare(placed.where("component <> main"), placed, n_words, least)
         first = F.col("id") < F.col("pid")
-        pairs = (
-            placed.join(chosen, "key")
-            .where("component <> pcomponent")
-            .select(
-                F.when(first, F.col("id")).otherwise(F.col("pid")).alias("a"),
-                F.when(first, F.col("pid")).otherwise(F.col("id")).alias("b"),
-                F.when(first, F.col("component")).otherwise(F.col("pcomponent")).alias("ca"),
-                F.when(first, F.col("pcomponent")).otherwise(F.col("component")).alias("cb"),
-            )
-            .distinct()
-        )
+        pairs = found.select(
+            F.when(first, F.col("id")).otherwise(F.col("pid")).alias("a"),
+            F.when(first, F.col("pid")).otherwise(F.col("id")).alias("b"),
+            F.when(first, F.col("component")).otherwise(F.col("pcomponent")).alias("ca"),
+            F.when(first, F.col("pcomponent")).otherwise(F.col("component")).alias("cb"),
+        ).distinct()
         edges = store(confirm(pairs), f"{label}-edges")
         merged = components(edges, f"{label}-components").select(F.col("node").alias("component"), "root")
         labels = store(
-            labels.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component")),
+            labels.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component"), "size", *words),
             f"{label}-labels",
         )
-        members = store(
-            members.join(chosen.select("key").distinct(), "key", "left_semi").join(
-                chosen.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti"
-            ),
-            f"{label}-members",
-        )
-        turn += 1
-
-
-def _member(pick):
-    """A pick without the hash that drew it, so that repeated picks are equal."""
-    return F.struct(pick["id"].alias("id"), pick["component"].alias("component"))
+    return labels.select("id", "component")

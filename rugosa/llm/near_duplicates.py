@@ -12,12 +12,12 @@
    a key. At a Jaccard similarity of 0.85 a position differs with probability
    0.15, so a pair differs in more than 25 of 65 positions about once in a
    million.
-4. Inside a key, members are compared with a few representatives a round, never
-   all with all: members already in one component need no comparison, and a
-   representative that was compared with every member of another component
-   leaves the key. Rounds go on until no key holds two components, so no link
-   between components is lost and hot keys cost rows in proportion to their
-   size as long as their members are alike.
+4. Inside a key, a representative is compared with all members; the members that
+   do not join its component are then compared with all others, chunk by chunk.
+   Counts per hash block, without the shingles that one member alone holds, bound
+   how much two sets share; pairs that cannot be similar are not made. No link
+   between components is lost, and a hot key costs rows in proportion to its size
+   as long as its members are alike.
 5. A compared pair is kept when its signature distance is within the threshold
    and its full shingle sets confirm 100 * intersection >= 85 * union.
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rugosa.llm.common import SLICE_ROWS, id_text, store
-from rugosa.llm.components import link_members, shared_members
+from rugosa.llm.components import CHUNK, FULL, link_members, packed, shared_members
 from rugosa.session import ship_package
 
 #: Words of a shingle.
@@ -49,6 +49,8 @@ CHUNKS, WIDTH = 13, 5
 POSITIONS = CHUNKS * WIDTH
 #: Pigeonhole: within this distance some chunk has at most one error.
 DISTANCE = 2 * CHUNKS - 1
+#: Hash blocks of the counts that bound how much two sets share.
+BLOCKS = 32
 #: Words a worker remembers the hash of before it starts anew.
 CACHE_WORDS = 400_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -207,13 +209,75 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return wanted.dropDuplicates(["id"]).mapInArrow(run, "id long, set binary")
 
 
+def _profile(sets: DataFrame) -> DataFrame:
+    """``id, size, w0, ...``: elements of each set, and per hash block those that
+    another set holds too."""
+
+    def run(batches):
+        for batch in batches:
+            for i, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = np.frombuffer(s, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i))], names=["h", "id"])
+
+    held = sets.mapInArrow(run, "h long, id long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    block = F.pmod(F.col("h"), F.lit(BLOCKS)).cast("int")
+    own = held.where("n = 1").groupBy("id").agg(*[F.count(F.when(block == i, 1)).cast("int").alias(f"o{i}") for i in range(BLOCKS)])
+
+    def count(batches):
+        for batch in batches:
+            ids, data = (c.to_pylist() for c in batch.columns)
+            rows = [np.bincount(np.frombuffer(s, dtype=np.int64) % BLOCKS, minlength=BLOCKS).astype(np.int32) for s in data]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([len(s) // 8 for s in data], pa.int64()), pa.array(rows, pa.list_(pa.int32()))],
+                names=["id", "size", "every"],
+            )
+
+    sized = sets.mapInArrow(count, "id long, size long, every array<int>")
+    left = [F.col("every")[i] - F.coalesce(F.col(f"o{i}"), F.lit(0)) for i in range(BLOCKS)]
+    return sized.join(own, "id", "left").select("id", "size", *packed(left))
+
+
+def _compared(left: DataFrame, right: DataFrame, n_words: int, least: int) -> DataFrame:
+    """Like ``joined_pairs``: members are gathered in chunks of about CHUNK rows of
+    a key, and each pair of chunks is compared as two small matrices."""
+    columns = ["id", "component", "size", *[f"w{i}" for i in range(n_words)]]
+
+    def chunked(df, prefix):
+        chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)).alias("chunk")
+        rows = df.select("key", chunk, F.struct(*columns).alias("m")).groupBy("key", "chunk").agg(F.collect_list("m").alias("m"))
+        return rows.select("key", *[F.col(f"m.{c}").alias(prefix + c) for c in columns])
+
+    both = chunked(left, "l").join(chunked(right, "r"), "key").drop("key")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lists = [c[i].values.to_numpy(zero_copy_only=False) for c in batch.columns]
+                l, r = lists[: len(columns)], lists[len(columns) :]
+                counts_l, counts_r = (np.stack(x[3:], axis=1).astype("<i8").view("<u2") for x in (l, r))
+                for at in range(0, len(l[0]), 64):
+                    own = slice(at, at + 64)
+                    shared = np.minimum(counts_l[own, None, :], counts_r[None, :, :]).sum(axis=2, dtype=np.int64)
+                    size_l, size_r = l[2][own, None], r[2][None, :]
+                    near = ((100 + least) * shared >= least * (size_l + size_r)) | ((size_l > FULL) & (size_r > FULL))
+                    a, b = np.nonzero(near & (l[1][own, None] != r[1][None, :]))
+                    if len(a):
+                        a = a + at
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(x) for x in (l[0][a], l[1][a], r[0][b], r[1][b])], names=["id", "component", "pid", "pcomponent"]
+                        )
+
+    return both.mapInArrow(run, "id long, component long, pid long, pcomponent long")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, least: int = LEAST, size: int = SHINGLE) -> DataFrame:
     """``id, component`` of every class (``id, signature``) that shares a key."""
     members = shared_members(index_keys(classes), "near")
     ids = store(members.select("id").distinct(), "near-ids")
     sets = store(_sets(docs, ids, size), "near-sets")
     signed = store(classes.join(ids, "id", "left_semi").select("id", "signature"), "near-signed")
-    return link_members(members, ids, lambda pairs: _confirmed(_near(pairs, signed), sets, least), "near")
+    profile = store(_profile(sets), "near-profile")
+    return link_members(members, profile, BLOCKS // 4, least, lambda pairs: _confirmed(_near(pairs, signed), sets, least), "near", _compared)
 
 
 def near_duplicates(docs: DataFrame, least: int = LEAST, size: int = SHINGLE) -> DataFrame:
