@@ -25,10 +25,13 @@ from rugosa.sources.tables import load_table, run_id_expr
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# fixed values: the names of the reported models
 MODELS4 = ("SVR", "GPR", "Weighted_Ensemble", "Stacking_Ensemble")
 YJ_LAMBDAS = (-1.0, 0.0, 0.5, 2.0, 3.0)
 YJ_FIT_GRID = (-3.0, 5.0, 33)
-IMPORTANCE_METHODS = ("SVR (Permutation)", "GPR (Permutation)")
+# two fixed formulas that stand for models where SQL has to follow; the fitted
+# models are in plans/models.py
+IMPORTANCE_METHODS = ("Formula (Fz/ap)", "Formula (Fz x ap)")
 
 
 # --- sources, projections ---------------------------------------------------
@@ -292,6 +295,10 @@ def q_scatter_by_param(spark, sf):
     return pdat.scatter_by_param(runs(spark, sf), "run_id", feat.BASE_INPUTS, TARGET)
 
 
+def q_scatter_binned(spark, sf):
+    return pdat.scatter_binned(runs(spark, sf), feat.BASE_INPUTS, TARGET, n_bins=20)
+
+
 def q_actual_vs_predicted(spark, sf):
     o = ens.with_optimal_blend(oof(spark, sf))
     avp = pdat.actual_vs_predicted(o, "run_id", "y", {"SVR": "pred_svr", "GPR": "pred_gpr", "ENSEMBLE": "pred_ens"})
@@ -356,6 +363,7 @@ SQL_CHECKED: dict[str, Query] = {
     "sensitivity_mean": q_sensitivity_mean,
     "target_histogram": q_target_histogram,
     "scatter_by_param": q_scatter_by_param,
+    "scatter_binned": q_scatter_binned,
     "actual_vs_predicted": q_actual_vs_predicted,
     "actual_vs_predicted_bounds": q_actual_vs_predicted_bounds,
     "model_comparison_series": q_model_comparison_series,

@@ -170,6 +170,18 @@ def q_svr_permutation_importance(spark, sf):
     return imp.normalize_importance(grouped)
 
 
+def q_model_importance_table(spark, sf):
+    """I7, A14 from the fitted models: permutation importance of the SVR beside
+    the inverse length scales of the GP, and their mean, per variable."""
+    from rugosa.operators import importance as imp
+
+    svr = q_svr_permutation_importance(spark, sf).select("method", "variable", "importance")
+    gp = q_gpr_sensitivity(spark, sf).select(F.lit("GPR (1/LengthScale)").alias("method"), "variable", "importance")
+    both = svr.unionByName(gp)
+    table = imp.importance_table(both, ["SVR (Permutation)", "GPR (1/LengthScale)"])
+    return table.join(imp.sensitivity_mean(both), "variable")
+
+
 MODEL_QUERIES = {
     "svr_fit": q_svr_fit,
     "svr_predict": q_svr_predict,
@@ -185,4 +197,5 @@ MODEL_QUERIES = {
     "tune_svr": q_tune_svr,
     "gpr_sensitivity": q_gpr_sensitivity,
     "svr_permutation_importance": q_svr_permutation_importance,
+    "model_importance_table": q_model_importance_table,
 }

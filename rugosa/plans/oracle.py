@@ -297,8 +297,8 @@ ppaired AS (SELECT f.feat, pdonor.rep, pbase.*, {case_val} AS pv
 pbaseline AS (SELECT avg(power({svr(plain)} - y, 2)) AS b0, avg(power({gpr(plain)} - y, 2)) AS b1 FROM pbase),
 prep AS (SELECT rep, feat, avg(power({svr(swapped)} - y, 2)) AS m0, avg(power({gpr(swapped)} - y, 2)) AS m1
          FROM ppaired GROUP BY rep, feat),
-pdiff AS (SELECT 'SVR (Permutation)' AS method, rep, feat, m0 - b0 AS d FROM prep, pbaseline
-          UNION ALL SELECT 'GPR (Permutation)', rep, feat, m1 - b1 FROM prep, pbaseline),
+pdiff AS (SELECT 'Formula (Fz/ap)' AS method, rep, feat, m0 - b0 AS d FROM prep, pbaseline
+          UNION ALL SELECT 'Formula (Fz x ap)', rep, feat, m1 - b1 FROM prep, pbaseline),
 featnames AS (SELECT * FROM (VALUES {', '.join(f"({j}, '{f}')" for j, f in enumerate(feats))}) t(feat, feature)),
 pimp AS (SELECT method, feature, avg(d) AS importance, stddev_pop(d) AS std
          FROM pdiff JOIN featnames USING (feat) GROUP BY method, feature)"""
@@ -432,6 +432,14 @@ SELECT a.run_id, a.Vc, b.Vc AS Vc_perm
 FROM (SELECT run_id, Vc, row_number() OVER (ORDER BY md5('{SEED}:' || run_id)) AS r FROM runs) a
 JOIN (SELECT Vc, row_number() OVER (ORDER BY md5('{SEED}:0:' || run_id)) AS r FROM runs) b
 ON a.r = b.r""", RUNS)
+    sql["scatter_binned"] = _with("""
+SELECT param, CAST(coalesce(least(floor((x - xmn) / nullif(xmx - xmn, 0) * 20), 19), 0) AS INTEGER) AS xbin,
+       CAST(coalesce(least(floor((y - ymn) / nullif(ymx - ymn, 0) * 20), 19), 0) AS INTEGER) AS ybin, count(*) AS count
+FROM (SELECT param, x, y, min(x) OVER (PARTITION BY param) AS xmn, max(x) OVER (PARTITION BY param) AS xmx,
+             min(y) OVER () AS ymn, max(y) OVER () AS ymx
+      FROM (SELECT 'Vc' AS param, Vc AS x, Ra_planted AS y FROM runs UNION ALL SELECT 'Fz', Fz, Ra_planted FROM runs
+            UNION ALL SELECT 'ap', ap, Ra_planted FROM runs))
+GROUP BY 1, 2, 3""", RUNS)
     sql["oof_union"] = _with(f"SELECT run_id, fold, y, {r6('pred_svr')} AS pred_svr, {r6('pred_gpr')} AS pred_gpr FROM oof", OOF)
     sql["meta_matrix"] = _with(f"SELECT run_id, y, {r6('pred_svr')} AS pred_svr, {r6('pred_gpr')} AS pred_gpr FROM oof", OOF)
     sql["weighted_ensemble"] = _with(
@@ -475,8 +483,8 @@ tscored AS (SELECT trial_id, alpha, (A - 2.0 * alpha * B + alpha * alpha * C) /
         f"SELECT method, variable, {r6('importance')} AS importance FROM normed", _grouped_cte(LINEAGE))
     sql["importance_table"] = _with(f"""
 SELECT variable,
-       {r6("max(CASE WHEN method = 'SVR (Permutation)' THEN importance END)")} AS "SVR (Permutation)",
-       {r6("max(CASE WHEN method = 'GPR (Permutation)' THEN importance END)")} AS "GPR (Permutation)"
+       {r6("max(CASE WHEN method = 'Formula (Fz/ap)' THEN importance END)")} AS "Formula (Fz/ap)",
+       {r6("max(CASE WHEN method = 'Formula (Fz x ap)' THEN importance END)")} AS "Formula (Fz x ap)"
 FROM normed GROUP BY variable""", _grouped_cte(LINEAGE))
     sql["sensitivity_mean"] = _with(
         f"SELECT variable, {r6('avg(importance)')} AS mean_importance FROM normed GROUP BY variable", _grouped_cte(LINEAGE))
