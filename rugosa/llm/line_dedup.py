@@ -6,13 +6,13 @@
    (characters, but for letters of several bytes), hashed to 64 bits; a shorter
    line is one shingle.
 3. One-permutation MinHash: hashes are dealt into ``BINS`` bins and each bin
-   keeps its minimum. Of a long line only the smallest hashes, about ``SMALL`` of
-   them whatever its length, reach the aggregation: no others can be minima,
-   but for the few bins left empty in both of two like lines.
+   keeps its minimum. Of a line with many different words only the smallest
+   hashes, about ``SMALL`` of them whatever its length, reach the aggregation: no
+   others can be minima, but for the few bins left empty in both of two like lines.
 4. Bands of ``ROWS`` bins are the keys under which classes meet; at a Jaccard
    similarity of 0.85 two lines share a band with a probability of 0.9995.
-5. In each key a few representatives are compared with the other members, the
-   exact Jaccard similarity of full shingle sets decides, and distributed
+5. In each key a representative is compared with all members, and those that do
+   not join it with all others; the exact Jaccard similarity of full shingle sets decides, and distributed
    union-find joins the classes (see ``components.link_members``).
 6. Of all lines of a component the first one, by (doc_id, line number), stays.
 
@@ -32,17 +32,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rugosa.llm.common import store
-from rugosa.llm.components import link_members, shared_members
+from rugosa.llm.common import free_name, quoted, store
+from rugosa.llm.components import link_members, packed, shared_members
 
 #: Bytes of a shingle.
 SHINGLE = 10
 #: Bins of the signature, and bins of a band.
 BINS, ROWS = 24, 3
 #: Hashes of a line that reach the aggregation, about.
-SMALL = 120
+SMALL = 96
+#: Shingles that a different word of a line brings, about.
+PER_WORD = 8
 #: Least similarity in hundredths.
 LEAST = 85
+#: Least agreement of signatures, in hundredths of the filled bins.
+AGREE = 52
 #: Words of the filter of candidate lines (64 bits each, 2 MB in all).
 FILTER_WORDS = 1 << 17
 
@@ -54,21 +58,26 @@ def lines(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "raw")
     )
-    line = F.lower(F.trim(F.translate("raw", "\t\x0b\x0c\r", "    ")))
+    line = F.lower(F.trim("raw", F.lit(" \t\x0b\x0c\r")))
     return rows.select("doc_id", "pos", line.alias("line")).where("line <> ''").withColumn("id", F.xxhash64("line"))
 
 
 def signatures(found: DataFrame) -> DataFrame:
     """``id`` and the minimum of each bin (null if empty) of every class."""
-    data = found.select("id", F.col("line").cast("binary").alias("data")).withColumn(
-        "last", F.greatest(F.octet_length("data") - SHINGLE, F.lit(0))
+    size = F.octet_length("line")
+    # different shingles, about: lines that repeat few words have few of them
+    several = F.when(size <= SMALL, size).otherwise(F.least(size, PER_WORD * F.size(F.array_distinct(F.split("line", " ")))))
+    data = found.select(
+        "id",
+        F.col("line").cast("binary").alias("data"),
+        F.sequence(F.lit(1), F.greatest(size - SHINGLE, F.lit(0)) + 1).alias("starts"),
+        (F.lit(_SPAN * SMALL) / several).alias("bound"),
     )
-    shingles = data.select("id", "last", "data", F.explode(F.sequence(F.lit(1), F.col("last") + 1)).alias("at")).select(
-        "id", "last", F.xxhash64(F.expr(f"substring(data, at, {SHINGLE})")).alias("h")
+    shingles = data.select("id", "bound", "data", F.explode("starts").alias("at")).select(
+        "id", "bound", F.xxhash64(F.expr(f"substring(data, at, {SHINGLE})")).alias("h")
     )
     # 31 bits to compare, and others to deal into bins
-    value = F.shiftrightunsigned("h", 33).cast("int")
-    small = shingles.withColumn("value", value).where(F.col("value") < F.lit(_SPAN * SMALL) / (F.col("last") + 1))
+    small = shingles.withColumn("value", F.shiftrightunsigned("h", 33).cast("int")).where("value < bound")
     bins = small.select("id", "value", F.pmod(F.col("h").bitwiseAND(0xFFFFFFF).cast("int"), F.lit(BINS)).alias("bin"))
     return bins.groupBy("id").agg(*[F.min(F.when(F.col("bin") == i, F.col("value"))).alias(f"m{i}") for i in range(BINS)])
 
@@ -96,17 +105,33 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
 
 
-def _shingle_set(line: str) -> Column:
+def _shingle_set(data: str) -> Column:
+    """Hashes of the different shingles of a binary column."""
     return F.expr(
-        f"array_distinct(transform(sequence(1, greatest(octet_length({line}) - {SHINGLE}, 0) + 1), "
-        f"i -> xxhash64(substring(cast({line} as binary), i, {SHINGLE}))))"
+        f"array_distinct(transform(sequence(1, greatest(octet_length({data}) - {SHINGLE}, 0) + 1), "
+        f"i -> xxhash64(substring({data}, i, {SHINGLE}))))"
     )
 
 
+def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs whose signatures agree in more than AGREE of the bins that either
+    fills; at a similarity of 0.85 a pair falls short once in 30,000. Signatures of
+    fewer than 16 bins say too little and pass."""
+    names = [f"m{i}" for i in range(BINS)]
+    for side in "ab":
+        own = signed.select(F.col("id").alias(side), *[F.col(m).alias(side + m) for m in names])
+        pairs = pairs.join(own, side)
+    same = sum((F.when(F.col("a" + m) == F.col("b" + m), 1).otherwise(0) for m in names[1:]), F.when(F.col("am0") == F.col("bm0"), 1).otherwise(0))
+    filled = sum((F.when(F.coalesce("a" + m, "b" + m).isNotNull(), 1).otherwise(0) for m in names[1:]), F.when(F.coalesce("am0", "bm0").isNotNull(), 1).otherwise(0))
+    scored = pairs.select("a", "b", "ca", "cb", same.alias("same"), filled.alias("filled"))
+    return scored.where((F.col("filled") < 16) | (100 * F.col("same") > AGREE * F.col("filled"))).drop("same", "filled")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
     """Component edges of pairs whose full shingle sets are similar enough."""
-    both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
-    sets = both.select("ca", "cb", _shingle_set("line_a").alias("sa"), _shingle_set("line_b").alias("sb"))
+    data = texts.select("id", F.col("line").cast("binary").alias("data"))
+    both = pairs.join(data.toDF("a", "da"), "a").join(data.toDF("b", "db"), "b")
+    sets = both.select("ca", "cb", _shingle_set("da").alias("sa"), _shingle_set("db").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     sized = sets.select("ca", "cb", common.alias("n"), (F.size("sa") + F.size("sb")).alias("total"))
     return sized.where(100 * F.col("n") >= least * (F.col("total") - F.col("n"))).select(F.col("ca").alias("u"), F.col("cb").alias("v"))
@@ -118,7 +143,10 @@ def line_components(docs: DataFrame, least: int = LEAST) -> DataFrame:
     members = shared_members(band_keys(signed), "line")
     ids = store(members.select("id").distinct(), "line-ids")
     texts = store(_texts(docs, ids), "line-texts")
-    return link_members(members, ids, lambda pairs: confirmed(pairs, texts, least), "line")
+    signed = store(signed.join(ids, "id", "left_semi"), "line-signed")
+    profile = texts.select("id", F.col("line").cast("binary").alias("data")).select("id", F.size(_shingle_set("data")).alias("size"))
+    profile = store(profile.select("id", "size", *packed([F.col("size")])), "line-profile")
+    return link_members(members, profile, 1, least, lambda pairs: confirmed(alike(pairs, signed), texts, least), "line")
 
 
 def dropped_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -151,13 +179,14 @@ def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def without_repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents with their kept lines as ``text``, all other columns as they
     were; a document that loses every line with a word is left out."""
-    gone = dropped_lines(docs, least).toDF("_doc", "_dropped")
-    out = docs.join(gone, F.equal_null(F.col("doc_id").cast("long"), F.col("_doc")), "left")
-    raw = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), F.col("_dropped"))
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(raw, i)), "\n")
-    )
-    lost = F.col("_dropped").isNotNull() & ~F.col("_text").rlike(r"[^\x20\x09-\x0D]")
-    out = out.withColumn("_text", text).where(~F.coalesce(lost, F.lit(False)))
-    return out.select(*[F.col("_text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    gone = dropped_lines(docs, least)
+    # other columns may have any name
+    own = {c: F.col(f"d.{quoted(c)}") for c in docs.columns}
+    new_text, dropped = free_name(docs, "text"), F.col("g.dropped")
+    joined = docs.alias("d").join(gone.alias("g"), F.equal_null(own["doc_id"].cast("long"), F.col("g.doc_id")), "left")
+    raw = F.split(own["text"], "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), dropped)
+    text = F.when(dropped.isNull(), own["text"]).otherwise(F.array_join(F.transform(kept, lambda i: F.get(raw, i)), "\n"))
+    out = joined.select(*own.values(), text.alias(new_text), dropped.isNotNull().alias(new_text + "_cut"))
+    out = out.where(~F.col(new_text + "_cut") | F.col(new_text).rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.col(new_text).alias(c) if c == "text" else F.col(quoted(c)) for c in docs.columns])
