@@ -15,7 +15,7 @@ doc_id, text, source and n_chars are carried along as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rugosa.llm.common import read, store
@@ -27,15 +27,23 @@ from rugosa.llm.piece_bpe import digest_documents
 from rugosa.llm.queries import tokenizer
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose id is among ``kept``'s."""
-    ids = kept.select("doc_id").distinct().alias("k")
-    return docs.alias("d").join(ids, F.equal_null(F.col("d.doc_id").cast("long"), F.col("k.doc_id")), "left_semi")
+#: Ids that a broadcast may hold (8 bytes each); beyond, ids are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _only(docs: DataFrame, judged: DataFrame, verdict: Column) -> DataFrame:
+    """The documents of which some row of ``judged`` has the verdict. The ids of the
+    others are counted first: while they are few they are broadcast, and the texts
+    stay where they are."""
+    rest = judged.groupBy("doc_id").agg(F.max(verdict).alias("stays")).where("not stays").select("doc_id")
+    rest = store(rest, "rejected")
+    rest = F.broadcast(rest) if rest.count() <= BROADCAST_IDS else rest
+    return docs.alias("d").join(rest.alias("r"), F.equal_null(F.col("d.doc_id").cast("long"), F.col("r.doc_id")), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules (operator 9)."""
-    return _only(docs, quality_rules(docs).where("kept"))
+    return _only(docs, quality_rules(docs), F.col("kept"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +58,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (operator 1)."""
-    return _only(docs, near_duplicates(docs).where("kept"))
+    return _only(docs, near_duplicates(docs), F.col("kept"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages do not contaminate (operator 2)."""
-    return _only(docs, hits(docs, read(spark, sf_dir, "benchmark")).where("not contaminated"))
+    return _only(docs, hits(docs, read(spark, sf_dir, "benchmark")), ~F.col("contaminated"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
