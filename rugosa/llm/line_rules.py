@@ -8,13 +8,14 @@ from the reckoning: a document that these lines make up, nearly whole, is
 depleted and rejected.
 
 Copies of a document are no evidence of boilerplate. What is counted is hence
-not rows but contexts: the smallest line hash of the document besides the line
-itself. Exact copies share it, most near copies share it, and different
-documents that hold the same footer do not.
+not rows but different documents, told apart by a digest of the whole set of
+their line hashes: exact copies, and those that differ in case, digits, white
+space or the order of lines, count once; documents that differ in any other line
+count each, however many lines of a template they share.
 
 Counts are pre-aggregated before each shuffle; the join of lines with frequent
 lines is one that adaptive execution splits at hot lines. The limit is a share
-of the host's contexts with a floor, so it behaves alike at every size.
+of the host's documents with a floor, so it behaves alike at every size.
 
 Defined results: a null or empty text has no words, fails the base rules and is
 not kept; a null host is a host of its own; repeated rows are copies; an empty
@@ -35,9 +36,9 @@ from rugosa.llm.common import arrow_rows, store
 
 #: Fewest words of a document.
 MIN_WORDS = 50
-#: A line is boilerplate of its host above this share of the host's contexts (1/SHARE) ...
+#: A line is boilerplate of its host above this share of the host's different documents (1/SHARE) ...
 SHARE = 200
-#: ... and in more contexts than this.
+#: ... and in more of them than this.
 FLOOR = 20
 #: A document is depleted when boilerplate leaves less than this share of its words (in hundredths).
 LEFT = 20
@@ -111,10 +112,9 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, share: int = SHARE, floor: int = FLOOR) -> DataFrame:
-    """``host, line`` above the limit, from ``host, line, context`` rows."""
-    contexts = lines.select("host", "line", "context").distinct()
-    counted = contexts.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    """``host, line`` above the limit, from ``host, line, document`` rows."""
     # different documents of a host, copies counted once
+    counted = lines.select("host", "line", "document").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     sizes = lines.select("host", "document").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     limit = (F.col("n") > floor) & (share * F.col("n") > F.col("total"))
     # hosts may be many; equal_null keeps the null host
@@ -124,23 +124,13 @@ def boilerplate(lines: DataFrame, share: int = SHARE, floor: int = FLOOR) -> Dat
 def quality_rules(docs: DataFrame, host: str = "source", share: int = SHARE, floor: int = FLOOR, left: int = LEFT) -> DataFrame:
     """doc_id, the base counts, n_boilerplate_words, base_failed, kept."""
     base = store(measured(docs, host), "line-rules")
-    # the two smallest line hashes stand for the document: a line's context is
-    # the smaller of them that is not the line itself
-    per_line = base.where("size(lines) > 0").select(
+    lines = base.where("size(lines) > 0").select(
         "doc_id",
         "host",
-        F.array_min("lines").alias("document"),
-        F.array_min(F.filter("lines", lambda x: x != F.array_min("lines"))).alias("second"),
+        F.xxhash64(F.array_sort("lines")).alias("document"),
         F.explode(F.arrays_zip("lines", "line_words")).alias("l"),
     )
-    lines = per_line.select(
-        "doc_id",
-        "host",
-        "document",
-        F.col("l.lines").alias("line"),
-        F.col("l.line_words").alias("words"),
-        F.when(F.col("document") == F.col("l.lines"), F.col("second")).otherwise(F.col("document")).alias("context"),
-    )
+    lines = lines.select("doc_id", "host", "document", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     frequent = boilerplate(lines, share, floor)
     found = lines.alias("l").join(
         frequent.alias("f"), (F.col("l.line") == F.col("f.line")) & F.equal_null(F.col("l.host"), F.col("f.host"))

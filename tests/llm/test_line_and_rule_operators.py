@@ -136,6 +136,26 @@ def test_quality_rules_match_brute_force(make):
     assert quality_rules(make([])).collect() == []
 
 
+def test_quality_rules_count_documents_of_a_template(make):
+    from rugosa.llm.line_rules import quality_rules
+
+    rng = random.Random(22)
+    docs = []
+    for size in (1, 10, 20, 30):
+        for times in (21, 60, 200):  # 21 different documents are the least above the floor
+            template = [line(rng, 60 // size + 8) for _ in range(size)]
+            # one own line each, of digits and letters, and a copy of every document
+            own = [f"{template[0].split()[0]} {word(rng)}q{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uv'[i // 100]}" for i in range(times)]
+            docs += [(len(docs) + i, "\n".join([*template, x]), f"t{size}x{times}") for i, x in enumerate([*own, *own])]
+    # 20 documents and their copies are below it
+    few = [line(rng, 12) for _ in range(10)]
+    docs += [(len(docs) + i, "\n".join([*few, f"own {'abcdefghijklmnopqrst'[i % 20]}"]), "few") for i in range(100)]
+    for r in quality_rules(make(docs)).collect():
+        _, text, host = docs[r.doc_id]
+        shared = 0 if host == "few" else sum(len(x.split()) for x in text.split("\n")[:-1])
+        assert (r.n_boilerplate_words, r.base_failed, r.kept) == (shared, False, host == "few"), host
+
+
 ASSIGN = re.compile(
     r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
