@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from rugosa.llm.common import read, store
 from rugosa.llm.contamination import hits
 from rugosa.llm.line_dedup import without_repeated_lines
-from rugosa.llm.line_rules import quality_rules
+from rugosa.llm.line_rules import above_limit, measured, verdicts, without_boilerplate
 from rugosa.llm.near_duplicates import near_duplicates
 from rugosa.llm.piece_bpe import digest_documents
 from rugosa.llm.queries import tokenizer
@@ -41,19 +41,26 @@ def _only(docs: DataFrame, judged: DataFrame, verdict: Column) -> DataFrame:
     return docs.alias("d").join(rest.alias("r"), F.equal_null(F.col("d.doc_id").cast("long"), F.col("r.doc_id")), "left_anti")
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    """n_chars, where there is one, follows the text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    size = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return docs.withColumn("n_chars", F.coalesce(size, F.col("n_chars")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules (operator 9)."""
-    return _only(docs, quality_rules(docs), F.col("kept"))
+    """Documents that pass the quality rules, without their boilerplate lines
+    (operator 9); n_chars follows the text."""
+    base = store(measured(docs), "line-rules")
+    gone = store(above_limit(base), "boilerplate")
+    return _sized(without_boilerplate(_only(docs, verdicts(base, gone), F.col("kept")), gone))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that another document, or an earlier line,
     holds too (operator 5); n_chars follows the text."""
-    out = without_repeated_lines(docs)
-    if "n_chars" not in docs.columns:
-        return out
-    size = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", F.coalesce(size, F.col("n_chars")))
+    return _sized(without_repeated_lines(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,9 +3,9 @@
 Base rules count words, symbols, repeated lines and repeated three-word windows
 of every whole text. The method then hashes each normalised line (A-Z
 lower-cased, digits read as 0, white space collapsed), counts in how many
-different documents of one host it stands, and removes lines above the limit
-from the reckoning: a document that these lines make up, nearly whole, is
-depleted and rejected.
+different documents of one host it stands, and removes the lines above the limit
+(:func:`without_boilerplate`). A document that these lines make up, nearly whole,
+is depleted and rejected; n_boilerplate_words counts the words removed.
 
 Copies of a document are no evidence of boilerplate. What is counted is hence
 not rows but different documents, told apart by a digest of the whole set of
@@ -19,8 +19,9 @@ of the host's documents with a floor, so it behaves alike at every size.
 
 Defined results: a null or empty text has no words, fails the base rules and is
 not kept; a null host is a host of its own; repeated rows are copies; an empty
-table gives an empty result; extra columns are ignored. Rows are told apart by
-doc_id and host; rows with a null doc_id are judged together for depletion.
+table gives an empty result. Every row loses the lines that its own text holds,
+whatever rows share its doc_id. ``quality_rules`` ignores extra columns,
+``without_boilerplate`` keeps them as they are.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rugosa.llm.common import arrow_rows, store
+from rugosa.llm.common import arrow_rows, free_name, quoted, store
+from rugosa.session import ship_package
 
 #: Fewest words of a document.
 MIN_WORDS = 50
@@ -76,6 +79,21 @@ def repeat_words(words: list) -> int:
     return int(hit.sum())
 
 
+def line_key(words: list[bytes]) -> int:
+    """Hash of a normalised line, given its words."""
+    return _signed(xxhash.xxh3_64_intdigest(b" ".join(words).translate(_LINE)))
+
+
+def without_lines(text: str, gone: set) -> str:
+    """The text without the lines whose hash is in ``gone``."""
+    kept = []
+    for raw in text.split("\n"):
+        own = raw.encode().split()
+        if not own or line_key(own) not in gone:
+            kept.append(raw)
+    return "\n".join(kept)
+
+
 def measure(text: str | None) -> tuple:
     """Base counts, and per distinct normalised line its hash and its words."""
     text = text or ""
@@ -92,7 +110,7 @@ def measure(text: str | None) -> tuple:
             dup += 1
         seen.add(raw)
         words += own
-        key = _signed(xxhash.xxh3_64_intdigest(b" ".join(own).translate(_LINE)))
+        key = line_key(own)
         per_line[key] = per_line.get(key, 0) + len(own)
     # code points in words: bytes that start a character
     chars = len(text) - sum(map(text.count, "\t\n\x0b\x0c\r "))
@@ -121,31 +139,68 @@ def boilerplate(lines: DataFrame, share: int = SHARE, floor: int = FLOOR) -> Dat
     return counted.where(F.col("n") > floor).join(sizes, F.equal_null(counted["host"], sizes["host"])).where(limit).select(counted["host"], "line")
 
 
-def quality_rules(docs: DataFrame, host: str = "source", share: int = SHARE, floor: int = FLOOR, left: int = LEFT) -> DataFrame:
-    """doc_id, the base counts, n_boilerplate_words, base_failed, kept."""
-    base = store(measured(docs, host), "line-rules")
+def above_limit(base: DataFrame, share: int = SHARE, floor: int = FLOOR) -> DataFrame:
+    """``doc_id, host, gone``: hashes of the lines above the limit, for documents
+    that hold any; from the rows of :func:`measured`."""
     lines = base.where("size(lines) > 0").select(
-        "doc_id",
-        "host",
-        F.xxhash64(F.array_sort("lines")).alias("document"),
-        F.explode(F.arrays_zip("lines", "line_words")).alias("l"),
+        "doc_id", "host", F.xxhash64(F.array_sort("lines")).alias("document"), F.explode("lines").alias("line")
     )
-    lines = lines.select("doc_id", "host", "document", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     frequent = boilerplate(lines, share, floor)
     found = lines.alias("l").join(
         frequent.alias("f"), (F.col("l.line") == F.col("f.line")) & F.equal_null(F.col("l.host"), F.col("f.host"))
     )
-    # rows of one document (repeated rows are alike): the words of its boilerplate
-    per_doc = found.select("l.doc_id", "l.host", "l.line", "l.words").groupBy("doc_id", "host", "line").agg(F.max("words").alias("words"))
-    per_doc = per_doc.groupBy("doc_id", "host").agg(F.sum("words").alias("n_boilerplate_words"))
+    # at most the lines above the limit of one host
+    return found.select("l.doc_id", "l.host", "l.line").groupBy("doc_id", "host").agg(F.collect_set("line").alias("gone"))
+
+
+def verdicts(base: DataFrame, gone: DataFrame, left: int = LEFT) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept, n_boilerplate_words of every row
+    of :func:`measured`, given the lines of :func:`above_limit`."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    gone = F.coalesce(F.col("p.n_boilerplate_words"), F.lit(0))
-    depleted = 100 * (F.col("n_words") - gone) < left * F.col("n_words")
-    return (
-        base.alias("b")
-        .join(per_doc.alias("p"), F.equal_null(F.col("b.doc_id"), F.col("p.doc_id")) & F.equal_null(F.col("b.host"), F.col("p.host")), "left")
-        .select(
-            "b.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), gone.alias("n_boilerplate_words"),
-        )
+    # the words of the row's own lines that go
+    own = F.filter(F.arrays_zip("b.lines", "b.line_words"), lambda x: F.array_contains(F.col("p.gone"), x["lines"]))
+    removed = F.aggregate(own, F.lit(0).cast("long"), lambda n, x: n + x["line_words"])
+    rows = base.alias("b").join(
+        gone.alias("p"), F.equal_null(F.col("b.doc_id"), F.col("p.doc_id")) & F.equal_null(F.col("b.host"), F.col("p.host")), "left"
+    )
+    rows = rows.select("b.*", F.when(F.col("p.gone").isNull(), F.lit(0).cast("long")).otherwise(removed).alias("n_boilerplate_words"))
+    depleted = 100 * (F.col("n_words") - F.col("n_boilerplate_words")) < left * F.col("n_words")
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_boilerplate_words",
+    )
+
+
+def quality_rules(docs: DataFrame, host: str = "source", share: int = SHARE, floor: int = FLOOR, left: int = LEFT) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept, n_boilerplate_words."""
+    base = store(measured(docs, host), "line-rules")
+    return verdicts(base, above_limit(base, share, floor), left)
+
+
+def without_boilerplate(
+    docs: DataFrame, gone: DataFrame | None = None, host: str = "source", share: int = SHARE, floor: int = FLOOR
+) -> DataFrame:
+    """The documents without the lines above the limit, all other columns as they
+    were; a document that loses every line with a word is left out. ``gone`` may be
+    given where :func:`above_limit` of these documents is known."""
+    if gone is None:
+        gone = above_limit(store(measured(docs, host), "line-rules"), share, floor)
+    ship_package(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, lines: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else without_lines(t, set(own)) for t, own in zip(text, lines, strict=True)], dtype=object)
+
+    # other columns may have any name
+    own = {c: F.col(f"d.{quoted(c)}") for c in docs.columns}
+    new_text = free_name(docs, "text")
+    text, some = own["text"].cast("string"), F.col("g.gone").isNotNull()
+    joined = docs.alias("d").join(
+        gone.alias("g"), F.equal_null(own["doc_id"].cast("long"), F.col("g.doc_id")) & F.equal_null(own[host].cast("string"), F.col("g.host")), "left"
     )
+    # only texts that hold such a line travel to Python
+    out = joined.select(*own.values(), cut(F.when(some, text), F.col("g.gone")).alias(new_text), some.alias(new_text + "_cut"))
+    lost = F.col(new_text + "_cut") & F.col("text").rlike(r"[^\x20\x09-\x0D]") & ~F.col(new_text).rlike(r"[^\x20\x09-\x0D]")
+    out = out.where(~F.coalesce(lost, F.lit(False)))
+    new = F.when(F.col(new_text + "_cut"), F.col(new_text)).otherwise(F.col("text"))
+    return out.select(*[new.alias(c) if c == "text" else F.col(quoted(c)) for c in docs.columns])

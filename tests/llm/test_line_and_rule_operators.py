@@ -156,6 +156,36 @@ def test_quality_rules_count_documents_of_a_template(make):
         assert (r.n_boilerplate_words, r.base_failed, r.kept) == (shared, False, host == "few"), host
 
 
+def test_boilerplate_lines_are_removed(make, tmp_path, spark):
+    import corpus_pipeline
+    from rugosa.llm.line_rules import quality_rules, without_boilerplate
+
+    rng = random.Random(23)
+    menu, foot = line(rng, 4) + " 1234", line(rng, 6)
+    rows, want = [], {}
+    for i in range(60):
+        own = [line(rng, 8), "", line(rng, 60)]
+        rows.append((i, "\n".join([f"  {menu[:-1].upper()}{i % 10}\t", *own, foot, own[0], foot]), None if i % 2 else "h"))
+        want[i] = "\n".join([*own, own[0]])
+        rows.append((100 + i, "\n".join([*own[::-1], f"{word(rng)} {i}"]), "other"))
+        want[100 + i] = rows[-1][1]
+    rows += [(200, foot, "h"), (201, None, "h"), (202, "", "h"), (203, f"{menu}\n{foot}", "other"), (None, f"{foot}\nleft", "h"), (None, "alone", "h"), (0, f"{foot}\nsecond", "h")]
+    docs = make(rows).selectExpr("*", "length(text) as n_chars")
+    got = without_boilerplate(docs)
+    assert got.columns == docs.columns
+    texts = sorted((str(r.doc_id), str(r.text)) for r in got.collect())
+    odd = [(201, None), (202, ""), (203, rows[-4][1]), (None, "left"), (None, "alone"), (0, "second")]
+    assert texts == sorted((str(d), str(t)) for d, t in [*want.items(), *odd])  # 200 has lost all
+    # the words that the report misses are those of the text
+    words = lambda t: len((t or "").split())
+    missing = sorted((str(r.doc_id), r.n_words - r.n_boilerplate_words) for r in quality_rules(docs).collect())
+    assert missing == sorted([*((d, words(t)) for d, t in texts if t != "None"), ("200", 0), ("201", 0)])
+    kept = {r.doc_id: r for r in corpus_pipeline.quality(spark, docs.where("doc_id between 1 and 199"), str(tmp_path)).collect()}
+    assert {d: r.text for d, r in kept.items()} == {d: t for d, t in want.items() if d}
+    assert all(r.n_chars == len(r.text) for r in kept.values())
+    assert without_boilerplate(make([])).collect() == []
+
+
 ASSIGN = re.compile(
     r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
