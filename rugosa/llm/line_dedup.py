@@ -2,17 +2,22 @@
 
 1. A line is trimmed and lower-cased; equal lines form a class, named by a
    64-bit hash. Lines without a word are never touched.
-2. Shingles are the windows of ``SHINGLE`` bytes of the line's UTF-8 form
-   (characters, but for letters of several bytes), hashed to 64 bits; a shorter
-   line is one shingle.
-3. One-permutation MinHash: hashes are dealt into ``BINS`` bins and each bin
+2. What decides is the set of the line's windows of ``SHINGLE`` bytes of the UTF-8
+   form, hashed to 64 bits; a shorter line is one window. One byte changed inside a
+   line of n bytes leaves a similarity of (n - 7) / (n + 1): 0.85 from 53 bytes on.
+   Where letters take several bytes (half as many more bytes than characters in
+   either line), so few bytes say little, and the windows of ``SHINGLE``
+   characters must be as similar, too.
+3. Windows that short meet in unlike lines too, so candidates are found by longer
+   ones, of ``WINDOW`` bytes of the UTF-8 form. One-permutation MinHash: hashes are dealt into ``BINS`` bins and each bin
    keeps its minimum. Of a line with many different words only the smallest
    hashes, about ``SMALL`` of them whatever its length, reach the aggregation: no
    others can be minima, but for the few bins left empty in both of two like lines.
-4. Bands of ``ROWS`` bins are the keys under which classes meet; at a Jaccard
-   similarity of 0.85 two lines share a band with a probability of 0.9995.
+4. Bands of ``ROWS`` bins are the keys under which classes meet. Scattered single
+   letters that bring two lines to 0.85 leave 0.66 of the longer windows: such lines
+   share a band with a probability of 0.999.
 5. In each key a representative is compared with all members, and those that do
-   not join it with all others; the exact Jaccard similarity of full shingle sets decides, and distributed
+   not join it with all others; the exact Jaccard similarity of the full sets decides, whatever the signatures say, and distributed
    union-find joins the classes (see ``components.link_members``).
 6. Of all lines of a component the first one, by (doc_id, line number), stays.
 
@@ -35,18 +40,18 @@ from pyspark.sql import functions as F
 from rugosa.llm.common import free_name, quoted, store
 from rugosa.llm.components import link_members, packed, shared_members
 
-#: Bytes of a shingle.
-SHINGLE = 10
+#: Bytes of a shingle of the exact sets (and characters, see above).
+SHINGLE = 4
+#: Bytes of a window of the signature.
+WINDOW = 10
 #: Bins of the signature, and bins of a band.
-BINS, ROWS = 24, 3
+BINS, ROWS = 24, 2
 #: Hashes of a line that reach the aggregation, about.
 SMALL = 96
 #: Shingles that a different word of a line brings, about.
 PER_WORD = 8
 #: Least similarity in hundredths.
 LEAST = 85
-#: Least agreement of signatures, in hundredths of the filled bins.
-AGREE = 52
 #: Words of the filter of candidate lines (64 bits each, 2 MB in all).
 FILTER_WORDS = 1 << 17
 
@@ -70,11 +75,11 @@ def signatures(found: DataFrame) -> DataFrame:
     data = found.select(
         "id",
         F.col("line").cast("binary").alias("data"),
-        F.sequence(F.lit(1), F.greatest(size - SHINGLE, F.lit(0)) + 1).alias("starts"),
+        F.sequence(F.lit(1), F.greatest(size - WINDOW, F.lit(0)) + 1).alias("starts"),
         (F.lit(_SPAN * SMALL) / several).alias("bound"),
     )
     shingles = data.select("id", "bound", "data", F.explode("starts").alias("at")).select(
-        "id", "bound", F.xxhash64(F.expr(f"substring(data, at, {SHINGLE})")).alias("h")
+        "id", "bound", F.xxhash64(F.expr(f"substring(data, at, {WINDOW})")).alias("h")
     )
     # 31 bits to compare, and others to deal into bins
     small = shingles.withColumn("value", F.shiftrightunsigned("h", 33).cast("int")).where("value < bound")
@@ -105,48 +110,41 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
 
 
-def _shingle_set(data: str) -> Column:
-    """Hashes of the different shingles of a binary column."""
+def _shingle_set(data: str, unit: int = 1) -> Column:
+    """Hashes of the different shingles of a binary column of ``unit`` bytes a letter."""
     return F.expr(
-        f"array_distinct(transform(sequence(1, greatest(octet_length({data}) - {SHINGLE}, 0) + 1), "
-        f"i -> xxhash64(substring({data}, i, {SHINGLE}))))"
+        f"array_distinct(transform(sequence(1, greatest(octet_length({data}) div {unit} - {SHINGLE}, 0) + 1), "
+        f"i -> xxhash64(substring({data}, cast({unit} * (i - 1) + 1 as int), {SHINGLE * unit}))))"
     )
 
 
-def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in more than AGREE of the bins that either
-    fills; at a similarity of 0.85 a pair falls short once in 30,000. Signatures of
-    fewer than 16 bins say too little and pass."""
-    names = [f"m{i}" for i in range(BINS)]
-    for side in "ab":
-        own = signed.select(F.col("id").alias(side), *[F.col(m).alias(side + m) for m in names])
-        pairs = pairs.join(own, side)
-    same = sum((F.when(F.col("a" + m) == F.col("b" + m), 1).otherwise(0) for m in names[1:]), F.when(F.col("am0") == F.col("bm0"), 1).otherwise(0))
-    filled = sum((F.when(F.coalesce("a" + m, "b" + m).isNotNull(), 1).otherwise(0) for m in names[1:]), F.when(F.coalesce("am0", "bm0").isNotNull(), 1).otherwise(0))
-    scored = pairs.select("a", "b", "ca", "cb", same.alias("same"), filled.alias("filled"))
-    return scored.where((F.col("filled") < 16) | (100 * F.col("same") > AGREE * F.col("filled"))).drop("same", "filled")
+def _similar(a: str, b: str, least: int) -> Column:
+    """Whether the Jaccard similarity of two columns of sets is enough."""
+    common = F.size(F.array_intersect(a, b))
+    return 100 * common >= least * (F.size(a) + F.size(b) - common)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
     """Component edges of pairs whose full shingle sets are similar enough."""
     data = texts.select("id", F.col("line").cast("binary").alias("data"))
     both = pairs.join(data.toDF("a", "da"), "a").join(data.toDF("b", "db"), "b")
-    sets = both.select("ca", "cb", _shingle_set("da").alias("sa"), _shingle_set("db").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    sized = sets.select("ca", "cb", common.alias("n"), (F.size("sa") + F.size("sb")).alias("total"))
-    return sized.where(100 * F.col("n") >= least * (F.col("total") - F.col("n"))).select(F.col("ca").alias("u"), F.col("cb").alias("v"))
+    near = both.select("ca", "cb", "da", "db", _shingle_set("da").alias("sa"), _shingle_set("db").alias("sb")).where(_similar("sa", "sb", least))
+    several = lambda c: 2 * F.octet_length(c) >= 3 * F.length(F.col(c).cast("string"))
+    letters = lambda c: F.when(several("da") | several("db"), F.encode(F.col(c).cast("string"), "UTF-32"))
+    # stored, so that letters are not encoded again for every window
+    near = store(near.select("ca", "cb", letters("da").alias("da"), letters("db").alias("db")), "line-near")
+    sets = near.select("ca", "cb", _shingle_set("da", 4).alias("sa"), _shingle_set("db", 4).alias("sb"))
+    return sets.where(F.col("sa").isNull() | _similar("sa", "sb", least)).select(F.col("ca").alias("u"), F.col("cb").alias("v"))
 
 
 def line_components(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``id, component`` of the classes that share a key with another."""
-    signed = store(signatures(lines(docs)), "line-signatures")
-    members = shared_members(band_keys(signed), "line")
+    members = shared_members(band_keys(store(signatures(lines(docs)), "line-signatures")), "line")
     ids = store(members.select("id").distinct(), "line-ids")
     texts = store(_texts(docs, ids), "line-texts")
-    signed = store(signed.join(ids, "id", "left_semi"), "line-signed")
     profile = texts.select("id", F.col("line").cast("binary").alias("data")).select("id", F.size(_shingle_set("data")).alias("size"))
     profile = store(profile.select("id", "size", *packed([F.col("size")])), "line-profile")
-    return link_members(members, profile, 1, least, lambda pairs: confirmed(alike(pairs, signed), texts, least), "line")
+    return link_members(members, profile, 1, least, lambda pairs: confirmed(pairs, texts, least), "line")
 
 
 def dropped_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
