@@ -104,8 +104,8 @@ def gp_frequencies(p: int, spec: GPSpec, n_features: int, seed: int) -> tuple[np
 # scanned on absolute half decades, from one eigendecomposition per Gram matrix;
 # length scales and RQ alphas are multipliers of the initial value, and the scan
 # goes on beyond an end where the best value stands, up to KERNEL_BOUNDS
-REFIT_LENGTH_MULT = (1.0, 4.0, 16.0)
-REFIT_ALPHA_MULT = (0.25, 4.0)
+REFIT_LENGTH_MULT = (1.0, 2.0, 4.0, 8.0, 16.0)
+REFIT_ALPHA_MULT = (0.125, 0.5, 2.0, 8.0)
 REFIT_AMP = tuple(float(10.0 ** (e / 2.0)) for e in range(-6, 9))
 REFIT_NOISE = tuple(float(10.0 ** (e / 2.0)) for e in range(-10, 3))
 KERNEL_BOUNDS = (1e-5, 1e5)
@@ -227,15 +227,29 @@ def fit_gp(summary: DataFrame, prep: Prep, specs: Sequence[GPSpec], n_splits: in
             for t, s in every:
                 at, base = best[t, s][1], float(np.max(specs[t].length_scale))
                 if at >= high and KERNEL_BOUNDS[1] >= base * high * 4:
-                    more.append((t, s, (high * 4, 1.0)))
+                    more += [(t, s, (high * 2, 1.0)), (t, s, (high * 4, 1.0))]
                 if at <= low and KERNEL_BOUNDS[0] <= base * low / 4:
-                    more.append((t, s, (low / 4, 1.0)))
+                    more += [(t, s, (low / 2, 1.0)), (t, s, (low / 4, 1.0))]
+            if not more:
+                break
+            evaluate(more)
+            low, high = low / 4, high * 4
+        evaluate([(t, s, (best[t, s][1] * f, 1.0)) for t, s in every for f in (2 ** -0.5, 2 ** 0.5)])
+        fixed = {k: best[k][1] for k in every}
+        evaluate([(t, s, (fixed[t, s], am)) for t, s in every for am in alpha_mult])
+        low, high = min((1.0, *alpha_mult)), max((1.0, *alpha_mult))
+        while len(alpha_mult) > 0:   # and the best alpha, at the chosen length
+            more = []
+            for t, s in every:
+                at, base = best[t, s][2], specs[t].alpha
+                if at >= high and base * high * 4 <= KERNEL_BOUNDS[1]:
+                    more += [(t, s, (fixed[t, s], high * m)) for m in (2, 4)]
+                if at <= low and base * low / 4 >= KERNEL_BOUNDS[0]:
+                    more += [(t, s, (fixed[t, s], low / m)) for m in (2, 4)]
             if not more:
                 break
             evaluate(more)
             low, high = low / 4, high * 4
-        evaluate([(t, s, (best[t, s][1] * f, 1.0)) for t, s in every for f in (0.5, 2.0)])
-        evaluate([(t, s, (best[t, s][1], am)) for t, s in every for am in alpha_mult])
     return model
 
 

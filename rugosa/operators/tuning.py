@@ -83,8 +83,8 @@ def tune_gpr(folded: DataFrame, target: str, n_trials: int = SETTINGS.gpr_trials
              refit: bool = True) -> tuple[DataFrame, dict, kk.GPModel]:
     """Returns (trial table with pooled OOF MSE, best params, fitted study).
     ``refit`` lets each trial re-select amplitude and noise by marginal
-    likelihood at its drawn length scale and alpha, as every fit of the
-    reference does; ``refit=False`` scores the kernel as drawn. All trials
+    likelihood at its drawn length scale and alpha, which stay as drawn (the
+    reference refits them, too); ``refit=False`` scores the kernel as drawn. All trials
     share their random draws."""
     spark = folded.sparkSession
     trials = [r.asDict() for r in trial_table(spark, SETTINGS.gpr_space, n_trials, "gpr", seed).collect()]

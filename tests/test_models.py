@@ -110,6 +110,18 @@ def test_gp_refit_improves_marginal_likelihood(small):
     assert refit.states[(0, 5)].lml >= fixed.states[(0, 5)].lml
 
 
+def test_gp_refit_follows_alpha_beyond_the_scan(small):
+    _, _, summary, prep = small
+    for start in (0.01, 100.0):
+        spec = kk.GPSpec(alpha=start)
+        model = kk.fit_gp(summary, prep, [spec], n_features=64, states=[5])
+        tried = [c["alpha"] for c in model.candidates]
+        best = max(model.candidates, key=lambda c: c["lml"])["alpha"]
+        # no end of the scan is the best, but for the bounds
+        assert min(tried) < best or best / 4 < kk.KERNEL_BOUNDS[0], (start, best)
+        assert max(tried) > best or best * 4 > kk.KERNEL_BOUNDS[1], (start, best)
+
+
 def test_svr_meets_the_optimality_conditions(small):
     """The gradient of the objective, in plain numpy over all rows, vanishes at
     the fitted weights, and no random step lowers the objective."""
