@@ -10,7 +10,7 @@ links, has 1.
 
 Both vectors are sums over walks; a step passes on ``DAMPING`` of its mass, so
 after k steps at most DAMPING**k of the seeds' mass is still to come. Steps end
-when that bound, or the mass that really moves, is below ``TOLERANCE``.
+when that bound is below ``TOLERANCE``, or when nothing moves any more.
 
 Links of a page: hosts of absolute and protocol-relative ``href`` and ``src``
 values, and of mail addresses. Edges count pages once and are pre-aggregated;
@@ -106,16 +106,13 @@ def host_scores(pages: DataFrame) -> DataFrame:
         .where("mass > 0")
     )
     wave = store(seeds.select("kind", "host", "mass"), "link-wave")
-    waves, total = [wave], wave.agg(F.sum("mass")).first()[0] or 0.0
+    waves = [wave]
     for _ in range(math.ceil(math.log(TOLERANCE) / math.log(DAMPING))):
         step = wave.join(moves.withColumnRenamed("src", "host"), ["kind", "host"]).groupBy("kind", "dst")
         wave = store(step.agg(F.sum(F.col("mass") * F.col("w")).alias("mass")).select("kind", F.col("dst").alias("host"), "mass"), "link-wave")
-        moved = wave.agg(F.sum("mass")).first()[0]
-        if moved is None:
+        if wave.isEmpty():
             break
         waves.append(wave)
-        if moved < TOLERANCE * total:
-            break
     every = waves[0]
     for w in waves[1:]:
         every = every.unionByName(w)

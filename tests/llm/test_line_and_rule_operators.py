@@ -288,6 +288,19 @@ def test_url_filter_rules_and_links(spark):
     assert filter_urls(pages.limit(0)).collect() == []
 
 
+def test_url_filter_walks_on_beside_many_hosts(spark):
+    from rugosa.llm.url_filter import filter_urls
+
+    # distrust goes up a chain of hosts, while hosts without links hold most of the seeds
+    chain = ["bad.net", "one.com", "two.com", "three.com", "four.com"]
+    urls = [("https://bad.net/", None)] + [(f"https://{a}/", f'<a href="https://{b}/x">') for b, a in zip(chain, chain[1:])]
+    urls += [(f"https://lone{i}.net/", None) for i in range(200)]
+    pages = spark.createDataFrame([(i, *u) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in filter_urls(pages).where("page_id < 5").collect()}
+    assert [round(got[i].distrust, 4) for i in range(5)] == [1, 0.7, 0.49, 0.343, 0.2401]
+    assert [got[i].verdict for i in range(5)] == ["block"] * 4 + ["allow"]
+
+
 def test_language_forward_sums_all_segmentations():
     import itertools
     import math
