@@ -84,26 +84,6 @@ def test_line_dedup_matches_brute_force(make):
             assert kept[d].text == (None if t is None else "\n".join(left)) and kept[d].line == "x"
 
 
-def test_line_dedup_finds_lines_by_their_edits(make):
-    from rugosa.llm.line_dedup import report
-
-    rng = random.Random(24)
-    docs, dropped = [], set()
-    for letters in ("abcdefghijklmnopqrstuvwxyz      ", "абвгдежзиклмнопрстуфхцчшщэюя     ", "的一是不了人我在有他这为之大来以个中上们"):
-        for size, edits in [(60, 1), (66, 1), (80, 1), (100, 1), (110, 2), (130, 2), (170, 3)] * 4:
-            base = ["|", *(rng.choice(letters) for _ in range(size - 2)), "|"]
-            other = list(base)
-            for at in rng.sample(range(4, size - 4), edits):  # inner letters
-                other[at] = "#"
-            docs += [(len(docs), "".join(base)), (len(docs) + 1, "".join(other))]
-            dropped.add(len(docs) - 1)
-        # long lines of the same letters are different lines
-        for _ in range(4):
-            docs.append((len(docs), " ".join("".join(rng.choice(letters[:20]) for _ in range(6)) for _ in range(1500))))
-    got = {r.doc_id for r in report(make(docs)).collect() if r.dropped}
-    assert got == dropped
-
-
 def test_line_dedup_of_nothing_and_of_repeated_rows(make):
     from rugosa.llm.line_dedup import report, without_repeated_lines
 
