@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rugosa.llm.clustering_sql import centroid_clustering_sql
 from rugosa.llm.common import read
 from rugosa.llm.sql import url_filter_sql
 
@@ -90,6 +91,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rugosa.llm.centroid_clustering import cluster
+
+    return cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rugosa.llm.repeated_bytes import digest
+
+    return digest(read(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rugosa.llm.whitening import whiten
+
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_decontamination": op2_decontamination,
@@ -101,8 +120,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_repeated_bytes": op12_repeated_bytes,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {
     "op8_url_filter": url_filter_sql(),
+    "op11_centroid_clustering": centroid_clustering_sql(),
 }
