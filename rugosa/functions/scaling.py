@@ -161,7 +161,7 @@ def robust_stats(df: DataFrame, columns: Sequence[str], exact: bool = True,
     if exact:
         from rugosa.operators.quantiles import exact_quantiles
 
-        vals = exact_quantiles(df, columns, qs, accuracy)
+        vals = exact_quantiles(df, columns, qs)
         sel = []
         for c in columns:
             q1, med, q3 = vals[c]

@@ -42,7 +42,7 @@ def quantile_edges(df: DataFrame, column: str, n_bins: int = SETTINGS.n_bins,
         return df.agg(F.array_distinct(F.percentile_approx(column, qs, accuracy)).alias("edges"))
     from rugosa.operators.quantiles import exact_quantiles
 
-    vals = exact_quantiles(df, [column], qs, accuracy)[column]
+    vals = exact_quantiles(df, [column], qs)[column]
     uniq = []
     for v in vals:
         if v is not None and (not uniq or v != uniq[-1]):

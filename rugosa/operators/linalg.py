@@ -1,4 +1,4 @@
-"""Distributed partial sums and small dense algebra on the driver.
+"""Distributed partial sums.
 
 Pattern used by every model operator: ``mapInPandas`` turns each partition
 into a few rows ``(key INT, vec BINARY)`` of partial sums; a two-level
@@ -32,21 +32,26 @@ def vsum(v: pd.Series) -> bytes:
     return total.tobytes()
 
 
-def reduce_partials(partials: DataFrame, fanin: int = 64) -> dict[int, np.ndarray]:
-    """Sum ``(key, vec)`` rows per key; returns driver arrays."""
+def reduced(partials: DataFrame, fanin: int = 64) -> DataFrame:
+    """Sum ``(key, vec)`` rows per key."""
     from rugosa.session import ship_package
 
     ship_package(partials.sparkSession)
     lvl1 = partials.groupBy("key", (F.abs(F.hash(F.spark_partition_id())) % fanin).alias("_t")).agg(
         vsum("vec").alias("vec"))
-    lvl2 = lvl1.groupBy("key").agg(vsum("vec").alias("vec"))
-    return {int(r["key"]): np.frombuffer(r["vec"], dtype=np.float64) for r in lvl2.collect()}
+    return lvl1.groupBy("key").agg(vsum("vec").alias("vec"))
 
 
 def partial_sums(df: DataFrame, fn: Callable[[pd.DataFrame], dict[int, np.ndarray]],
                  fanin: int = 64) -> dict[int, np.ndarray]:
     """Run ``fn`` on every Arrow batch of ``df`` (it returns ``{key: vector}``
-    partial sums), accumulate per partition, then reduce across the cluster."""
+    partial sums), accumulate per partition, then reduce across the cluster;
+    returns driver arrays."""
+    return {int(r["key"]): np.frombuffer(r["vec"], dtype=np.float64) for r in summed(df, fn, fanin).collect()}
+
+
+def summed(df: DataFrame, fn: Callable[[pd.DataFrame], dict[int, np.ndarray]], fanin: int = 64) -> DataFrame:
+    """As :func:`partial_sums`, but the sums stay in a table ``(key, vec)``."""
 
     def per_partition(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[int, np.ndarray] = {}
@@ -58,20 +63,4 @@ def partial_sums(df: DataFrame, fn: Callable[[pd.DataFrame], dict[int, np.ndarra
         if acc:
             yield pd.DataFrame({"key": list(acc.keys()), "vec": [a.tobytes() for a in acc.values()]})
 
-    return reduce_partials(df.mapInPandas(per_partition, PARTIAL_SCHEMA), fanin)
-
-
-def cholesky_solve(a: np.ndarray, b: np.ndarray, jitter: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Solve ``a x = b`` for symmetric positive definite ``a`` (D x D); returns
-    ``(x, L)``. Adds growing diagonal jitter if the factorisation fails."""
-    d = a.shape[0]
-    eye = np.eye(d)
-    j = jitter
-    for _ in range(8):
-        try:
-            L = np.linalg.cholesky(a + j * eye)
-            y = np.linalg.solve(L, b)
-            return np.linalg.solve(L.T, y), L
-        except np.linalg.LinAlgError:
-            j = max(j * 10.0, 1e-10 * max(1.0, float(np.trace(a)) / d))
-    raise np.linalg.LinAlgError("matrix is not positive definite")
+    return reduced(df.mapInPandas(per_partition, PARTIAL_SCHEMA), fanin)

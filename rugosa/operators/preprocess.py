@@ -11,8 +11,8 @@ combination holding a third of all rows) collapse in the map-side partial
 aggregate instead of reaching a task.
 
 Statistics per (state, column):
-* median / IQR: exact weighted percentiles (``percentile(v, q, weight)``) on a
-  long ``(column, value, n_0..n_k)`` table, one group per column;
+* median / IQR: exact weighted quantiles of all columns and states at once
+  (``operators/ranks.py``);
 * Yeo-Johnson lambda: log-likelihood on a lambda grid from partial sums,
   refined once around the best grid point;
 * mean / population std of the transformed column: partial sums.
@@ -20,7 +20,7 @@ Statistics per (state, column):
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,6 +109,7 @@ class Prep:
     sd: np.ndarray     # (S, p)
     inputs: str = "engineered"
     live: np.ndarray | None = None   # (S,) columns that are not constant
+    moving: np.ndarray | None = None   # (S, p) which they are
 
     def expand(self, v: np.ndarray) -> np.ndarray:
         """Polynomial expansion of the model inputs of raw ``(Vc, Fz, ap)``."""
@@ -150,7 +151,7 @@ def input_summary(folded: DataFrame, target: str, n_splits: int = SETTINGS.n_spl
     return spread(summary, INPUTS)
 
 
-def spread(df: DataFrame, keys=INPUTS, factor: int = 2) -> DataFrame:
+def spread(df: DataFrame, keys=INPUTS, factor: int = 1) -> DataFrame:
     """Hash-partition by ``keys`` over at least ``factor x`` the cluster's
     parallelism. The numpy passes are CPU-bound per distinct input, so a
     small table must not be coalesced into one task; rows of one input land
@@ -174,43 +175,21 @@ def state_weights(pdf: pd.DataFrame, n_splits: int) -> np.ndarray:
 YJ_LIMIT = 64.0
 
 
-def _robust_pass(summary: DataFrame, degree: int, n_splits: int, inputs: str = "engineered") -> tuple[np.ndarray, np.ndarray]:
+def robust_fold_stats(summary: DataFrame, degree: int, n_splits: int = SETTINGS.n_splits,
+                      inputs: str = "engineered") -> tuple[np.ndarray, np.ndarray]:
+    """Median and interquartile range ``(states, columns)`` of every expanded column
+    in every training state: exact weighted quantiles of all columns side by side
+    (``operators/ranks.py``), a zero range replaced by 1."""
+    from rugosa.operators.ranks import weighted_quantiles
+
     p = len(poly_terms(model_inputs_np(np.ones((1, 3)), inputs).shape[1], degree))
-    ncols = [f"n{k}" for k in range(n_splits)]
-
-    def long_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            poly = poly_np(model_inputs_np(pdf[list(INPUTS)].to_numpy(np.float64), inputs), degree)
-            b = len(pdf)
-            out = {"j": np.repeat(np.arange(p, dtype=np.int32)[None, :], b, axis=0).ravel(),
-                   "v": poly.ravel()}
-            for c in ncols:
-                out[c] = np.repeat(pdf[c].to_numpy(np.int64), p)
-            yield pd.DataFrame(out)
-
-    from rugosa.session import ship_package
-
-    ship_package(summary.sparkSession)
-    schema = "j int, v double, " + ", ".join(f"{c} long" for c in ncols)
-    long = summary.mapInPandas(long_rows, schema)
-    tot = sum(F.col(c) for c in ncols)
-    aggs = []
-    for s in range(n_splits + 1):
-        w = tot - F.col(ncols[s]) if s < n_splits else tot
-        aggs.append(F.percentile(F.when(w > 0, F.col("v")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)),
-                                 w).alias(f"q{s}"))
-    rows = long.groupBy("j").agg(*aggs).collect()
-    S = n_splits + 1
-    med, iqr = np.zeros((S, p)), np.ones((S, p))
-    for r in rows:
-        for s in range(S):
-            q = r[f"q{s}"]
-            med[s, r["j"]] = q[1]
-            d = q[2] - q[0]
-            iqr[s, r["j"]] = 1.0 if d < 10 * _EPS else d
-    return med, iqr
+
+    def values(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return poly_np(model_inputs_np(pdf[list(INPUTS)].to_numpy(np.float64), inputs), degree), state_weights(pdf, n_splits)
+
+    q = weighted_quantiles(summary, values, p, n_splits + 1, (0.25, 0.5, 0.75))
+    spread_ = q[:, :, 2] - q[:, :, 0]
+    return q[:, :, 1], np.where(spread_ < 10 * _EPS, 1.0, spread_)
 
 
 def _yj_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, grids: np.ndarray,
@@ -253,7 +232,7 @@ def _yj_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, grids: np
 
 def _std_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, lam,
               inputs: str = "engineered") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, deviation and number of non-constant columns. Columns are centred
+    """Mean, deviation and which columns are not constant. Columns are centred
     at their median by now, so plain sums of squares do not cancel."""
     S = n_splits + 1
 
@@ -268,7 +247,7 @@ def _std_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, lam,
 
     sums = partial_sums(summary, fn)
     p = med.shape[1]
-    mean, sd, live = np.zeros((S, p)), np.ones((S, p)), np.zeros(S, int)
+    mean, sd, moving = np.zeros((S, p)), np.ones((S, p)), np.zeros((S, p), bool)
     for s in range(S):
         v = sums[s]
         m = v[1:1 + p] / v[0]
@@ -276,8 +255,8 @@ def _std_pass(summary: DataFrame, degree: int, n_splits: int, med, iqr, lam,
         sdv = np.sqrt(var)
         mean[s] = m
         sd[s] = np.where(sdv == 0.0, 1.0, sdv)
-        live[s] = int((sdv > 0).sum())
-    return mean, sd, live
+        moving[s] = sdv > 0
+    return mean, sd, moving
 
 
 def fit_prep(summary: DataFrame, degree: int, n_splits: int = SETTINGS.n_splits,
@@ -287,7 +266,7 @@ def fit_prep(summary: DataFrame, degree: int, n_splits: int = SETTINGS.n_splits,
     from rugosa.sources.experiments import assert_finite
 
     assert_finite(summary, list(INPUTS))
-    med, iqr = _robust_pass(summary, degree, n_splits, inputs)
+    med, iqr = robust_fold_stats(summary, degree, n_splits, inputs)
     S, p = med.shape
 
     def search(grids):
@@ -308,8 +287,22 @@ def fit_prep(summary: DataFrame, degree: int, n_splits: int = SETTINGS.n_splits,
     for _ in range(2):
         lam, _at = search(lam[..., None] + np.linspace(-step, step, 9)[None, None, :])
         step /= 4
-    mean, sd, live = _std_pass(summary, degree, n_splits, med, iqr, lam, inputs)
-    return Prep(degree, med, iqr, lam, mean, sd, inputs, live)
+    mean, sd, moving = _std_pass(summary, degree, n_splits, med, iqr, lam, inputs)
+    return Prep(degree, med, iqr, lam, mean, sd, inputs, moving.sum(axis=1), moving)
+
+
+def fit_preps(summary: DataFrame, degrees: Sequence[int], n_splits: int = SETTINGS.n_splits,
+              inputs: str = "engineered") -> dict[int, Prep]:
+    """The preprocessing of several degrees from one fit: columns are in degree-major
+    order, so those of a lower degree are the first ones of the highest."""
+    top = fit_prep(summary, max(degrees), n_splits, inputs)
+    width = model_inputs_np(np.ones((1, 3)), inputs).shape[1]
+    out = {}
+    for d in sorted(set(degrees)):
+        p = len(poly_terms(width, d))
+        first = {k: getattr(top, k)[:, :p] for k in ("med", "iqr", "lam", "mean", "sd")}
+        out[d] = Prep(d, **first, inputs=inputs, live=top.moving[:, :p].sum(axis=1), moving=top.moving[:, :p])
+    return out
 
 
 # --------------------------------------------------------------------------

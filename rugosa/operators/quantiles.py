@@ -2,118 +2,35 @@
 
 Spark's exact ``percentile`` keeps every distinct value in one aggregation
 buffer, which a single task must merge at the end -- fine for thousands of
-rows, fatal for billions. Here (per column, per probability ``q``):
+rows, fatal for billions. Here all columns are summarised side by side in the
+wide table and narrowed down exactly, see ``operators/ranks.py``. The method is
+the same at every size.
 
-1. one aggregate: ``count``, ``min``, ``max`` and ``percentile_approx`` at
-   ``q -/+ 2/accuracy``: a bracket ``[lo, hi]`` that contains the order
-   statistics at ranks ``floor(h)`` and ``floor(h)+1``, ``h = (n-1) q``
-   (Greenwald-Khanna rank error <= n/accuracy);
-2. one pass: ``count(x < lo)`` per bracket, and a count of every distinct
-   value inside the brackets (pre-aggregated per task, so a value that holds a
-   third of the rows is one row; a bracket that is a single value needs no
-   more); running sums of these counts place the two order statistics;
-3. if a bracket misses a needed rank (never with the guarantee, but cheap to
-   check) it is widened and the pass repeated.
-
-The method is the same at every size.
-
-The value is ``x[k] + (h - k) * (x[k+1] - x[k])``, the usual linear
-(type 7) definition, so results equal ``percentile`` / ``quantile_cont``.
+The value is ``x[k] + (h - k) * (x[k+1] - x[k])`` with ``h = (n - 1) q``, the
+usual linear (type 7) definition, so results equal ``percentile`` /
+``quantile_cont``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rugosa.operators.ranks import weighted_quantiles
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
-                    accuracy: int = 10_000) -> dict[str, list[float | None]]:
-    """``{column: [quantile at q for q in qs]}`` (driver floats; NULLs ignored).
-
-    Long format: the columns are unpivoted to ``(ci, v)`` so that every pass
-    is a handful of grouped aggregates, whatever the number of columns; the
-    bracket table (columns x probabilities rows) is broadcast."""
-    from rugosa.session import materialize
 
+def exact_quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float]) -> dict[str, list[float | None]]:
+    """``{column: [quantile at q for q in qs]}`` (driver floats; NULL and NaN are
+    left out, a column without values gives None)."""
     cols = list(columns)
-    qs = [float(q) for q in qs]
-    long = materialize(df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)
-    ])).alias("t")).select("t.ci", "t.v").filter(F.col("v").isNotNull() & ~F.isnan("v")))
-    try:
-        return _exact_long(df.sparkSession, long, cols, qs, accuracy)
-    finally:
-        long.unpersist(blocking=False)
 
+    def values(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return pdf.to_numpy(np.float64), np.ones((len(pdf), 1))
 
-def _exact_long(spark, long: DataFrame, cols, qs, accuracy):
-    out: dict[str, list] = {c: [None] * len(qs) for c in cols}
-    widen = 1.0
-    for _ in range(6):
-        d = 2.0 * widen / accuracy
-        lo_q = [max(0.0, q - d) for q in qs]
-        hi_q = [min(1.0, q + d) for q in qs]
-        st = {r["ci"]: r for r in long.groupBy("ci").agg(
-            F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
-            F.percentile_approx("v", lo_q, accuracy).alias("lo"),
-            F.percentile_approx("v", hi_q, accuracy).alias("hi")).collect()}
-        plan = {}
-        for i in range(len(cols)):
-            r = st.get(i)
-            if r is None or not r["n"]:
-                continue
-            n = r["n"]
-            for j, q in enumerate(qs):
-                h = (n - 1) * q
-                k = int(math.floor(h))
-                lo = r["mn"] if lo_q[j] == 0.0 else r["lo"][j]
-                hi = r["mx"] if hi_q[j] == 1.0 else r["hi"][j]
-                plan[(i, j)] = (float(lo), float(hi), k, h, n)
-        if not plan:
-            return out
-        # bounded by len(cols) * len(qs) rows
-        br = F.broadcast(spark.createDataFrame([(i, j, lo, hi) for (i, j), (lo, hi, *_r) in plan.items()],
-                                               "ci int, qi int, lo double, hi double"))
-        joined = long.join(br, "ci")
-        v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
-        cnt = {(r["ci"], r["qi"]): r for r in joined.groupBy("ci", "qi").agg(
-            F.count(F.when(v < lo, 1)).alias("below"),
-            F.count(F.when((v >= lo) & (v <= hi), 1)).alias("inside"),
-            F.max(F.when(v < lo, v)).alias("mb"), F.min(F.when(v > hi, v)).alias("ma")).collect()}
-        need, values, ok = [], {}, True
-        for (i, j), (lo_v, hi_v, k, h, n) in plan.items():
-            c = cnt[(i, j)]
-            for rk in {k, min(k + 1, n - 1)}:
-                if c["below"] <= rk < c["below"] + c["inside"]:
-                    if lo_v == hi_v:
-                        values[(i, j, rk)] = lo_v
-                    else:
-                        need.append((i, j, rk - c["below"] + 1, rk))
-                elif rk == c["below"] - 1:
-                    values[(i, j, rk)] = c["mb"]
-                elif rk == c["below"] + c["inside"]:
-                    values[(i, j, rk)] = c["ma"]
-                else:
-                    ok = False
-        if ok and need:
-            wanted = F.broadcast(spark.createDataFrame(need, "ci int, qi int, r long, g long"))
-            inside = joined.filter((v >= lo) & (v <= hi)).groupBy("ci", "qi", "v").agg(F.count(F.lit(1)).alias("c"))
-            upto = inside.withColumn("e", F.sum("c").over(Window.partitionBy("ci", "qi").orderBy("v")))
-            found = upto.join(wanted, ["ci", "qi"]).where("r > e - c and r <= e")
-            for row in found.select("ci", "qi", "g", "v").collect():
-                values[(row["ci"], row["qi"], row["g"])] = row["v"]
-        if ok:
-            for (i, j), (lo_v, hi_v, k, h, n) in plan.items():
-                a, b = values.get((i, j, k)), values.get((i, j, min(k + 1, n - 1)))
-                if a is None or b is None:
-                    ok = False
-                    break
-                out[cols[i]][j] = a + (h - k) * (b - a)
-        if ok:
-            return out
-        widen *= 4.0
-    raise RuntimeError("quantile brackets did not converge")
+    wide = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    got = weighted_quantiles(wide, values, len(cols), 1, [float(q) for q in qs])[0]
+    return {c: [None if np.isnan(v) else float(v) for v in got[i]] for i, c in enumerate(cols)}

@@ -66,7 +66,7 @@ def tune_svr(folded: DataFrame, target: str, n_trials: int = SETTINGS.svr_trials
     trials = [r.asDict() for r in trial_table(spark, SETTINGS.svr_space, n_trials, "svr", seed).collect()]
     summary = materialize(pp.input_summary(folded, target), checkpoint=True)
     degrees = sorted({t["poly_degree"] for t in trials})
-    preps = {d: pp.fit_prep(summary, d) for d in degrees}
+    preps = pp.fit_preps(summary, degrees)
     tprep = pp.fit_target_prep(folded, target)
     specs = [kk.SVRSpec(t["C"], t["epsilon"], t["gamma"], t["poly_degree"]) for t in trials]
     rows = materialize(kk.with_fold_rows(folded, target))

@@ -56,10 +56,11 @@ class Settings:
     # hex digits of the md5 prefix used to split a rank into buckets; the
     # bucket-offset table has at most n_strata * 16**rank_bucket_hex rows.
     rank_bucket_hex: int = 3
-    # random Fourier features
-    gp_features: int = 512
+    # landmarks of the GP
+    gp_features: int = 256
     # for studies of many kernels at once (tuning, sensitivity)
-    gp_tuning_features: int = 256
+    gp_tuning_features: int = 128
+    # random Fourier features of the SVR
     svr_features: int = 64
     svr_huber_delta: float = 0.1
     yj_grid: tuple[float, float, int] = (-3.0, 5.0, 33)

@@ -67,5 +67,5 @@ def test_bracket_quantiles_equal_exact(spark, skewed):
 
     df, y = skewed
     qs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
-    got = qq.exact_quantiles(df, ["y"], qs, accuracy=200)["y"]
+    got = qq.exact_quantiles(df, ["y"], qs)["y"]
     assert np.allclose(got, np.quantile(y, qs), rtol=0, atol=1e-12)

@@ -44,10 +44,10 @@ def test_gp_posterior_equals_numpy_on_same_features(small):
     regression on the same random features (exact up to rounding)."""
     _, pdf, summary, prep = small
     spec = kk.GPSpec(amplitude=0.7, length_scale=2.0, alpha=0.5, noise=0.05)
-    model = kk.fit_gp(summary, prep, [spec], n_features=200, refit=False, states=[0])
+    model = kk.fit_gp(summary, prep, [spec], n_features=200, refit=False, states=[0], random=True)
     x = pp.poly_np(pp.engineered_np(pdf[["Vc", "Fz", "ap"]].to_numpy()), 1)
     tr, te = pdf.fold.to_numpy() != 0, pdf.fold.to_numpy() == 0
-    om, ph = model.state_freqs[(0, 0)]
+    om, ph = model.features[0, 0].omega, model.features[0, 0].phase
     phi = kk.rff(prep.transform(x[tr], 0), om, ph)
     y = pdf.y.to_numpy()[tr]
     mu, sd = y.mean(), y.std()
