@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,8 +110,8 @@ def poly_expand(df: DataFrame, inputs: Sequence[str], degree: int,
                 keep: Sequence[str] = ()) -> DataFrame:
     """F8 for small widths: every monomial as a Catalyst product column,
     named by its exponents (``Vc^2``, ``Vc Fz``). Wide expansions (degree 3-4
-    on 15 inputs, thousands of terms) are built in numpy inside the model
-    operators instead of as Catalyst columns."""
+    on 15 inputs, thousands of terms) are one array, see :func:`poly_array`, and in
+    the model operators numpy inside tasks."""
     cols = [F.col(keep_c) for keep_c in keep]
     for term in poly_terms(len(inputs), degree):
         expr = F.col(inputs[term[0]])
@@ -118,3 +119,27 @@ def poly_expand(df: DataFrame, inputs: Sequence[str], degree: int,
             expr = expr * F.col(inputs[i])
         cols.append(expr.alias(poly_term_name(term, inputs)))
     return df.select(*cols)
+
+
+def poly_array(inputs: Column, n_inputs: int, degree: int) -> Column:
+    """F8 at any degree: the monomials of the array ``inputs`` in the order of
+    :func:`poly_terms`, as one array expression. The terms of a degree that begin with
+    input i are that input times the terms of the degree before that begin with i or
+    later, and these are its last ones: a table of starts drives the recurrence, so
+    the plan does not grow with the thousands of terms."""
+    # of C(n + d - 2, d - 1) terms one degree lower, C(n - i + d - 2, d - 1) begin with i or later
+    starts = F.array(*[
+        F.array(*[F.lit(comb(n_inputs + d - 2, d - 1) - comb(n_inputs - i + d - 2, d - 1)) for i in range(n_inputs)])
+        for d in range(2, degree + 1)
+    ])
+
+    def grow(acc: Column, firsts: Column) -> Column:
+        last = acc["last"]
+        terms = F.flatten(F.transform(firsts, lambda at, i: F.transform(
+            F.slice(last, at + 1, F.size(last) - at), lambda m: F.get(inputs, i) * m)))
+        # bound once, used twice
+        return F.get(F.transform(F.array(terms), lambda t: F.struct(F.concat(acc["all"], t).alias("all"), t.alias("last"))), F.lit(0))
+
+    if degree == 1:
+        return inputs
+    return F.aggregate(starts, F.struct(inputs.alias("all"), inputs.alias("last")), grow, lambda acc: acc["all"])

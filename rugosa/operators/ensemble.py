@@ -167,6 +167,67 @@ def stacking_predict(oof: DataFrame, stacker: DataFrame | dict, s: str = "pred_s
         out, F.lit(p["intercept"]) + F.lit(p["coef_svr"]) * F.col(s) + F.lit(p["coef_gpr"]) * F.col(g))
 
 
+def _merged(parts: Sequence[dict]) -> dict[str, float]:
+    """Centred statistics (:func:`ridge_stats`) of the union of disjoint parts: sums of
+    products are carried from one mean to the other, never taken as differences of
+    raw squares."""
+    out = dict.fromkeys(("n", "ms", "mg", "my", "Sss", "Sgg", "Ssg", "Ssy", "Sgy"), 0.0)
+    for p in parts:
+        n = out["n"] + p["n"]
+        w = out["n"] * p["n"] / n
+        d = {m: p[f"m{m}"] - out[f"m{m}"] for m in "sgy"}
+        for a, b in ("ss", "gg", "sg", "sy", "gy"):
+            out[f"S{a}{b}"] += p[f"S{a}{b}"] + w * d[a] * d[b]
+        for m in "sgy":
+            out[f"m{m}"] += d[m] * p["n"] / n
+        out["n"] = n
+    return out
+
+
+def nested_stackers(oof: DataFrame, alphas: Sequence[float] = SETTINGS.ridge_alphas, fold: str = "fold",
+                    y: str = "y", s: str = "pred_svr", g: str = "pred_gpr") -> DataFrame:
+    """E1 for every fold, fitted on the other folds: ``(fold, alpha, loo_mse, intercept,
+    coef_svr, coef_gpr)`` of the penalty with the lowest leave-one-out error there.
+    Two scans, however many folds: the statistics of each fold, merged into those of
+    its complement on the driver, then the errors of all (fold, penalty) pairs."""
+    n = F.count(F.lit(1)).cast("double")
+    per_fold = {r[fold]: r.asDict() for r in oof.groupBy(fold).agg(
+        n.alias("n"), F.avg(s).alias("ms"), F.avg(g).alias("mg"), F.avg(y).alias("my"),
+        (n * F.var_pop(s)).alias("Sss"), (n * F.var_pop(g)).alias("Sgg"), (n * F.covar_pop(s, g)).alias("Ssg"),
+        (n * F.covar_pop(s, y)).alias("Ssy"), (n * F.covar_pop(g, y)).alias("Sgy")).collect()}
+    folds = sorted(per_fold)
+    if len(folds) < 2:
+        raise ValueError("nested stacking needs two folds at least")
+    stats = {k: _merged([per_fold[f] for f in folds if f != k]) for k in folds}
+    sols = {(k, i): _ridge_solution(stats[k], a) for k in folds for i, a in enumerate(alphas)}
+    aggs = []
+    for (k, i), r in sols.items():
+        zs, zg = F.col(s) - F.lit(stats[k]["ms"]), F.col(g) - F.lit(stats[k]["mg"])
+        h = (F.lit(1.0 / stats[k]["n"]) + F.lit(r["i11"]) * zs * zs
+             + F.lit(2.0 * r["i12"]) * zs * zg + F.lit(r["i22"]) * zg * zg)
+        e = (F.col(y) - (F.lit(r["b0"]) + F.lit(r["c1"]) * F.col(s) + F.lit(r["c2"]) * F.col(g))) / (F.lit(1.0) - h)
+        aggs.append(F.avg(F.when(F.col(fold) != F.lit(k), e * e)).alias(f"e{folds.index(k)}_{i}"))
+    loo = oof.agg(*aggs).first()
+    rows = []
+    for j, k in enumerate(folds):
+        i = min(range(len(alphas)), key=lambda i: (loo[f"e{j}_{i}"], i))
+        r = sols[k, i]
+        rows.append((int(k), float(alphas[i]), float(loo[f"e{j}_{i}"]), r["b0"], r["c1"], r["c2"]))
+    return oof.sparkSession.createDataFrame(
+        rows, f"{fold} int, alpha double, loo_mse double, intercept double, coef_svr double, coef_gpr double")
+
+
+def stacking_predict_nested(oof: DataFrame, fold: str = "fold", s: str = "pred_svr", g: str = "pred_gpr",
+                            out: str = "pred_stack", **kw) -> DataFrame:
+    """E2 ``nested``: every row is predicted by the stacker of its own fold, which has
+    not seen it (the fold table has as many rows as folds)."""
+    m = F.broadcast(nested_stackers(oof, fold=fold, s=s, g=g, **kw).select(
+        F.col(fold).alias("_f"), F.col("alpha").alias("_alpha"), F.col("intercept").alias("_b"), F.col("coef_svr").alias("_cs"), F.col("coef_gpr").alias("_cg")))
+    joined = oof.join(m, F.col(fold) == F.col("_f"))
+    return joined.withColumn(out, F.col("_b") + F.col("_cs") * F.col(s) + F.col("_cg") * F.col(g)).withColumnRenamed(
+        "_alpha", "alpha").drop("_f", "_b", "_cs", "_cg")
+
+
 def stacking_weights(stacker: DataFrame) -> DataFrame:
     """``coef / sum(coef)``; unchanged when the sum is zero."""
     tot = F.col("coef_svr") + F.col("coef_gpr")

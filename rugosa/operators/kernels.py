@@ -277,7 +277,7 @@ def _gram_table(summary: DataFrame, prep: Prep, variants: dict, n_splits: int) -
         out = {}
         for s in states:
             z = prep.transform(poly, s)
-            moments = [w[:, s].sum(), sy[:, s].sum(), syy[:, s].sum()]
+            moments = [w[:, s].sum(), sy[:, s].sum(), syy[:, s].sum()]   # of targets less y0
             for i, (_, state, *_rest) in enumerate(keys):
                 if state == s:
                     phi = maps[i].raw(z)
@@ -330,7 +330,7 @@ def solve_gram(vec: np.ndarray, features, amps, noises) -> dict:
 _SOLVED = "key int, lml double, amplitude double, noise double, y_mean double, y_std double, n double, weights binary, root binary"
 
 
-def _solved(table: DataFrame, maps: dict, scales: dict[int, tuple], full: bool, tasks: int) -> list:
+def _solved(table: DataFrame, maps: dict, scales: dict[int, tuple], full: bool, tasks: int, y0: float) -> list:
     """The Gram matrices are dealt to tasks and decomposed there; the posterior comes
     along where ``full`` asks for it."""
 
@@ -339,6 +339,7 @@ def _solved(table: DataFrame, maps: dict, scales: dict[int, tuple], full: bool,
             rows = []
             for key, body in zip(pdf["key"], pdf["vec"], strict=True):
                 got = solve_gram(np.frombuffer(body, dtype=np.float64), maps[int(key)], *scales[int(key)])
+                got["y_mean"] += y0
                 got["weights"] = got["weights"].tobytes() if full else None
                 got["root"] = got["root"].tobytes() if full else None
                 rows.append({"key": key, **got})
@@ -364,6 +365,7 @@ class GPSearch:
         self._seen: set = set()
         self._points: dict[int, np.ndarray] = {}
         self._held: list[tuple[DataFrame, list, dict, dict]] = []
+        self._y0 = (summary.select("y0").first() or [0.0])[0]
         self._tasks = 2 * summary.sparkSession.sparkContext.defaultParallelism
 
     def feature_map(self, state: int, spec: GPSpec) -> RandomFeatures | LandmarkFeatures:
@@ -390,7 +392,7 @@ class GPSearch:
         table = materialize(_gram_table(self.summary, self.prep, maps, self.n_splits), checkpoint=True)
         numbered = dict(enumerate(maps.values()))
         self._held.append((table, new, numbered, scales))
-        for r in sorted(_solved(table, numbered, scales, False, min(len(new), self._tasks)), key=lambda r: r["key"]):
+        for r in sorted(_solved(table, numbered, scales, False, min(len(new), self._tasks), self._y0), key=lambda r: r["key"]):
             k = new[r["key"]]
             t, s, le, al = k
             self.candidates.append({"spec": t, "state": s, "length_scale": kernels[k].length_scale, "alpha": al,
@@ -406,7 +408,7 @@ class GPSearch:
             won = {i: k for i, k in enumerate(keys) if self.best[k[0], k[1]][1:3] == (k[2], k[3])}
             if not won:
                 continue
-            rows = _solved(table.where(F.col("key").isin(list(won))), maps, scales, True, min(len(won), self._tasks))
+            rows = _solved(table.where(F.col("key").isin(list(won))), maps, scales, True, min(len(won), self._tasks), self._y0)
             for r in rows:
                 t, s, le, al = won[r["key"]]
                 spec = GPSpec(self.specs[t].amplitude, np.array(le) if isinstance(le, tuple) else le, al, self.specs[t].noise)

@@ -136,12 +136,14 @@ class Prep:
 
 def input_summary(folded: DataFrame, target: str, n_splits: int = SETTINGS.n_splits,
                   fold_col: str = "fold") -> DataFrame:
-    """``(Vc, Fz, ap, n_k, sy_k, syy_k for every fold k)``: one row per
-    distinct input, built by a partial (map-side) aggregate."""
-    aggs = []
+    """``(Vc, Fz, ap, n_k, sy_k, syy_k for every fold k, y0)``: one row per
+    distinct input, built by a partial (map-side) aggregate. Sums are of targets
+    less ``y0``, their mean, so that squares of a large common part never cancel."""
+    y0 = folded.agg(F.avg(target)).first()[0] or 0.0
+    aggs = [F.lit(float(y0)).alias("y0")]
     for k in range(n_splits):
         inf = F.col(fold_col) == k
-        y = F.col(target)
+        y = F.col(target) - F.lit(float(y0))
         aggs += [
             F.sum(F.when(inf, 1).otherwise(0)).cast("long").alias(f"n{k}"),
             F.sum(F.when(inf, y).otherwise(0.0)).alias(f"sy{k}"),
@@ -329,6 +331,9 @@ def fit_target_prep(folded: DataFrame, target: str, n_splits: int = SETTINGS.n_s
     S = n_splits + 1
     rows = folded.select(F.col(target).alias("y"), F.col(fold_col).alias("fold"))
     lo, hi, n = SETTINGS.yj_grid
+    # transformed values are summed less the transform of the mean: what is left is
+    # of the size of their deviation, so that squares do not cancel
+    y0 = np.array([rows.agg(F.avg("y")).first()[0] or 0.0])
 
     def grid_fn(grid_of_state):
         def fn(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
@@ -339,7 +344,7 @@ def fit_target_prep(folded: DataFrame, target: str, n_splits: int = SETTINGS.n_s
                 m = (f != s) if s < n_splits else np.ones(len(y), bool)
                 ys = y[m]
                 g = grid_of_state[s]
-                t = yj_np(ys[:, None], g[None, :])
+                t = yj_np(ys[:, None], g[None, :]) - yj_np(y0[:, None], g[None, :])
                 out[s] = np.concatenate([[len(ys)], t.sum(0), (t * t).sum(0),
                                          [np.sum(np.sign(ys) * np.log1p(np.abs(ys)))]])
             return out
@@ -371,7 +376,7 @@ def fit_target_prep(folded: DataFrame, target: str, n_splits: int = SETTINGS.n_s
         out = {}
         for s in range(S):
             m = (f != s) if s < n_splits else np.ones(len(y), bool)
-            t = yj_np(y[m][:, None], np.array([lam[s]]))[:, 0]
+            t = yj_np(y[m], np.array([lam[s]])) - yj_np(y0, np.array([lam[s]]))
             out[s] = np.array([len(t), t.sum(), (t * t).sum()])
         return out
 
@@ -379,7 +384,7 @@ def fit_target_prep(folded: DataFrame, target: str, n_splits: int = SETTINGS.n_s
     mean, sd = np.zeros(S), np.ones(S)
     for s in range(S):
         c, a, b = sums[s]
-        mean[s] = a / c
-        v = max(b / c - mean[s] ** 2, 0.0)
+        mean[s] = a / c + yj_np(y0, np.array([lam[s]]))[0]
+        v = max(b / c - (a / c) ** 2, 0.0)
         sd[s] = np.sqrt(v) if v > 0 else 1.0
     return TargetPrep(lam, mean, sd)

@@ -7,6 +7,7 @@ or ``events``) and exercises one operator of the library; see
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,11 @@ from rugosa.operators import folds as fo
 from rugosa.operators import importance as imp
 from rugosa.operators import metrics as me
 from rugosa.operators import plotdata as pdat
+from rugosa.operators import preprocess as pp
 from rugosa.plans.common import TARGET, events, features, folded, oof, r6, round_all, runs
 from rugosa.sources import experiments as ex
-from rugosa.sources.tables import load_table, run_id_expr
+from rugosa.session import materialize
+from rugosa.sources.tables import continuous_inputs, load_table, run_id_expr
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,6 +111,41 @@ def q_poly_features_d2(spark, sf):
     return feat.poly_expand(features(spark, sf, guard_eps=None), feat.FEATURES_12, 2, keep=("run_id",))
 
 
+#: What brings nine inputs of the runs into [0, 1].
+POLY_INPUTS = {"Vc": 50.0, "Fz": 0.1, "ap": 0.6, "Vc2": 2500.0, "Fz2": 0.01, "ap2": 0.36, "Vc_Fz": 5.0, "Vc_ap": 30.0, "Fz_ap": 0.06}
+
+
+def _poly_query(degree):
+    def q(spark, sf):
+        df = features(spark, sf).select("run_id", F.array(*[F.col(c) / F.lit(v) for c, v in POLY_INPUTS.items()]).alias("x"))
+        n = len(POLY_INPUTS)
+        df = df.select("run_id", feat.poly_array(F.col("x"), n, degree).alias("t"))
+        cols, at = [], 1
+        for d in range(1, degree + 1):
+            size = math.comb(n + d - 1, d)
+            part = F.slice("t", at, size)
+            cols.append(r6(F.aggregate(part, F.lit(0.0), lambda a, b: a + b)).alias(f"sum_d{d}"))
+            at += size
+        return df.select("run_id", F.size("t").alias("n_terms"), *cols)
+    return q
+
+
+def q_fold_robust_stats(spark, sf):
+    """F9 as the models use it: median and interquartile range of the 15 inputs in
+    every training state, over inputs that no two rows share."""
+    f = folded(spark, sf)
+    cont = continuous_inputs(f)
+    summary = materialize(pp.input_summary(cont, TARGET), checkpoint=True)
+    med, iqr = pp.robust_fold_stats(summary, 1)
+    rows = [(s, c, float(med[s, j]), float(iqr[s, j])) for s in range(med.shape[0]) for j, c in enumerate(feat.FEATURES_15)]
+    return round_all(spark.createDataFrame(rows, "state int, feature string, median double, iqr double"))
+
+
+def q_stacking_predict_nested(spark, sf):
+    out = ens.stacking_predict_nested(oof(spark, sf))
+    return out.select("run_id", "fold", "y", r6("alpha").alias("alpha"), r6("pred_stack").alias("pred_stack"))
+
+
 def q_robust_scale(spark, sf):
     df = features(spark, sf).select("run_id", *feat.FEATURES_15)
     return round_all(sc.robust_scale(df, feat.FEATURES_15))
@@ -332,7 +370,10 @@ SQL_CHECKED: dict[str, Query] = {
     "feat_logs_raw": _feat_query(lambda: feat.log_features(None), rounded=True),
     "engineered_features": q_engineered_features,
     "poly_features_d2": q_poly_features_d2,
+    "poly_features_d3": _poly_query(3),
+    "poly_features_d4": _poly_query(4),
     "robust_scale": q_robust_scale,
+    "fold_robust_stats": q_fold_robust_stats,
     "yeo_johnson_apply": q_yeo_johnson_apply,
     "yeo_johnson_fit": q_yeo_johnson_fit,
     "standardize": q_standardize,
@@ -353,6 +394,7 @@ SQL_CHECKED: dict[str, Query] = {
     "best_trial": q_best_trial,
     "ridgecv_stacking": q_ridgecv_stacking,
     "stacking_predict": q_stacking_predict,
+    "stacking_predict_nested": q_stacking_predict_nested,
     "stacking_weights": q_stacking_weights,
     "permutation_importance": q_permutation_importance,
     "importance_grouped": q_importance_grouped,

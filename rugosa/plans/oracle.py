@@ -357,6 +357,60 @@ def _lenient(x: str) -> str:
             f"THEN TRY_CAST(trim({x}) AS DOUBLE) END)")
 
 
+def _poly_sums(degree: int) -> str:
+    """Sums of all monomials of a degree from power sums (Newton's identities)."""
+    parts = {"Vc": 50.0, "Fz": 0.1, "ap": 0.6, "Vc2": 2500.0, "Fz2": 0.01, "ap2": 0.36, "Vc_Fz": 5.0, "Vc_ap": 30.0, "Fz_ap": 0.06}
+    power = ", ".join(
+        " + ".join(f"power({c} / {v!r}::DOUBLE, {k})" for c, v in parts.items()) + f" AS p{k}" for k in range(1, 5))
+    sums = ["p1", "(p1 * p1 + p2) / 2", "(p1 * p1 * p1 + 3 * p1 * p2 + 2 * p3) / 6",
+            "(p1 * p1 * p1 * p1 + 6 * p1 * p1 * p2 + 3 * p2 * p2 + 8 * p1 * p3 + 6 * p4) / 24"]
+    terms = {3: 219, 4: 714}[degree]
+    return _with(f"SELECT run_id, {terms} AS n_terms, " + ", ".join(f"{r6(x)} AS sum_d{k + 1}" for k, x in enumerate(sums[:degree]))
+                 + f" FROM (SELECT run_id, {power} FROM feat)", FEAT15)
+
+
+def _fold_robust() -> str:
+    def unit(first):
+        return f"(('0x' || substr(md5(run_id), {first}, 8))::BIGINT / 4294967295.0::DOUBLE)"
+
+    features = ["Vc", "Fz", "ap", "Vc * Vc", "Fz * Fz", "ap * ap", "Vc * Fz", "Vc * ap", "Fz * ap",
+                "Vc / (Fz + 1e-9)", "Fz / (ap + 1e-9)", "Vc / (ap + 1e-9)", "ln(Vc + 1e-9)", "ln(Fz + 1e-9)", "ln(ap + 1e-9)"]
+    long = " UNION ALL ".join(f"SELECT fold, '{name}' AS feature, {e} AS v FROM cont" for name, e in zip(F15, features, strict=True))
+    return _with(f"""
+SELECT state, feature, {r6('q[2]')} AS median,
+       {r6(f'CASE WHEN q[3] - q[1] < {10 * 2.220446049250313e-16!r} THEN 1.0 ELSE q[3] - q[1] END')} AS iqr
+FROM (SELECT CAST(s.state AS INTEGER) AS state, feature, quantile_cont(v, [0.25, 0.5, 0.75]) AS q
+      FROM long JOIN range(6) s(state) ON fold <> s.state GROUP BY s.state, feature)""",
+        FOLDED + f""",
+cont AS (SELECT fold, Vc + {unit(9)} AS Vc, Fz + 0.01::DOUBLE * {unit(17)} + 0.001::DOUBLE AS Fz, ap + 0.1::DOUBLE * {unit(25)} AS ap FROM folded),
+long AS ({long})""")
+
+
+def _nested_stacking() -> str:
+    coefs = ",\n".join(
+        f"         {expr} AS {name}" for name, expr in zip(("i11", "i12", "i22", "c1", "c2", "b0"), _ridge_coef("cand.alpha")))
+    return _with(f"""
+SELECT o.run_id, o.fold, o.y, {r6('c.alpha')} AS alpha, {r6('c.b0 + c.c1 * o.pred_svr + c.c2 * o.pred_gpr')} AS pred_stack
+FROM oof o JOIN nchosen c ON c.k = o.fold""", OOF + f""",
+ntrain AS (SELECT k.k, oof.* FROM oof JOIN range(5) k(k) ON oof.fold <> k.k),
+rs AS (SELECT k, CAST(count(*) AS DOUBLE) AS n, avg(pred_svr) AS ms, avg(pred_gpr) AS mg, avg(y) AS my,
+              count(*) * var_pop(pred_svr) AS Sss, count(*) * var_pop(pred_gpr) AS Sgg,
+              count(*) * covar_pop(pred_svr, pred_gpr) AS Ssg,
+              count(*) * covar_pop(pred_svr, y) AS Ssy, count(*) * covar_pop(pred_gpr, y) AS Sgy FROM ntrain GROUP BY k),
+cand AS (SELECT * FROM (VALUES (0, 0.1::DOUBLE), (1, 1.0::DOUBLE), (2, 10.0::DOUBLE)) t(idx, alpha)),
+coef AS (SELECT cand.idx, cand.alpha, rs.*,
+{coefs}
+         FROM cand, rs),
+loo AS (SELECT coef.k, coef.idx, avg(power((o.y - (coef.b0 + coef.c1 * o.pred_svr + coef.c2 * o.pred_gpr))
+           / (1.0::DOUBLE - (1.0::DOUBLE / coef.n
+              + coef.i11 * (o.pred_svr - coef.ms) * (o.pred_svr - coef.ms)
+              + 2.0::DOUBLE * coef.i12 * (o.pred_svr - coef.ms) * (o.pred_gpr - coef.mg)
+              + coef.i22 * (o.pred_gpr - coef.mg) * (o.pred_gpr - coef.mg))), 2)) AS loo_mse
+        FROM ntrain o JOIN coef ON o.k = coef.k GROUP BY coef.k, coef.idx),
+nchosen AS (SELECT * FROM (SELECT coef.*, row_number() OVER (PARTITION BY coef.k ORDER BY loo.loo_mse, coef.idx) AS r
+            FROM coef JOIN loo ON coef.k = loo.k AND coef.idx = loo.idx) WHERE r = 1)""")
+
+
 def oracle_sql() -> dict[str, str]:
     ln = "CAST(l_linenumber AS VARCHAR)"
     sql: dict[str, str] = {}
@@ -394,7 +448,11 @@ FROM lineitem"""
         "SELECT run_id, Vc2, Fz2, ap2, Vc_Fz, Vc_ap, Fz_ap, Vc_Fz_ratio, Fz_ap_ratio, Vc_ap_ratio, "
         f"{r6('log_Vc')} AS log_Vc, {r6('log_Fz')} AS log_Fz, {r6('log_ap')} AS log_ap FROM feat", FEAT15)
     sql["poly_features_d2"] = _poly_d2(F12)
+    sql["poly_features_d3"] = _poly_sums(3)
+    sql["poly_features_d4"] = _poly_sums(4)
     sql["robust_scale"] = _robust_scale()
+    sql["fold_robust_stats"] = _fold_robust()
+    sql["stacking_predict_nested"] = _nested_stacking()
     yj_names = {-1.0: "yj_m1", 0.0: "yj_0", 0.5: "yj_0p5", 2.0: "yj_2", 3.0: "yj_3"}
     sql["yeo_johnson_apply"] = (
         "SELECT event_id, v, " + ", ".join(f"{r6(_yj('v', lam))} AS {nm}" for lam, nm in yj_names.items())

@@ -66,3 +66,16 @@ def runs_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 def load_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_from_lineitem(load_table(spark, sf_dir, "lineitem"))
+
+
+def continuous_inputs(runs: DataFrame) -> DataFrame:
+    """The runs with inputs that (nearly) no two rows share: each base input is moved
+    by a uniform number from its own digits of the key's md5."""
+    def unit(first: int) -> Column:
+        return F.conv(F.substring(F.md5("run_id"), first, 8), 16, 10).cast("double") / F.lit(4294967295.0)
+
+    return runs.withColumns({
+        "Vc": F.col("Vc") + unit(9),
+        "Fz": F.col("Fz") + F.lit(0.01) * unit(17) + F.lit(0.001),
+        "ap": F.col("ap") + F.lit(0.1) * unit(25),
+    })

@@ -62,3 +62,29 @@ def test_stacking_weights_normalised(spark, oof):
     df, _ = oof
     w = ens.stacking_weights(ens.selected_stacker(df)).collect()[0]
     assert w["weight_svr"] + w["weight_gpr"] == pytest.approx(1.0)
+
+
+def test_nested_stacking_fits_without_the_fold(spark):
+    """Each fold's stacker equals the plain one on the rows of the other folds, also
+    where a large common part would cancel in raw squares."""
+    import numpy as np
+
+    from rugosa.operators import ensemble as en
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(300):
+        y = 1e6 + rng.normal()
+        rows.append((i, int(i % 4), y, y + 0.3 * rng.normal(), 0.5 * y + 0.2 * rng.normal()))
+    df = spark.createDataFrame(rows, "id int, fold int, y double, pred_svr double, pred_gpr double")
+    got = {r["fold"]: r for r in en.nested_stackers(df).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for k in range(4):
+        want = en.fit_stacker(df.where(f"fold <> {k}"))
+        for c in ("alpha", "loo_mse", "coef_svr", "coef_gpr"):
+            assert abs(got[k][c] - want[c]) <= 1e-6 * max(1.0, abs(want[c])), (k, c)
+    pred = en.stacking_predict_nested(df).collect()
+    assert len(pred) == 300
+    r = pred[0]
+    s = got[r["fold"]]
+    assert r["pred_stack"] == s["intercept"] + s["coef_svr"] * r["pred_svr"] + s["coef_gpr"] * r["pred_gpr"]

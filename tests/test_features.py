@@ -52,3 +52,19 @@ def test_poly_order_and_names(spark):
 def test_feature_matrix_order(spark):
     m = feat.feature_matrix(feat.add_engineered_features(_df(spark)), feat.FEATURES_15).orderBy("run_id").collect()
     assert len(m[0]["x"]) == 15 and m[0]["x"][:3] == [7.5, 0.05, 0.75] and m[0]["y"] == 0.4
+
+
+def test_poly_array_has_the_terms_in_order(spark):
+    """One array expression against numpy products over the exponent tuples."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from rugosa.functions.features import poly_array, poly_terms
+
+    rng = np.random.default_rng(2)
+    for n, degree in ((1, 4), (3, 1), (4, 3), (15, 3), (6, 4)):
+        x = rng.uniform(-2, 2, (5, n))
+        df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, x array<double>")
+        got = np.array([r["t"] for r in df.select("i", poly_array(F.col("x"), n, degree).alias("t")).orderBy("i").collect()])
+        want = np.column_stack([np.prod(x[:, list(t)], axis=1) for t in poly_terms(n, degree)])
+        assert got.shape == want.shape and np.allclose(got, want, rtol=1e-13)

@@ -69,3 +69,48 @@ def test_bracket_quantiles_equal_exact(spark, skewed):
     qs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
     got = qq.exact_quantiles(df, ["y"], qs)["y"]
     assert np.allclose(got, np.quantile(y, qs), rtol=0, atol=1e-12)
+
+
+def test_weighted_quantiles_of_many_columns(spark, monkeypatch):
+    """Continuous, tied, constant, infinite and empty columns under several
+    weightings, with summaries so small that several rounds are needed."""
+    import pandas as pd
+
+    from rugosa.operators import ranks
+
+    monkeypatch.setattr(ranks, "LEAST", 16)
+    monkeypatch.setattr(ranks, "MOST", 16)
+    rng = np.random.default_rng(6)
+    n = 5000
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": np.where(rng.random(n) < 0.4, 3.0, rng.random(n)),
+                        "c": np.full(n, 7.0), "d": np.full(n, np.nan), "e": np.exp(rng.normal(size=n) * 9),
+                        "w": rng.integers(0, 30, n), "u": (rng.random(n) < 0.2).astype(int)})
+    pdf.loc[0, "a"], pdf.loc[1, "a"], pdf.loc[::9, "e"] = np.inf, -np.inf, np.nan
+    qs = [0.0, 0.25, 0.5, 0.77, 1.0]
+    got = ranks.weighted_quantiles(
+        spark.createDataFrame(pdf).repartition(6), lambda p: (p[list("abcde")].to_numpy(float), p[["w", "u"]].to_numpy(float)), 5, 2, qs)
+    for s, w in enumerate(("w", "u")):
+        for j, c in enumerate("abcde"):
+            m = pdf[c].notna()
+            v = np.sort(np.repeat(pdf[c][m].to_numpy(), pdf[w][m].to_numpy()))
+            for k, q in enumerate(qs):
+                if not len(v):
+                    assert np.isnan(got[s, j, k])
+                    continue
+                h = (len(v) - 1) * q
+                a, b = v[int(h)], v[min(int(h) + 1, len(v) - 1)]
+                want = a if h == int(h) or a == b else a + (h - int(h)) * (b - a)
+                assert got[s, j, k] == want, (w, c, q)
+
+
+def test_thinned_summaries_keep_weight_and_largest_value():
+    from rugosa.operators.ranks import merge_summaries
+
+    rng = np.random.default_rng(3)
+    parts = [np.column_stack([rng.integers(0, 3, 500), rng.normal(size=500).round(2), np.zeros(500), rng.integers(0, 9, (500, 2))]) for _ in range(4)]
+    both = merge_summaries([merge_summaries(parts[:2], 20), merge_summaries(parts[2:], 20)], 20)
+    rows = np.vstack(parts)
+    for k in range(3):
+        own, part = rows[rows[:, 0] == k], both[both[:, 0] == k]
+        assert len(part) <= 21 and part[-1, 1] == own[:, 1].max() and (np.diff(part[:, 1]) > 0).all()
+        assert np.array_equal(part[:, 3:].sum(0), own[:, 3:].sum(0)) and part[:, 2].all()

@@ -177,3 +177,65 @@ def test_oof_scoring_quality(spark, small):
     for c in ("pred_svr", "pred_gpr"):
         assert 1 - np.mean((sc[c] - sc.y) ** 2) / var > 0.5, c
     assert (sc.std_gpr > 0).all()
+
+
+def test_target_moments_survive_a_large_common_part(spark):
+    """Mean 1e8, deviation 1: the moments that the GP and the SVR target use keep
+    nine digits of the variance."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    y = 1e8 + rng.normal(size=n)
+    pdf = pd.DataFrame({"run_id": [str(i) for i in range(n)], "Vc": rng.integers(1, 9, n) * 1.0, "Fz": rng.integers(1, 4, n) / 100.0,
+                        "ap": 1.0, "y": y, "fold": (np.arange(n) % 5).astype("int32")})
+    df = spark.createDataFrame(pdf)
+    summary = pp.input_summary(df, "y").cache()
+    model = kk.fit_gp(summary, pp.fit_prep(summary, 1), [kk.GPSpec()], n_features=16, refit=False, states=[0, 5])
+    for s in (0, 5):
+        own = y[pdf.fold != s]
+        assert model.states[0, s].y_std ** 2 == pytest.approx(own.var(), rel=1e-9)
+        assert model.states[0, s].y_mean == pytest.approx(own.mean(), rel=1e-15)
+
+
+def test_landmarks_carry_the_kernel(small):
+    """All inputs as landmarks give the kernel itself; fewer give less than it, and
+    a lower bound of the exact likelihood."""
+    _, pdf, summary, prep = small
+    z = prep.transform(pp.poly_np(pp.engineered_np(pdf[["Vc", "Fz", "ap"]].to_numpy()), 1), 5)
+    spec = kk.GPSpec(0.8, 3.0, 0.4, 0.05)
+    K = kk.kernel_np(z, z, spec)
+    assert np.allclose(K, _kernel(z, z, kk.GPSpec(1.0, 3.0, 0.4)), atol=1e-12)
+    full = kk.fit_gp(summary, prep, [spec], n_features=400, refit=False, states=[5])
+    phi = full.features[0, 5](z)
+    assert np.abs(phi @ phi.T - K).max() < 1e-6
+    y = (pdf.y - pdf.y.mean()) / pdf.y.std(ddof=0)
+    A = spec.amplitude * K + (spec.noise + 1e-10) * np.eye(len(z))
+    exact = -0.5 * (y @ np.linalg.solve(A, y) + np.linalg.slogdet(A)[1] + len(y) * np.log(2 * np.pi))
+    assert full.states[0, 5].lml == pytest.approx(exact, rel=1e-6)
+    for few in (20, 60):
+        part = kk.fit_gp(summary, prep, [spec], n_features=few, refit=False, states=[5])
+        phi = part.features[0, 5](z)
+        assert (np.diag(K) - (phi * phi).sum(1) > -1e-6).all()
+        assert part.states[0, 5].lml <= exact + 1e-6
+        m, sd = kk.gp_predict_np(part, 0, 5, pp.poly_np(pp.engineered_np(pdf[["Vc", "Fz", "ap"]].to_numpy()), 1))
+        assert np.isfinite(m).all() and (sd > 0).all()
+
+
+def test_orthogonal_blocks_and_strata():
+    rng = np.random.default_rng(2)
+    z = kk.orthogonal_directions(8, 20, rng)
+    unit = z / np.linalg.norm(z, axis=1, keepdims=True)
+    assert np.allclose(unit[:8] @ unit[:8].T, np.eye(8), atol=1e-12)
+    for alpha in (0.05, 1.0, 30.0, 1e4):
+        tau = kk.gamma_strata(alpha, 2000)
+        draws = np.sort(np.random.default_rng(1).gamma(alpha, 1 / alpha, 400_000))[100::200]
+        assert (np.diff(tau) >= 0).all() and abs(tau.mean() - 1) < 0.02
+        assert np.abs(tau - draws)[200:1800].max() < 0.05
+
+
+def test_degrees_share_one_preprocessing_fit(small):
+    _, _, summary, _ = small
+    both = pp.fit_preps(summary, [1, 2])
+    for d in (1, 2):
+        own = pp.fit_prep(summary, d)
+        for name in ("med", "iqr", "lam", "mean", "sd", "live"):
+            assert np.allclose(getattr(both[d], name), getattr(own, name)), (d, name)
