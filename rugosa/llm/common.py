@@ -43,21 +43,47 @@ def release(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-class Numbered(dict):
-    """Numbers distinct keys in the order in which they are first looked up; the
-    new ones wait in ``fresh``."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list = []
-
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        self.fresh.append(key)
-        return n
-
-    def take_fresh(self) -> list:
-        out, self.fresh = self.fresh, []
+class Remembered:
+    """Values of recent keys, bounded by bytes. Keys live in two generations: when the
+    younger one has used its half of the bound it becomes the older one, and the
+    older one goes; a key that is asked for moves to the younger one, so frequent keys
+    stay. Keys of more than ``longest`` characters are never kept."""
+
+    #: Bytes of a dictionary entry and its two objects besides their contents.
+    ENTRY = 200
+
+    def __init__(self, bound: int, longest: int = 64):
+        self.half, self.longest = bound // 2, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.used = 0
+
+    def values(self, keys: list[list[str]], learn: Callable[[list[str]], list[bytes]]) -> list[list[bytes]]:
+        """The value of every key; ``learn`` is asked for unknown ones, once each."""
+        get = self.young.get
+        out = [list(map(get, own)) for own in keys]
+        open_ = [i for i, got in enumerate(out) if None in got]
+        fresh: dict[str, bytes] = {}
+        for i in open_:
+            fresh.update([(k, b"") for k, v in zip(keys[i], out[i], strict=True) if v is None])
+        if not fresh:
+            return out
+        before = self.old.get
+        unknown = []
+        for k in fresh:
+            if (v := before(k)) is None:
+                unknown.append(k)
+            else:
+                fresh[k] = v
+        if unknown:
+            fresh.update(zip(unknown, learn(unknown), strict=True))
+        for i in open_:
+            out[i] = [fresh[k] if v is None else v for k, v in zip(keys[i], out[i], strict=True)]
+        short = fresh if max(map(len, fresh)) <= self.longest else {k: v for k, v in fresh.items() if len(k) <= self.longest}
+        self.young.update(short)
+        self.used += self.ENTRY * len(short) + 2 * sum(map(len, short)) + sum(map(len, short.values()))
+        if self.used > self.half:
+            self.old, self.young, self.used = self.young, {}, 0
         return out
 
 

@@ -28,11 +28,11 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from rugosa.llm.common import Numbered, arrow_rows, id_text
+from rugosa.llm.common import Remembered, arrow_rows, id_text
 
 SPACE = "▁"
-#: Segments a worker remembers before it starts anew.
-CACHE_SEGMENTS = 800_000
+#: Bytes of segments and their ids that a worker remembers, at most.
+CACHE_BYTES = 96 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SCHEMA_FULL = "doc_id long, ids array<int>, decoded string"
 
@@ -173,12 +173,11 @@ class Encoder:
         self.model = PieceBpe(model_file)
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.check = check
-        self.known = Numbered()
-        self.ids: list[bytes] = []
-        self.decimal: list[str] = []
+        self.known = Remembered(CACHE_BYTES)
+        self.decimal = [str(i) for i in range(self.library.get_piece_size())]
 
-    def learn(self, fresh: list[str]) -> None:
-        """Run new segments through the agenda, in the order of their numbers."""
+    def learn(self, fresh: list[str]) -> list[bytes]:
+        """Run new segments through the agenda."""
         found = [self.model.segment_ids(s) for s in fresh]
         if self.check == "segments":
             # the library adds no leading space to an empty text
@@ -186,24 +185,17 @@ class Encoder:
             for (s, i), other in zip(full, self.library.encode([s for s, _ in full], num_threads=1), strict=True):
                 if i != other:
                     raise AssertionError(f"segment {s[:200]!r}: {i[:50]}, the library gives {other[:50]}")
-        self.ids += [array("i", i).tobytes() for i in found]
-        self.decimal += [",".join(map(str, i)) for i in found]
-
-    def encode(self, texts: list[str]) -> list[tuple[array, str]]:
-        """Ids and their decimal form of each text."""
-        if len(self.known) > CACHE_SEGMENTS:
-            self.known, self.ids, self.decimal = Numbered(), [], []
-        number = self.known.__getitem__
-        cut = [list(map(number, segments(t))) for t in texts]
-        if self.known.fresh:
-            self.learn(self.known.take_fresh())
+        return [array("i", i).tobytes() for i in found]
+
+    def encode(self, texts: list[str]) -> list[array]:
+        """Ids of each text."""
         out = []
-        for own in cut:
+        for own in self.known.values([segments(t) for t in texts], self.learn):
             ids = array("i")
-            ids.frombytes(b"".join([self.ids[n] for n in own]))
-            out.append((ids, ",".join([self.decimal[n] for n in own])))
+            ids.frombytes(b"".join(own))
+            out.append(ids)
         if self.check == "texts":
-            for text, (ids, _), other in zip(texts, out, self.library.encode(texts, num_threads=1), strict=True):
+            for text, ids, other in zip(texts, out, self.library.encode(texts, num_threads=1), strict=True):
                 if ids.tolist() != other:
                     raise AssertionError(f"text {text[:200]!r} differs from the library")
         return out
@@ -225,7 +217,7 @@ def encode_documents(docs: DataFrame, model_file: str, check: str = "segments")
             texts = [t or "" for _, t in part]
             return [
                 (d, ids.tolist(), encoder.model.decode(ids) if ids else "")
-                for (d, _), (ids, _) in zip(part, encoder.encode(texts), strict=True)
+                for (d, _), ids in zip(part, encoder.encode(texts), strict=True)
             ]
 
         return rows
@@ -240,15 +232,16 @@ def digest_documents(docs: DataFrame, model_file: str, check: str = "segments",
 
     def make():
         encoder = worker_encoder(model_file, check)
+        decimal = encoder.decimal.__getitem__
 
         def rows(part):
             out = []
-            for (d, _), (own, decimal) in zip(part, encoder.encode([t or "" for _, t in part]), strict=True):
+            for (d, _), own in zip(part, encoder.encode([t or "" for _, t in part]), strict=True):
                 decoded = encoder.model.decode(own) if own else ""
                 row = (
                     d,
                     len(own),
-                    hashlib.sha256(decimal.encode()).hexdigest(),
+                    hashlib.sha256(",".join(map(decimal, own)).encode()).hexdigest(),
                     hashlib.sha256(decoded.encode()).hexdigest(),
                 )
                 out.append((*row, np.frombuffer(own, dtype=np.int32)) if ids else row)

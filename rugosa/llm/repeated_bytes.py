@@ -419,9 +419,11 @@ def _removed(docs: DataFrame) -> DataFrame:
     texts = docs.select("digest", "text")
     anchors = texts.where(F.octet_length("text") >= WINDOW).mapInArrow(_anchor_rows, "digest binary, place long, lo short, hi short, h long, f long")
     anchors = store(anchors, "repeats-anchors")
-    often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # both sides of the join lie in tables, so that adaptive execution may split a hot anchor
+    often = store(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeats-often")
     places = store(anchors.join(often.hint("shuffle_hash"), "h", "left_semi"), "repeats-places")
     release(anchors)
+    release(often)
     each = places.groupBy("h", "f").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("digest", "place", "lo", "hi")).alias("at"))
     each = store(each.select("h", "f", "places", "at.*"), "repeats-fragments")
     crowd = each.groupBy("h").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")

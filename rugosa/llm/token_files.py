@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rugosa.llm.common import SLICE_ROWS, Numbered, fresh_path, id_text, release, store
+from rugosa.llm.common import SLICE_ROWS, Remembered, fresh_path, id_text, release, store
 from rugosa.session import ship_package
 
 #: Longest code word; one decoding table has 2**MAX_BITS entries.
@@ -44,12 +44,12 @@ STEP = 1024
 BLOCK_IDS = 1 << 16
 #: Blocks decoded side by side.
 LANES = 32
-#: Segments a worker remembers before it starts anew.
-CACHE_SEGMENTS = 1_200_000
+#: Bytes of segments and their ids that a worker remembers, at most.
+CACHE_BYTES = 96 << 20
 
 # A single space between two of these characters always starts a pre-token.
 _SAFE = "!-~¡-¬®-ɏ"
-_UNSAFE = (re.compile(f" (?![{_SAFE}])"), re.compile(f" (?<![{_SAFE}] )"))
+_OTHER = re.compile(f"[^ {_SAFE}]")
 _CUT = re.compile(f"(?<=[{_SAFE}]) (?=[{_SAFE}])")
 #: Segments that one call of the library encodes as one text.
 JOINED = 64
@@ -57,8 +57,11 @@ JOINED = 64
 
 def segments(text: str) -> list[str]:
     """The text cut before safe single spaces; each later segment lost its space."""
-    if any(p.search(text) for p in _UNSAFE):
+    if "  " in text or text[:1] == " " or text[-1:] == " ":
         return _CUT.split(text)
+    for c in set(_OTHER.findall(text)):
+        if f" {c}" in text or f"{c} " in text:
+            return _CUT.split(text)
     return text.split(" ")
 
 
@@ -78,8 +81,7 @@ class SegmentEncoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(added[i].encode()) if i in added else len(token)
-        self.known = Numbered()
-        self.ids: list[bytes] = []
+        self.known = Remembered(CACHE_BYTES)
         self.width = 4
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -87,7 +89,7 @@ class SegmentEncoder:
         kind = "I" if self.width == 4 else "H"
         return [array(kind, e.ids).tobytes() for e in got]
 
-    def learn(self, fresh: list[str]) -> None:
+    def learn(self, fresh: list[str]) -> list[bytes]:
         """Encode new segments, many in one text, and cut their ids apart: a
         byte-level vocabulary loses no byte, so byte lengths tell where."""
         spaced = [" " + s for s in fresh]
@@ -98,22 +100,16 @@ class SegmentEncoder:
         if read[-1] != ends[-1] or (read[last] != ends).any():
             raise AssertionError("the tokenizer joined bytes of two segments")
         cuts = (last + 1) * self.width
-        at = 0
-        for end in cuts.tolist():
-            self.ids.append(data[at:end])
-            at = end
+        ends = cuts.tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def encode(self, texts: list[str], width: int = 4) -> list[bytes]:
-        if len(self.known) > CACHE_SEGMENTS or width != self.width:
-            self.known, self.ids, self.width = Numbered(), [], width
-        number = self.known.__getitem__
+        if width != self.width:
+            self.known, self.width = Remembered(CACHE_BYTES), width
         cut = [segments(t) for t in texts]
-        later = [list(map(number, c[1:])) for c in cut]
-        if self.known.fresh:
-            self.learn(self.known.take_fresh())
+        later = self.known.values([c[1:] for c in cut], self.learn)
         first = self.whole([c[0] for c in cut])
-        ids = self.ids
-        return [f + b"".join([ids[n] for n in own]) for f, own in zip(first, later, strict=True)]
+        return [f + b"".join(own) for f, own in zip(first, later, strict=True)]
 
 
 @lru_cache(maxsize=1)

@@ -45,7 +45,8 @@ THRESHOLD = 0.25
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?:href|src|HREF|SRC)\s*=\s*["']?\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
-MAIL = r"[A-Za-z0-9._-]+@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+# a run of such characters is tried from its beginning only (or from the end of the match before)
+MAIL = r"(?:(?<![A-Za-z0-9._-])|\G)[A-Za-z0-9._-]++@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
 
 
 def after_scheme(url: str) -> Column:

@@ -256,3 +256,41 @@ def test_code_lengths_are_optimal_under_the_limit():
     # by exhaustion: four symbols, two bits at most, leaves one answer
     assert code_lengths(np.array([1, 2, 4, 100]), 2).tolist() == [2, 2, 2, 2]
     assert code_lengths(np.array([1, 2, 4, 100]), 3).tolist() == [3, 3, 2, 1]
+
+
+def test_remembered_values_stay_within_their_bytes():
+    """Thousands of long unspaced keys are never kept; the others stay within the
+    bound, frequent ones through changes of generation."""
+    from rugosa.llm.common import Remembered
+
+    asked = []
+
+    def learn(keys):
+        asked.extend(keys)
+        return [k.encode() * 2 for k in keys]
+
+    memory = Remembered(400_000, longest=64)
+    for i in range(2000):
+        keys = [["often", "x" * 2000 + str(i), f"key{i}"], [], ["often", f"key{i}"]]
+        got = memory.values(keys, learn)
+        assert got == [[k.encode() * 2 for k in own] for own in keys]
+        held = {**memory.old, **memory.young}
+        assert max(map(len, held)) <= 64
+        assert sum(Remembered.ENTRY + 2 * len(k) + len(v) for k, v in held.items()) <= 400_000 + 1000
+    assert asked.count("often") == 1 and len(asked) == 4001
+
+
+def test_mail_hosts_in_a_long_run_of_letters(spark):
+    """A megabyte of letters before an address takes no quadratic time."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from rugosa.llm.url_filter import MAIL
+
+    texts = ["a" * 1_000_000, "x" * 300_000 + "@host.example", "a@b.c_x@d.e, y@f.g@h.i <m.n-o@p.q.r>", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "html string")
+    began = time.time()
+    got = [r[0] for r in df.select(F.regexp_extract_all("html", F.lit(MAIL), F.lit(1))).collect()]
+    assert time.time() - began < 20
+    assert got == [[], ["host.example"], ["b.c", "d.e", "f.g", "p.q.r"], []]
