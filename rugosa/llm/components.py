@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rugosa.llm.common import store
+from rugosa.llm.common import release, store
 
 #: The largest count of a block.
 FULL = (1 << 16) - 1
@@ -40,7 +40,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             .where("u > v")
             .distinct()
         )
-        current = store(small, label)
+        last, current = current, store(small, label)
+        release(last)
         now = _mark(current)
         if now == mark:
             break
@@ -123,7 +124,7 @@ def link_members(
     for their own component. Two members that both are in the representative's
     component need no comparison, so every confirmed link has been found or joins
     what is joined already, and a group of copies costs rows in proportion to its
-    size.
+    size. Tables between steps are deleted when they have been read.
     """
     words = [f"w{i}" for i in range(n_words)]
     labels = profile.select("id", F.col("id").alias("component"), "size", *words)
@@ -166,4 +167,7 @@ def link_members(
             labels.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component"), "size", *words),
             f"{label}-labels",
         )
+        for done in (active, placed, edges):
+            release(done)
+    release(members)
     return labels.select("id", "component")

@@ -3,8 +3,8 @@
 1. Shingles: five consecutive words, lower-cased A-Z, hashed to 64 bits; a
    document's signature holds ``CHUNKS * WIDTH`` positions, each the low 16
    bits of one MinHash.
-2. Documents with equal shingle sets form one class, represented by the
-   smallest doc_id.
+2. Documents with equal shingle sets form one class, which has a number of its
+   own: a doc_id may stand on rows of several classes.
 3. Two classes whose signatures differ in at most ``2 * CHUNKS - 1`` positions
    differ in at most one position of some chunk (pigeonhole). Each class
    therefore files itself, for every chunk, under the chunk with each one
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rugosa.llm.common import SLICE_ROWS, id_text, store
+from rugosa.llm.common import SLICE_ROWS, id_text, release, store
 from rugosa.llm.components import CHUNK, FULL, link_members, packed, shared_members
 from rugosa.session import ship_package
 
@@ -107,8 +107,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sign(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_hash (128 bits; a private one without shingles)
-    and signature of every document."""
+    """doc_id, text_hash, n_shingles, set_hash (128 bits; a private one without
+    shingles) and signature of every document."""
     ship_package(docs.sparkSession)
 
     def run(batches):
@@ -117,12 +117,13 @@ def sign(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 ids = part.column(0).to_pylist()
-                sets = [shingler(t) for t in part.column(1).to_pylist()]
+                sets = [shingler(t) for t in part.column(2).to_pylist()]
                 full = [s for s in sets if len(s)]
                 signed = iter(signatures(full)) if full else iter(())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(
                             [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else f"empty {d}".encode() for d, s in zip(ids, sets, strict=True)],
@@ -130,10 +131,15 @@ def sign(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                         ),
                         pa.array([next(signed).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_hash", "signature"],
+                    names=["doc_id", "text_hash", "n_shingles", "set_hash", "signature"],
                 )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, signature binary")
+    return _hashed(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, signature binary")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, text: the hash tells texts apart that share a doc_id."""
+    return id_text(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
@@ -194,8 +200,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return both.select("ca", "cb", "set_a", "set_b").mapInArrow(run, "u long, v long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``id, set`` (sorted hashes) of the listed documents."""
+def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """``id, set`` (sorted hashes) of the listed classes."""
 
     def run(batches):
         shingler = Shingler(size)
@@ -205,8 +211,9 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 sets = [shingler(t).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    wanted = id_text(docs).withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
-    return wanted.dropDuplicates(["id"]).mapInArrow(run, "id long, set binary")
+    row = ["doc_id", "text_hash"]
+    wanted = _hashed(docs).join(classes.select("id", *row), row).dropDuplicates(row)
+    return wanted.select("id", "text").mapInArrow(run, "id long, set binary")
 
 
 def _profile(sets: DataFrame) -> DataFrame:
@@ -271,27 +278,32 @@ def _compared(left: DataFrame, right: DataFrame, n_words: int, least: int) -> Da
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, least: int = LEAST, size: int = SHINGLE) -> DataFrame:
-    """``id, component`` of every class (``id, signature``) that shares a key."""
+    """``id, component`` of every class (``id, doc_id, text_hash, signature``) that
+    shares a key."""
     members = shared_members(index_keys(classes), "near")
-    ids = store(members.select("id").distinct(), "near-ids")
-    sets = store(_sets(docs, ids, size), "near-sets")
-    signed = store(classes.join(ids, "id", "left_semi").select("id", "signature"), "near-signed")
+    signed = store(classes.join(members.select("id").distinct(), "id", "left_semi"), "near-signed")
+    sets = store(_sets(docs, signed, size), "near-sets")
     profile = store(_profile(sets), "near-profile")
-    return link_members(members, profile, BLOCKS // 4, least, lambda pairs: _confirmed(_near(pairs, signed), sets, least), "near", _compared)
+    linked = link_members(members, profile, BLOCKS // 4, least, lambda pairs: _confirmed(_near(pairs, signed), sets, least), "near", _compared)
+    for done in (members, signed, sets):
+        release(done)
+    return linked
 
 
 def near_duplicates(docs: DataFrame, least: int = LEAST, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     signed = store(sign(docs, size), "near-signatures")
     # the class of a null doc_id is represented by another document or by none
-    classes = store(
+    classes = (
         signed.where("n_shingles > 0 and doc_id is not null")
         .groupBy("set_hash")
-        .agg(F.min("doc_id").alias("id"), F.any_value("signature").alias("signature")),
-        "near-classes",
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.any_value("signature").alias("signature"))
     )
+    classes = store(classes.select(F.monotonically_increasing_id().alias("id"), "set_hash", "row.*", "signature"), "near-classes")
     linked = link_classes(docs, classes, least, size)
-    final = classes.select("set_hash", "id").join(linked, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
+    named = classes.select("id", "set_hash", "doc_id").join(linked, "id", "left")
+    lowest = named.groupBy("component").agg(F.min("doc_id").alias("first"))
+    final = named.join(lowest, "component", "left").select("set_hash", F.coalesce("first", "doc_id").alias("component"))
     component = F.coalesce("component", "doc_id")
     return signed.join(final, "set_hash", "left").select(
         "doc_id",

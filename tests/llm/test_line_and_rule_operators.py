@@ -409,3 +409,56 @@ def test_pipeline_stages_on_a_small_table(spark, make, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
     assert empty.collect() == []
+
+
+def test_line_dedup_of_texts_that_share_a_doc_id(make):
+    from rugosa.llm.line_dedup import report, without_repeated_lines
+
+    line = "a line that stands in another document, too, and is long enough"
+    docs = [(0, line), (1, line + "\nkept line"), (1, "quite unique other\nsecond unique"), (None, "null one\n" + line), (None, "null two")]
+    left = sorted((str(r.doc_id), r.text) for r in without_repeated_lines(make(docs)).collect())
+    # the row with a null id comes first, so its line stays
+    assert left == [("1", "kept line"), ("1", "quite unique other\nsecond unique"), ("None", "null one\n" + line), ("None", "null two")]
+    rows = sorted((str(r.doc_id), r.n_lines, r.dropped) for r in report(make(docs)).collect())
+    assert rows == [("0", 1, [0]), ("1", 2, []), ("1", 2, [0]), ("None", 1, []), ("None", 2, [])]
+
+
+def test_line_profile_bounds_what_lines_share(make):
+    """No pair at the threshold is lost to the counts by hash block."""
+    from pyspark.sql import functions as F
+
+    from rugosa.llm.line_dedup import BLOCKS, LEAST, SHINGLE, lines, profile
+
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    texts = [base[: rng.randint(150, 400)] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    found = lines(make([(i, t) for i, t in enumerate(texts)])).select("id", F.col("line")).distinct()
+    line = {r.id: r.line for r in found.collect()}
+    rows = {r.id: r for r in profile(found).collect()}
+
+    def counts(r):
+        return [(r[f"w{i // 4}"] >> (16 * (i % 4))) & 0xFFFF for i in range(BLOCKS)]
+
+    sets = {i: {t[k : k + SHINGLE] for k in range(max(1, len(t) - SHINGLE + 1))} for i, t in line.items()}
+    assert all(rows[i].size == len(s) == sum(counts(rows[i])) for i, s in sets.items())
+    close = 0
+    for i in sets:
+        for j in sets:
+            shared = len(sets[i] & sets[j])
+            bound = sum(map(min, counts(rows[i]), counts(rows[j])))
+            assert shared <= bound
+            close += 100 * shared >= LEAST * len(sets[i] | sets[j])
+    assert close > len(sets)
+
+
+def test_secret_runs_are_cut_at_base_spans(make):
+    from rugosa.llm.secret_scan import digest, log_ratios
+
+    key = "Zq9xV2mK7pTgW4sLb8RdY1nHc5JfEu3AoQzX"
+    digits = "0123456789abcdef0123456789abcdef01234567"
+    texts = [f"{digits}/{key}", f"{key}+{digits}=", f"password={key[:12]}", f"see {key} end", None]
+    ratios = [1.0 for _ in log_ratios({})]  # every transition speaks for a secret
+    got = {r.doc_id: r.spans for r in digest(make(list(enumerate(texts))), ratios).collect()}
+    assert got[0] == f"hex:0:40,random:40:{41 + len(key)}"
+    assert got[1] == f"random:0:{len(key) + 1},hex:{len(key) + 1}:{len(key) + 41}"
+    assert got[2] == "assign:0:21" and got[3] == f"random:4:{4 + len(key)}" and got[4] == ""

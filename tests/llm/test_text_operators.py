@@ -294,3 +294,35 @@ def test_mail_hosts_in_a_long_run_of_letters(spark):
     got = [r[0] for r in df.select(F.regexp_extract_all("html", F.lit(MAIL), F.lit(1))).collect()]
     assert time.time() - began < 20
     assert got == [[], ["host.example"], ["b.c", "d.e", "f.g", "p.q.r"], []]
+
+
+@pytest.mark.parametrize("block", [8_000_000, 300])
+def test_decontamination_judges_rows_of_one_doc_id_apart(spark, make, monkeypatch, block):
+    from rugosa.llm import contamination
+
+    monkeypatch.setattr(contamination, "BLOCK_CHARS", block)
+    a = " ".join(f"a{i}" for i in range(13))
+    b = " ".join(f"b{i}" for i in range(13))
+    bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    docs = [(1, a), (1, "x y z"), (None, "p " + a), (None, b + " q"), (2, f"- {a}; {b} -"), (3, None)]
+    rows = contamination.hits(make(docs), bench).collect()
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.items, [(s.start, s.end) for s in r.spans]) for r in rows)
+    want = [
+        ("1", 3, 0, [], []),
+        ("1", 13, 13, ["1"], [(0, len(a))]),
+        ("2", 26, 26, ["1", "2"], [(2, 4 + len(a) + len(b))]),
+        ("3", 0, 0, [], []),
+        ("None", 14, 13, ["1"], [(2, 2 + len(a))]),
+        ("None", 14, 13, ["2"], [(0, len(b))]),
+    ]
+    assert got == sorted(want)
+
+
+def test_near_duplicates_of_texts_that_share_a_doc_id(make):
+    from rugosa.llm.near_duplicates import near_duplicates
+
+    a, b = (" ".join(f"{p}{i}" for i in range(120)) for p in "ab")
+    docs = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, b + " z"), (5, "another text of its own altogether"), (1, a)]
+    rows = near_duplicates(make(docs)).collect()
+    assert len(rows) == len(docs)
+    assert {(r.doc_id, r.component_id, r.kept) for r in rows} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True)}
