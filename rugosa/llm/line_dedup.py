@@ -12,17 +12,21 @@
 4. Bands of ``ROWS`` bins are the keys under which classes meet; at a Jaccard
    similarity of 0.85 two lines share a band with a probability of 0.9995.
 5. In each key a representative is compared with all members, and those that do
-   not join it with all others; the exact Jaccard similarity of full shingle sets decides, and distributed
-   union-find joins the classes (see ``components.link_members``).
-6. Of all lines of a component the first one, by (doc_id, line number), stays.
+   not join it with all others. Counts of shingles per hash block bound what two
+   lines can share, so pairs that cannot be similar are not made and none that is
+   similar is lost; the exact Jaccard similarity of full shingle sets decides, and
+   distributed union-find joins the classes (see ``components.link_members``).
+6. Of all lines of a component the first one, by (doc_id, text hash, line number),
+   stays.
 
 The texts of candidate lines are found through a filter of fixed size
 (``FILTER_WORDS`` 64-bit words, whatever the corpus) that is broadcast; an exact
 semi-join follows.
 
 Defined results: null and empty texts have no lines to drop; a row with a null
-doc_id sorts first and is judged like others; rows that repeat a doc_id are one
-document; an empty table gives an empty result; extra columns stay as they are.
+doc_id sorts first and is judged like others; rows that repeat a doc_id and its
+text are one document, other texts under the same doc_id are documents of their
+own; an empty table gives an empty result; extra columns stay as they are.
 Two different lines with one 64-bit hash would count as equal (about one pair
 among 6 billion different lines).
 """
@@ -32,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rugosa.llm.common import free_name, quoted, store
+from rugosa.llm.common import free_name, quoted, release, store
 from rugosa.llm.components import link_members, packed, shared_members
 
 #: Bytes of a shingle.
@@ -45,21 +49,26 @@ SMALL = 96
 PER_WORD = 8
 #: Least similarity in hundredths.
 LEAST = 85
-#: Least agreement of signatures, in hundredths of the filled bins.
-AGREE = 52
+#: Hash blocks of the counts that bound how much two lines share.
+BLOCKS = 16
 #: Words of the filter of candidate lines (64 bits each, 2 MB in all).
 FILTER_WORDS = 1 << 17
 
 _SPAN = float(1 << 31)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells texts apart that share a doc_id."""
+    return F.xxhash64(text.cast("string"))
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, id (hash of the normalised line), line."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "raw")
-    )
+    """doc_id, text_hash, pos, id (hash of the normalised line), line."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(text).alias("text_hash"), text.alias("text"))
+    rows = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     line = F.lower(F.trim("raw", F.lit(" \t\x0b\x0c\r")))
-    return rows.select("doc_id", "pos", line.alias("line")).where("line <> ''").withColumn("id", F.xxhash64("line"))
+    return rows.select("doc_id", "text_hash", "pos", line.alias("line")).where("line <> ''").withColumn("id", F.xxhash64("line"))
 
 
 def signatures(found: DataFrame) -> DataFrame:
@@ -113,18 +122,14 @@ def _shingle_set(data: str) -> Column:
     )
 
 
-def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in more than AGREE of the bins that either
-    fills; at a similarity of 0.85 a pair falls short once in 30,000. Signatures of
-    fewer than 16 bins say too little and pass."""
-    names = [f"m{i}" for i in range(BINS)]
-    for side in "ab":
-        own = signed.select(F.col("id").alias(side), *[F.col(m).alias(side + m) for m in names])
-        pairs = pairs.join(own, side)
-    same = sum((F.when(F.col("a" + m) == F.col("b" + m), 1).otherwise(0) for m in names[1:]), F.when(F.col("am0") == F.col("bm0"), 1).otherwise(0))
-    filled = sum((F.when(F.coalesce("a" + m, "b" + m).isNotNull(), 1).otherwise(0) for m in names[1:]), F.when(F.coalesce("am0", "bm0").isNotNull(), 1).otherwise(0))
-    scored = pairs.select("a", "b", "ca", "cb", same.alias("same"), filled.alias("filled"))
-    return scored.where((F.col("filled") < 16) | (100 * F.col("same") > AGREE * F.col("filled"))).drop("same", "filled")
+def profile(texts: DataFrame) -> DataFrame:
+    """``id, size, w0, ...``: different shingles of each line, in all and per hash block."""
+    data = texts.select("id", F.col("line").cast("binary").alias("data"))
+    shingles = data.select("id", F.explode(_shingle_set("data")).alias("h"))
+    placed = shingles.select("id", F.pmod("h", F.lit(BLOCKS)).cast("int").alias("block"))
+    counts = [F.count(F.when(F.col("block") == i, 1)).alias(f"n{i}") for i in range(BLOCKS)]
+    counted = placed.groupBy("id").agg(F.count(F.lit(1)).alias("size"), *counts)
+    return counted.select("id", "size", *packed([F.col(f"n{i}") for i in range(BLOCKS)]))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
@@ -139,39 +144,43 @@ def confirmed(pairs: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFra
 
 def line_components(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``id, component`` of the classes that share a key with another."""
-    signed = store(signatures(lines(docs)), "line-signatures")
-    members = shared_members(band_keys(signed), "line")
+    members = shared_members(band_keys(signatures(lines(docs))), "line")
     ids = store(members.select("id").distinct(), "line-ids")
     texts = store(_texts(docs, ids), "line-texts")
-    signed = store(signed.join(ids, "id", "left_semi"), "line-signed")
-    profile = texts.select("id", F.col("line").cast("binary").alias("data")).select("id", F.size(_shingle_set("data")).alias("size"))
-    profile = store(profile.select("id", "size", *packed([F.col("size")])), "line-profile")
-    return link_members(members, profile, 1, least, lambda pairs: confirmed(alike(pairs, signed), texts, least), "line")
+    sized = store(profile(texts), "line-profile")
+    linked = link_members(members, sized, BLOCKS // 4, least, lambda pairs: confirmed(pairs, texts, least), "line")
+    for done in (members, ids, texts):
+        release(done)
+    return linked
 
 
 def dropped_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``doc_id, dropped``: sorted numbers (from 0) of the lines that go, for
-    documents that lose any."""
+    """``doc_id, text_hash, dropped``: sorted numbers (from 0) of the lines that go,
+    for documents that lose any."""
     linked = line_components(docs, least)
-    placed = lines(docs).select("doc_id", "pos", "id").join(linked, "id", "left")
-    placed = placed.select("doc_id", "pos", F.coalesce("component", "id").alias("component"))
+    line = F.struct("doc_id", "text_hash", "pos")
+    placed = lines(docs).select("doc_id", "text_hash", "pos", "id").join(linked, "id", "left")
+    placed = placed.select(line.alias("line"), F.coalesce("component", "id").alias("component"))
     firsts = (
         placed.groupBy("component")
-        .agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"))
+        .agg(F.min("line").alias("first"), F.max("line").alias("last"))
         .where("first <> last")
         .select("component", "first")
     )
-    gone = placed.join(firsts, "component").where(~F.equal_null(F.struct("doc_id", "pos"), F.col("first")))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    gone = placed.join(firsts, "component").where(~F.equal_null(F.col("line"), F.col("first"))).select("line.*")
+    return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
 def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_lines, n_kept and dropped (line numbers) of every document."""
-    gone = dropped_lines(docs, least).withColumnRenamed("doc_id", "_doc")
+    gone = dropped_lines(docs, least).toDF("_doc", "_hash", "dropped")
+    text = F.col("text").cast("string")
     sizes = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split(F.col("text").cast("string"), "\n")), F.lit(0)).alias("n_lines")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        text_hash(text).alias("text_hash"),
+        F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_lines"),
     )
-    out = sizes.join(gone, F.equal_null(F.col("doc_id"), F.col("_doc")), "left")
+    out = sizes.join(gone, F.equal_null(F.col("doc_id"), F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
     dropped = F.coalesce("dropped", F.expr("cast(array() as array<int>)"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size(dropped)).alias("n_kept"), dropped.alias("dropped"))
 
@@ -183,7 +192,7 @@ def without_repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     # other columns may have any name
     own = {c: F.col(f"d.{quoted(c)}") for c in docs.columns}
     new_text, dropped = free_name(docs, "text"), F.col("g.dropped")
-    joined = docs.alias("d").join(gone.alias("g"), F.equal_null(own["doc_id"].cast("long"), F.col("g.doc_id")), "left")
+    joined = docs.alias("d").join(gone.alias("g"), F.equal_null(own["doc_id"].cast("long"), F.col("g.doc_id")) & (text_hash(own["text"]) == F.col("g.text_hash")), "left")
     raw = F.split(own["text"], "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), dropped)
     text = F.when(dropped.isNull(), own["text"]).otherwise(F.array_join(F.transform(kept, lambda i: F.get(raw, i)), "\n"))
