@@ -10,20 +10,24 @@ neither digits nor letters. In UTF-8 that is a byte table, so the scan runs
 over bytes.
 
 The patterns of a benchmark beyond ``BLOCK_CHARS`` are dealt into blocks of
-items; documents are scanned once per block and the hit words of all blocks are
-united, so the size of the benchmark bounds neither driver nor task.
+items. Documents are then written once with a key for every row and scanned once
+per block; a block's rows are on the driver, and its broadcast alive, only while it
+is scanned. The hit words of a row are united by its key, so results do not depend
+on the number of blocks.
 
 Defined results: null or empty texts have no words and no hits; items without
-words have no window; an empty benchmark leaves every document clean; repeated
-rows are judged alike; extra columns are ignored.
+words have no window; an empty benchmark leaves every document clean; every row is
+judged by itself, also rows that share a doc_id or have none; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rugosa.llm.common import arrow_rows, id_text, store
@@ -39,7 +43,8 @@ _NORMAL = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256)
 )
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, words array<int>, spans array<struct<start:long,end:long>>"
+#: ``hits``: position, start and end of every hit word.
+SCHEMA = "row long, doc_id long, n_words long, items array<string>, hits array<struct<at:int,start:long,end:long>>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -89,11 +94,19 @@ class Scanner:
         return len(w), np.flatnonzero(np.cumsum(marks[:-1]) > 0), {i for _, (_, own) in found for i in own}
 
 
-def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
-    """Code-point spans of runs of hit words in the original text."""
-    at = [m.span() for m in _WORD.finditer(text)]
-    runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
-    return [(at[r[0]][0], at[r[-1]][1]) for r in runs if len(r)]
+def places(text: str, hit: np.ndarray) -> list[dict]:
+    """Position and code-point span of the hit words in the original text."""
+    wanted = set(hit.tolist())
+    found = enumerate(_WORD.finditer(text))
+    return [{"at": i, "start": m.start(), "end": m.end()} for i, m in found if i in wanted]
+
+
+def _spans(hits: Column) -> Column:
+    """Spans of runs of neighbouring words."""
+    at = lambda i: F.get(hits, i)["at"]
+    starts = F.filter(hits, lambda x, i: (i == 0) | (at(i - 1) != x["at"] - 1))
+    ends = F.filter(hits, lambda x, i: (i == F.size(hits) - 1) | (at(i + 1) != x["at"] + 1))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(s["start"].alias("start"), e["end"].alias("end")))
 
 
 def _blocks(benchmark: DataFrame) -> DataFrame:
@@ -112,6 +125,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     spark = docs.sparkSession
     blocked = store(_blocks(benchmark), "benchmark")
     blocks = [r[0] for r in blocked.select("_block").distinct().orderBy("_block").collect()] or [0]
+    keyed = id_text(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    if len(blocks) > 1:
+        keyed = store(keyed, "keyed-documents")  # the keys stay as they are
 
     def scan(block):
         # bounded by BLOCK_CHARS, see _blocks
@@ -123,36 +139,44 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
 
             def fn(part):
                 out = []
-                for d, text in part:
+                for row, d, text in part:
                     n, hit, items = scanner.scan(text)
-                    at = [{"start": a, "end": b} for a, b in spans(text, hit)] if len(hit) else []
-                    # positions travel only where blocks are united
-                    out.append((d, n, len(hit), len(items), sorted(items), hit.tolist() if len(blocks) > 1 else [], at))
+                    if not len(hit) and block != blocks[0]:
+                        continue  # the first block tells of every row
+                    out.append((row, d, n, sorted(items), places(text, hit) if len(hit) else []))
                 return out
 
             return fn
 
-        return arrow_rows(id_text(docs), SCHEMA, "doc_id n_words n_hit n_items items words spans".split(), make)
+        return arrow_rows(keyed, SCHEMA, "row doc_id n_words items hits".split(), make), shared
 
     if len(blocks) == 1:
-        out = scan(blocks[0])
+        out, _ = scan(blocks[0])
     else:
-        every = scan(blocks[0])
-        for block in blocks[1:]:
-            every = every.unionByName(scan(block))
+        parts = []
+        for block in blocks:
+            part, shared = scan(block)
+            parts.append(store(part, "block-hits"))
+            shared.destroy()
         out = (
-            every.groupBy("doc_id")
+            reduce(DataFrame.unionByName, parts)
+            .groupBy("row")
             .agg(
+                F.max("doc_id").alias("doc_id"),
                 F.max("n_words").alias("n_words"),
-                F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"),
                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
+                F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
             )
-            .withColumn("n_hit", F.size("words").cast("long"))
-            .withColumn("n_items", F.size("items").cast("long"))
         )
-    bad = (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items", "spans", bad.alias("contaminated"))
+    sized = out.select(
+        "doc_id",
+        "n_words",
+        F.size("hits").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        "items",
+        _spans(F.col("hits")).alias("spans"),
+    )
+    return sized.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
