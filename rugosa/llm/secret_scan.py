@@ -2,7 +2,7 @@
 
 Base spans come from three patterns (``assign``, ``access``, ``hex``). Further
 candidates are runs of at least ``MIN_RUN`` characters of secret alphabets
-outside base spans; one is a secret (kind ``random``) when its character
+outside base spans (a run that a base span cuts is judged piece by piece); one is a secret (kind ``random``) when its character
 transitions are likelier under a Markov model of random strings than under one
 of ordinary identifiers, by a log-likelihood ratio of at least ``THRESHOLD``.
 
@@ -158,13 +158,28 @@ def ratio(value: Column, ratios: list[float]) -> Column:
     )["sum"]
 
 
+def _outside(run: Column, base: Column) -> Column:
+    """The pieces of a run that no base span covers and that are long enough."""
+    over = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    starts = F.array_distinct(F.concat(F.array(run["start"]), F.transform(over, lambda b: b["end"])))
+    free = F.filter(starts, lambda x: (x < run["end"]) & ~F.exists(over, lambda b: (b["start"] <= x) & (x < b["end"])))
+
+    def piece(x: Column) -> Column:
+        next_ = F.array_min(F.transform(F.filter(over, lambda b: b["start"] >= x), lambda b: b["start"]))
+        end = F.least(run["end"], F.coalesce(next_, run["end"]))
+        value = run["value"].substr((x - run["start"] + 1).cast("int"), (end - x).cast("int"))
+        return F.struct(x.alias("start"), run["order"].alias("order"), run["kind"].alias("kind"), end.alias("end"), value.alias("value"))
+
+    pieces = F.filter(F.transform(free, piece), lambda p: p["end"] - p["start"] >= MIN_RUN)
+    return F.when(F.size(over) == 0, F.array(run)).otherwise(pieces)
+
+
 def scan(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, an array of spans per base kind, and ``random``, the method's."""
     rows = with_base(docs)
     rows = rows.withColumn("_run", _spans(F.col("text"), METHOD, len(PATTERNS), RUN, RUN, 0, MIN_RUN))
     base = F.concat(*[F.col(k) for k, *_ in PATTERNS])
-    fresh = F.filter("_run", lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    rows = rows.withColumn("_fresh", fresh)
+    rows = rows.withColumn("_fresh", F.flatten(F.transform("_run", lambda r: _outside(r, base))))
     # a number alone is no secret
     random = F.filter("_fresh", lambda r: r["value"].rlike("[A-Za-z]") & (ratio(r["value"], ratios) >= threshold))
     return rows.select("doc_id", *[k for k, *_ in PATTERNS], random.alias(METHOD))
