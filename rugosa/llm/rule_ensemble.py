@@ -33,8 +33,6 @@ from rugosa.llm.common import arrow_rows, store
 TRAIN_ROWS = 20_000
 TREES = 20
 DEPTH = 4
-#: Rules at most, the most often grown ones first (bound of the regression).
-MAX_RULES = 400
 #: Lasso penalty.
 LASSO = 0.002
 SEED = 7
@@ -168,7 +166,7 @@ def fit(labelled: DataFrame, max_rows: int = TRAIN_ROWS) -> RuleModel:
     for tree in forest.trees:
         for rule in tree_paths(tree.toDebugString):
             times[rule] = times.get(rule, 0) + 1
-    rules = sorted(times, key=lambda r: (-times[r], r))[:MAX_RULES]
+    rules = sorted(times, key=lambda r: (-times[r], r))  # TREES and DEPTH bound their number
     if not rules:  # no split helps: the share of label 1
         return RuleModel([], [], float(np.log(sizes.get(1, 0) / sizes.get(0, 1))))
     outcome = F.array(*[rule_column(r).cast("double") for r in rules])
