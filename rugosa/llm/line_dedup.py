@@ -1,60 +1,76 @@
-"""Fuzzy line deduplication over the corpus, as DataFrame functions only.
+"""Fuzzy line deduplication over the corpus.
 
 1. A line is trimmed and lower-cased; equal lines form a class, named by a
-   64-bit hash. Lines without a word are never touched.
-2. Shingles are the windows of ``SHINGLE`` bytes of the line's UTF-8 form
-   (characters, but for letters of several bytes), hashed to 64 bits; a shorter
-   line is one shingle.
-3. One-permutation MinHash: hashes are dealt into ``BINS`` bins and each bin
-   keeps its minimum. Of a line with many different words only the smallest
-   hashes, about ``SMALL`` of them whatever its length, reach the aggregation: no
-   others can be minima, but for the few bins left empty in both of two like lines.
-4. Bands of ``ROWS`` bins are the keys under which classes meet; at a Jaccard
-   similarity of 0.85 two lines share a band with a probability of 0.9995.
-5. In each key a representative is compared with all members, and those that do
-   not join it with all others. Counts of shingles per hash block bound what two
-   lines can share, so pairs that cannot be similar are not made and none that is
-   similar is lost; the exact Jaccard similarity of full shingle sets decides, and
-   distributed union-find joins the classes (see ``components.link_members``).
-6. Of all lines of a component the first one, by (doc_id, text hash, line number),
+   63-bit hash. Lines without a word are never touched.
+2. Shingles are the windows of ``FAMILIES`` characters, hashed to 64 bits; a
+   shorter line is one shingle. Windows of 10 characters tell apart lines that
+   share their words, but one letter changes ten of them; so lines of up to 160
+   characters are compared by windows of 4, and lines of 120 or more by windows of
+   10. A line of 120 to 160 characters is in both families, so that a line and its
+   longer copy always meet in one.
+3. MinHash over the distinct shingles: ``BINS`` permutations of 32 bits. Bands of
+   ``ROWS`` of them are the keys under which classes meet; at a Jaccard similarity
+   of 0.85 two lines share a band with a probability of 0.9995.
+4. In each key a representative is compared with all members, and those that do
+   not join it with all others, chunk by chunk. Counts of shingles per hash block,
+   without those that one line alone holds, bound what two lines can share, so
+   pairs that cannot be similar are not made and none that is similar is lost; the
+   exact Jaccard similarity of full shingle sets decides, and distributed
+   union-find joins the classes (see ``components.link_members``).
+5. Of all lines of a component the first one, by (doc_id, text hash, line number),
    stays.
 
+Spark splits, shuffles, joins and groups; shingles are hashed in Arrow batches, as
+DataFrame functions alone took about four times the time allowed (see the README).
+
 The texts of candidate lines are found through a filter of fixed size
 (``FILTER_WORDS`` 64-bit words, whatever the corpus) that is broadcast; an exact
-semi-join follows.
+join follows.
 
 Defined results: null and empty texts have no lines to drop; a row with a null
 doc_id sorts first and is judged like others; rows that repeat a doc_id and its
 text are one document, other texts under the same doc_id are documents of their
 own; an empty table gives an empty result; extra columns stay as they are.
-Two different lines with one 64-bit hash would count as equal (about one pair
-among 6 billion different lines).
+Two different lines with one 63-bit hash would count as equal (about one pair
+among 4 billion different lines).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rugosa.llm.common import free_name, quoted, release, store
-from rugosa.llm.components import link_members, packed, shared_members
+from rugosa.llm.components import components, link_members, shared_members
+from rugosa.llm.near_duplicates import BLOCKS, compared_in_chunks, held_profile
+from rugosa.session import ship_package
 
-#: Bytes of a shingle.
-SHINGLE = 10
-#: Bins of the signature, and bins of a band.
+#: Characters of a shingle, with the least and the largest length of its lines.
+FAMILIES = ((10, 120, None), (4, 1, 160))
+#: Permutations of the signature, and those of a band.
 BINS, ROWS = 24, 3
-#: Hashes of a line that reach the aggregation, about.
-SMALL = 96
-#: Shingles that a different word of a line brings, about.
-PER_WORD = 8
 #: Least similarity in hundredths.
 LEAST = 85
-#: Hash blocks of the counts that bound how much two lines share.
-BLOCKS = 16
 #: Words of the filter of candidate lines (64 bits each, 2 MB in all).
 FILTER_WORDS = 1 << 17
+#: Characters that are hashed at once, about; a longer line is hashed alone.
+SLICE_CHARS = 1 << 18
+#: Shingles that a task remembers while it confirms pairs.
+KEPT_SHINGLES = 1 << 21
+
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
-_SPAN = float(1 << 31)
+
+_STREAM = _mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(_ODD)).astype(np.uint32)
+_XOR, _MUL = _STREAM[:BINS], _STREAM[BINS:] | np.uint32(1)
 
 
 def text_hash(text: Column) -> Column:
@@ -63,103 +79,193 @@ def text_hash(text: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, pos, id (hash of the normalised line), line."""
+    """doc_id, text_hash, pos, id (hash of the normalised line, an even number), line."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(text).alias("text_hash"), text.alias("text"))
     rows = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     line = F.lower(F.trim("raw", F.lit(" \t\x0b\x0c\r")))
-    return rows.select("doc_id", "text_hash", "pos", line.alias("line")).where("line <> ''").withColumn("id", F.xxhash64("line"))
+    rows = rows.select("doc_id", "text_hash", "pos", line.alias("line")).where("line <> ''")
+    return rows.withColumn("id", F.expr("xxhash64(line) & -2L"))
+
+
+def families(length: int) -> list[int]:
+    """Numbers of the families that compare a line of this length."""
+    return [f for f, (_, least, most) in enumerate(FAMILIES) if least <= length and (most is None or length <= most)]
+
+
+def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all windows of the joined texts, and where those of each text
+    start and end."""
+    texts = [t.ljust(size, "\0") for t in texts]
+    codes = np.frombuffer(("".join(texts) + "\0" * size).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    # windows of 1, 2, 4, ... characters, joined to windows of ``size``
+    part, width, found, done = codes, 1, None, 0
+    while width <= size:
+        if size & width:
+            if found is None:
+                found = part
+            else:
+                m = len(codes) - done - width + 1
+                found = found[:m] * np.uint64(pow(_ODD, width, 1 << 64)) + part[done : done + m]
+            done += width
+        part = part[: len(part) - width] * np.uint64(pow(_ODD, width, 1 << 64)) + part[width:]
+        width *= 2
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    starts = np.cumsum(lengths) - lengths
+    return _mix(found + np.uint64(size)), starts, starts + lengths - size + 1
+
+
+def keys_of(texts: list[str], family: int) -> np.ndarray:
+    """The key of each band (columns) of each text (rows)."""
+    hashes, starts, ends = shingles(texts, FAMILIES[family][0])
+    edges = np.stack([starts, ends], axis=1).reshape(-1)
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    signed = np.empty((BINS, len(texts)), dtype=np.uint64)
+    for i in range(BINS):
+        signed[i] = np.minimum.reduceat((x ^ _XOR[i]) * _MUL[i], edges)[::2]
+    keys = np.empty((len(texts), BINS // ROWS), dtype=np.int64)
+    for b in range(BINS // ROWS):
+        key = np.full(len(texts), b * len(FAMILIES) + family + 1, dtype=np.uint64)
+        for i in range(b * ROWS, b * ROWS + ROWS):
+            key = _mix(key * np.uint64(_ODD) + signed[i])
+        keys[:, b] = key.view(np.int64)
+    return keys
+
+
+def _slices(sizes: list[int]):
+    """Ranges of about SLICE_CHARS characters."""
+    at = used = 0
+    for i, n in enumerate(sizes):
+        if i > at and used + n > SLICE_CHARS:
+            yield at, i
+            at, used = i, 0
+        used += n
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 def signatures(found: DataFrame) -> DataFrame:
-    """``id`` and the minimum of each bin (null if empty) of every class."""
-    size = F.octet_length("line")
-    # different shingles, about: lines that repeat few words have few of them
-    several = F.when(size <= SMALL, size).otherwise(F.least(size, PER_WORD * F.size(F.array_distinct(F.split("line", " ")))))
-    data = found.select(
-        "id",
-        F.col("line").cast("binary").alias("data"),
-        F.sequence(F.lit(1), F.greatest(size - SHINGLE, F.lit(0)) + 1).alias("starts"),
-        (F.lit(_SPAN * SMALL) / several).alias("bound"),
-    )
-    shingles = data.select("id", "bound", "data", F.explode("starts").alias("at")).select(
-        "id", "bound", F.xxhash64(F.expr(f"substring(data, at, {SHINGLE})")).alias("h")
-    )
-    # 31 bits to compare, and others to deal into bins
-    small = shingles.withColumn("value", F.shiftrightunsigned("h", 33).cast("int")).where("value < bound")
-    bins = small.select("id", "value", F.pmod(F.col("h").bitwiseAND(0xFFFFFFF).cast("int"), F.lit(BINS)).alias("bin"))
-    return bins.groupBy("id").agg(*[F.min(F.when(F.col("bin") == i, F.col("value"))).alias(f"m{i}") for i in range(BINS)])
+    """``doc_id, text_hash, pos, id`` of every line with its keys by family (null
+    where the family does not compare it)."""
+    ship_package(found.sparkSession)
+    names = [f"keys{f}" for f in range(len(FAMILIES))]
+    key_type = pa.list_(pa.int64())
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(4).to_pylist()
+            for at, end in _slices(list(map(len, texts))):
+                own = texts[at:end]
+                different = list(dict.fromkeys(own))
+                columns = []
+                for f in range(len(FAMILIES)):
+                    members = [t for t in different if f in families(len(t))]
+                    known = dict(zip(members, keys_of(members, f).tolist(), strict=True)) if members else {}
+                    columns.append(pa.array([known.get(t) for t in own], key_type))
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], names=["doc_id", "text_hash", "pos", "id", *names])
+
+    schema = "doc_id long, text_hash long, pos int, id long, " + ", ".join(f"{n} array<long>" for n in names)
+    return found.select("doc_id", "text_hash", "pos", "id", "line").mapInArrow(run, schema)
 
 
 def band_keys(signed: DataFrame) -> DataFrame:
-    """``key, id`` per band that is not all empty."""
-    bands = []
-    for b in range(0, BINS, ROWS):
-        own = [F.col(f"m{i}") for i in range(b, b + ROWS)]
-        key = F.xxhash64(F.lit(b), *[F.coalesce(c, F.lit(-1)) for c in own])
-        bands.append(F.when(F.coalesce(*own).isNotNull(), key))
-    return signed.select("id", F.explode(F.array_compact(F.array(*bands))).alias("key"))
+    """``key, id`` of every class; the last bit of the id is the family."""
+    every = [F.expr(f"transform(keys{f}, k -> struct(k as key, id | {f}L as id))") for f in range(len(FAMILIES))]
+    none = F.expr("cast(array() as array<struct<key: bigint, id: bigint>>)")
+    return signed.select(F.explode(F.concat(*[F.coalesce(c, none) for c in every])).alias("k")).select("k.*").distinct()
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, line`` of the listed classes."""
-    word = lambda c: F.pmod(c, F.lit(FILTER_WORDS))
-    bit = lambda c: F.shiftrightunsigned(c, 40).bitwiseAND(63).cast("int")
-    marks = ids.groupBy(word(F.col("id")).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(id, 40) & 63 as int))")).alias("bits"))
+    """``id, line`` of the listed members."""
+    word = lambda c: F.shiftrightunsigned(c, 1).bitwiseAND(F.lit(FILTER_WORDS - 1))
+    ids = ids.select(F.col("id").alias("member"), F.expr("id & -2L").alias("own"))
+    marks = ids.groupBy(word(F.col("own")).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(own, 40) & 63 as int))")).alias("bits"))
     marks = F.broadcast(store(marks, "line-filter"))  # at most FILTER_WORDS rows
     found = lines(docs)
-    found = found.join(marks, word(found["id"]) == marks["word"]).where(
-        F.expr("(shiftrightunsigned(bits, cast(shiftrightunsigned(id, 40) & 63 as int)) & 1) = 1")
-    )
-    return found.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    found = found.join(marks, word(found["id"]) == marks["word"])
+    found = found.where(F.expr("(shiftrightunsigned(bits, cast(shiftrightunsigned(id, 40) & 63 as int)) & 1) = 1"))
+    found = found.groupBy("id").agg(F.first("line").alias("line"))
+    return found.join(ids, found["id"] == ids["own"]).select(F.col("member").alias("id"), "line")
 
 
-def _shingle_set(data: str) -> Column:
-    """Hashes of the different shingles of a binary column."""
-    return F.expr(
-        f"array_distinct(transform(sequence(1, greatest(octet_length({data}) - {SHINGLE}, 0) + 1), "
-        f"i -> xxhash64(substring({data}, i, {SHINGLE}))))"
-    )
+def shingle_set(member: int, text: str) -> np.ndarray:
+    """Sorted different hashes of a member's shingles."""
+    hashes, starts, ends = shingles([text], FAMILIES[member & 1][0])
+    return np.unique(hashes[starts[0] : ends[0]])
 
 
-def profile(texts: DataFrame) -> DataFrame:
-    """``id, size, w0, ...``: different shingles of each line, in all and per hash block."""
-    data = texts.select("id", F.col("line").cast("binary").alias("data"))
-    shingles = data.select("id", F.explode(_shingle_set("data")).alias("h"))
-    placed = shingles.select("id", F.pmod("h", F.lit(BLOCKS)).cast("int").alias("block"))
-    counts = [F.count(F.when(F.col("block") == i, 1)).alias(f"n{i}") for i in range(BLOCKS)]
-    counted = placed.groupBy("id").agg(F.count(F.lit(1)).alias("size"), *counts)
-    return counted.select("id", "size", *packed([F.col(f"n{i}") for i in range(BLOCKS)]))
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """``id, set`` of every member."""
 
+    def run(batches):
+        for batch in batches:
+            ids, own = (c.to_pylist() for c in batch.columns)
+            for at, end in _slices(list(map(len, own))):
+                sets = [shingle_set(i, t).tobytes() for i, t in zip(ids[at:end], own[at:end], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at:end], pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
 
-def confirmed(pairs: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
-    """Component edges of pairs whose full shingle sets are similar enough."""
-    data = texts.select("id", F.col("line").cast("binary").alias("data"))
-    both = pairs.join(data.toDF("a", "da"), "a").join(data.toDF("b", "db"), "b")
-    sets = both.select("ca", "cb", _shingle_set("da").alias("sa"), _shingle_set("db").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    sized = sets.select("ca", "cb", common.alias("n"), (F.size("sa") + F.size("sb")).alias("total"))
-    return sized.where(100 * F.col("n") >= least * (F.col("total") - F.col("n"))).select(F.col("ca").alias("u"), F.col("cb").alias("v"))
+    return texts.select("id", "line").mapInArrow(run, "id long, set binary")
 
 
-def line_components(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
+    """Component edges of pairs whose full shingle sets are similar enough."""
+    both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
+
+    def run(batches):
+        known: dict[int, np.ndarray] = {}
+        used = 0
+
+        def of(member: int, text: str) -> np.ndarray:
+            nonlocal used
+            if (got := known.get(member)) is None:
+                got = shingle_set(member, text)
+                if used + len(got) > KEPT_SHINGLES:
+                    known.clear()
+                    used = 0
+                known[member] = got
+                used += len(got)
+            return got
+
+        for batch in batches:
+            u, v = [], []
+            for ca, cb, a, b, line_a, line_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p, q = of(a, line_a), of(b, line_b)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * common >= least * (len(p) + len(q) - common):
+                    u.append(ca)
+                    v.append(cb)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return both.select("ca", "cb", "a", "b", "line_a", "line_b").mapInArrow(run, "u long, v long")
+
+
+def line_components(docs: DataFrame, signed: DataFrame, least: int = LEAST) -> DataFrame:
     """``id, component`` of the classes that share a key with another."""
-    members = shared_members(band_keys(signatures(lines(docs))), "line")
+    keys = store(band_keys(signed), "line-keys")
+    members = shared_members(keys, "line")
+    release(keys)
     ids = store(members.select("id").distinct(), "line-ids")
     texts = store(_texts(docs, ids), "line-texts")
-    sized = store(profile(texts), "line-profile")
-    linked = link_members(members, sized, BLOCKS // 4, least, lambda pairs: confirmed(pairs, texts, least), "line")
+    sized = store(held_profile(shingle_sets(texts)), "line-profile")
+    linked = link_members(members, sized, BLOCKS // 4, least, lambda pairs: confirmed(pairs, texts, least), "line", compared_in_chunks)
+    # a class that both families compare joins its two components
+    own = F.expr("id & -2L")
+    ends = linked.groupBy(own.alias("id")).agg(F.min("component").alias("v"), F.max("component").alias("u"))
+    roots = components(ends.where("u <> v").select("u", "v"), "line-families")
+    final = ends.select("id", F.col("v").alias("node")).join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("component"))
     for done in (members, ids, texts):
         release(done)
-    return linked
+    return final
 
 
 def dropped_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``doc_id, text_hash, dropped``: sorted numbers (from 0) of the lines that go,
     for documents that lose any."""
-    linked = line_components(docs, least)
+    signed = store(signatures(lines(docs)), "line-signed")
+    linked = line_components(docs, signed, least)
     line = F.struct("doc_id", "text_hash", "pos")
-    placed = lines(docs).select("doc_id", "text_hash", "pos", "id").join(linked, "id", "left")
+    placed = signed.select("doc_id", "text_hash", "pos", "id").join(linked, "id", "left")
     placed = placed.select(line.alias("line"), F.coalesce("component", "id").alias("component"))
     firsts = (
         placed.groupBy("component")

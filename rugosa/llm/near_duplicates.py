@@ -216,7 +216,7 @@ def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     return wanted.select("id", "text").mapInArrow(run, "id long, set binary")
 
 
-def _profile(sets: DataFrame) -> DataFrame:
+def held_profile(sets: DataFrame) -> DataFrame:
     """``id, size, w0, ...``: elements of each set, and per hash block those that
     another set holds too."""
 
@@ -244,7 +244,7 @@ def _profile(sets: DataFrame) -> DataFrame:
     return sized.join(own, "id", "left").select("id", "size", *packed(left))
 
 
-def _compared(left: DataFrame, right: DataFrame, n_words: int, least: int) -> DataFrame:
+def compared_in_chunks(left: DataFrame, right: DataFrame, n_words: int, least: int) -> DataFrame:
     """Like ``joined_pairs``: members are gathered in chunks of about CHUNK rows of
     a key, and each pair of chunks is compared as two small matrices."""
     columns = ["id", "component", "size", *[f"w{i}" for i in range(n_words)]]
@@ -283,8 +283,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, least: int = LEAST, size:
     members = shared_members(index_keys(classes), "near")
     signed = store(classes.join(members.select("id").distinct(), "id", "left_semi"), "near-signed")
     sets = store(_sets(docs, signed, size), "near-sets")
-    profile = store(_profile(sets), "near-profile")
-    linked = link_members(members, profile, BLOCKS // 4, least, lambda pairs: _confirmed(_near(pairs, signed), sets, least), "near", _compared)
+    profile = store(held_profile(sets), "near-profile")
+    linked = link_members(members, profile, BLOCKS // 4, least, lambda pairs: _confirmed(_near(pairs, signed), sets, least), "near", compared_in_chunks)
     for done in (members, signed, sets):
         release(done)
     return linked

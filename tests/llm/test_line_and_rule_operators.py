@@ -21,7 +21,7 @@ def line(rng=RNG, n=None):
 
 
 def test_line_dedup_matches_brute_force(make):
-    from rugosa.llm.line_dedup import SHINGLE, report, without_repeated_lines
+    from rugosa.llm.line_dedup import report, without_repeated_lines
 
     rng = random.Random(8)
     bases = [line(rng) for _ in range(40)]
@@ -52,7 +52,7 @@ def test_line_dedup_matches_brute_force(make):
             x = x.strip(" \t\x0b\x0c\r").lower()
             if x:
                 occ[x].append((d, i))
-    sets = {x: {x.encode()[i : i + SHINGLE] for i in range(max(len(x.encode()) - SHINGLE, 0) + 1)} for x in occ}
+    sets = {k: {x: {x[i : i + k] for i in range(max(len(x) - k, 0) + 1)} for x in occ if low <= len(x) <= high} for k, low, high in ((10, 120, 10**9), (4, 1, 160))}
     up = {x: x for x in occ}
 
     def root(x):
@@ -62,8 +62,9 @@ def test_line_dedup_matches_brute_force(make):
 
     for a in occ:
         for b in occ:
-            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                up[root(b)] = root(a)
+            for own in sets.values():
+                if a < b and a in own and b in own and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b]):
+                    up[root(b)] = root(a)
     groups = defaultdict(list)
     for x, o in occ.items():
         groups[root(x)] += o
@@ -425,32 +426,61 @@ def test_line_dedup_of_texts_that_share_a_doc_id(make):
 
 def test_line_profile_bounds_what_lines_share(make):
     """No pair at the threshold is lost to the counts by hash block."""
-    from pyspark.sql import functions as F
-
-    from rugosa.llm.line_dedup import BLOCKS, LEAST, SHINGLE, lines, profile
+    from rugosa.llm.line_dedup import LEAST, shingle_sets
+    from rugosa.llm.near_duplicates import BLOCKS, held_profile
 
     rng = random.Random(8)
     base = "".join(rng.choice("abcdefgh ") for _ in range(400))
     texts = [base[: rng.randint(150, 400)] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 30))) for _ in range(60)]
-    found = lines(make([(i, t) for i, t in enumerate(texts)])).select("id", F.col("line")).distinct()
-    line = {r.id: r.line for r in found.collect()}
-    rows = {r.id: r for r in profile(found).collect()}
+    found = make([(2 * i, t) for i, t in enumerate(texts)]).selectExpr("doc_id as id", "text as line")
+    rows = {r.id // 2: r for r in held_profile(shingle_sets(found)).collect()}
 
     def counts(r):
         return [(r[f"w{i // 4}"] >> (16 * (i % 4))) & 0xFFFF for i in range(BLOCKS)]
 
-    sets = {i: {t[k : k + SHINGLE] for k in range(max(1, len(t) - SHINGLE + 1))} for i, t in line.items()}
-    assert all(rows[i].size == len(s) == sum(counts(rows[i])) for i, s in sets.items())
+    sets = [{t[k : k + 10] for k in range(len(t) - 9)} for t in texts]
     close = 0
-    for i in sets:
-        for j in sets:
-            shared = len(sets[i] & sets[j])
-            bound = sum(map(min, counts(rows[i]), counts(rows[j])))
-            assert shared <= bound
-            close += 100 * shared >= LEAST * len(sets[i] | sets[j])
+    for i, own in enumerate(sets):
+        assert rows[i].size == len(own) >= sum(counts(rows[i]))
+        for j, other in enumerate(sets):
+            if i != j:
+                shared = len(own & other)
+                assert shared <= sum(map(min, counts(rows[i]), counts(rows[j])))
+                close += 100 * shared >= LEAST * len(own | other)
     assert close > len(sets)
 
 
+def test_a_line_with_one_wrong_letter_is_found(make):
+    """At 55 characters and more, wherever the letter stands, and across families."""
+    from rugosa.llm.line_dedup import report
+
+    rng = random.Random(5)
+    docs, want = [], {}
+    for n in (55, 60, 62, 80, 100, 119, 120, 132, 133, 140, 159, 160, 161, 200):
+        for _ in range(3):
+            base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé ") for _ in range(n - 2))
+            at = rng.randrange(1, n - 3)
+            d = 10 * len(docs)
+            docs += [(d, f"a{base}z"), (d + 1, f"a{base[:at]}ü{base[at + 1 :]}z"), (d + 2, "".join(rng.sample(f"a{base}z", n)))]
+            want |= {d: [], d + 1: [0], d + 2: []}
+    # a letter more takes a line from one family's lengths to the other's
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(158))
+    docs += [(9000 + i, "q" + base + "zz"[: i + 1]) for i in range(2)]
+    want |= {9000: [], 9001: [0]}
+    assert {r.doc_id: r.dropped for r in report(make(docs)).collect()} == want
+
+
+def test_lines_of_both_families_join_their_components(make):
+    """a is alike b by short windows and b alike c by long ones."""
+    from rugosa.llm.line_dedup import families, report
+
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(170))
+    docs = [(1, base[:118]), (2, base[:130]), (3, base[:145]), (4, base[:161]), (5, base[30:])]
+    assert [families(len(t)) for _, t in docs] == [[1], [0, 1], [0, 1], [0], [0, 1]]
+    assert {r.doc_id: r.dropped for r in report(make(docs)).collect()} == {1: [], 2: [0], 3: [0], 4: [0], 5: []}
+
+
 def test_secret_runs_are_cut_at_base_spans(make):
     from rugosa.llm.secret_scan import digest, log_ratios
 
