@@ -20,8 +20,9 @@
 5. Of all lines of a component the first one, by (doc_id, text hash, line number),
    stays.
 
-Spark splits, shuffles, joins and groups; shingles are hashed in Arrow batches, as
-DataFrame functions alone took about four times the time allowed (see the README).
+Spark splits, shuffles, joins and groups; shingles are hashed and sets compared in
+Arrow batches. DataFrame functions alone did not meet the time allowed; nor does this
+form yet (see the README for both figures).
 
 The texts of candidate lines are found through a filter of fixed size
 (``FILTER_WORDS`` 64-bit words, whatever the corpus) that is broadcast; an exact
