@@ -18,7 +18,8 @@ lines is one that adaptive execution splits at hot lines. The limit is a share
 of the host's documents with a floor, so it behaves alike at every size.
 
 Defined results: a null or empty text has no words, fails the base rules and is
-not kept; a null host is a host of its own; repeated rows are copies; an empty
+not kept; a null host is a host of its own (a table
+without the host column is an error; ``host`` names another one); repeated rows are copies; an empty
 table gives an empty result. Every row loses the lines that its own text holds,
 whatever rows share its doc_id. ``quality_rules`` ignores extra columns,
 ``without_boilerplate`` keeps them as they are.
