@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rugosa.functions import features as feat
 from rugosa.operators.preprocess import engineered_np, poly_np
@@ -68,3 +69,25 @@ def test_poly_array_has_the_terms_in_order(spark):
         got = np.array([r["t"] for r in df.select("i", poly_array(F.col("x"), n, degree).alias("t")).orderBy("i").collect()])
         want = np.column_stack([np.prod(x[:, list(t)], axis=1) for t in poly_terms(n, degree)])
         assert got.shape == want.shape and np.allclose(got, want, rtol=1e-13)
+
+
+def test_poly_degree_sums_equal_the_array_form(spark):
+    """Bit for bit the terms of ``poly_array`` added in order, over more rows than a
+    block; a NULL input gives NULL sums, a NaN one NaN."""
+    from math import comb
+
+    rng = np.random.default_rng(8)
+    rows = [(i, *map(float, rng.normal(size=4))) for i in range(2 * feat.POLY_ROWS + 5)]
+    rows += [(len(rows), 1.0, None, 2.0, 3.0), (len(rows) + 1, 1.0, math.nan, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "i long, a double, b double, c double, d double").coalesce(1)
+    cols, degree = [F.col(c) for c in "abcd"], 3
+    out = df.select("*", feat.poly_array(F.array(*cols), 4, degree).alias("t"), feat.poly_degree_sums(cols, degree).alias("s"))
+    at, want = 1, []
+    for d in range(1, degree + 1):
+        size = comb(4 + d - 1, d)
+        want.append(F.aggregate(F.slice("t", at, size), F.lit(0.0), lambda a, b: a + b).alias(f"w{d}"))
+        at += size
+    for r in out.select(F.size("t").alias("n"), *want, "s").collect():
+        assert r["s"]["n_terms"] == r["n"] == at - 1
+        for d in range(1, degree + 1):
+            assert repr(r["s"][f"sum_d{d}"]) == repr(r[f"w{d}"])
