@@ -239,3 +239,26 @@ def test_degrees_share_one_preprocessing_fit(small):
         own = pp.fit_prep(summary, d)
         for name in ("med", "iqr", "lam", "mean", "sd", "live"):
             assert np.allclose(getattr(both[d], name), getattr(own, name)), (d, name)
+
+
+def test_running_sums_give_the_loss_of_every_row(monkeypatch):
+    """Repeated inputs: the loss of a candidate costs no pass over the rows, and equals
+    the sum row by row; inputs without repeats take the rows as they are."""
+    rng = np.random.default_rng(9)
+    counts = rng.integers(0, 90, 40)
+    iv = np.repeat(np.arange(40), counts)
+    yt = np.concatenate([np.sort(rng.normal(50.0, 1.0, k)) for k in counts])
+    pred = rng.normal(50.0, 1.0, (40, 4))
+    by_row = [kk._huber_eps(yt - pred[iv, j], 0.2, 0.1) for j in range(4)]
+    calls = []
+    monkeypatch.setattr(kk, "_huber_eps", lambda *a: calls.append(1))
+    for steep in (False, True):
+        loss, slope, curv = kk._SortedTargets(yt, iv, 40).sums(pred, 0.2, 0.1, steep)
+        assert np.allclose(loss, [b[0].sum() for b in by_row], rtol=1e-11)
+        assert np.allclose(slope, np.bincount(iv, weights=by_row[0][1], minlength=40), atol=1e-10)
+        want = by_row[0][2] + by_row[0][3] if steep else by_row[0][2]
+        assert np.allclose(curv, np.bincount(iv, weights=want, minlength=40), atol=1e-9)
+    assert not calls
+    monkeypatch.undo()
+    few = kk._SortedTargets(yt[:50], np.arange(50), 50)
+    assert np.allclose(few.sums(np.full((50, 1), 50.0), 0.2, 0.1, False)[0], kk._huber_eps(yt[:50] - 50.0, 0.2, 0.1)[0].sum())
