@@ -1,5 +1,7 @@
 """Permutation and importance tables."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -60,3 +62,44 @@ def test_group_normalize_table(spark):
     assert s["Vc"] == pytest.approx(0.2) and s["Fz"] == pytest.approx(0.3)
     t = imp.importance_table(imp.normalize_importance(g), ["m"]).collect()
     assert len(t) == 3
+
+
+def test_one_shuffle_gives_the_pairs_of_the_two_ranks(spark, monkeypatch):
+    """Chunks of ranks hold the receivers and donors that the join of exact ranks
+    pairs, over several chunks and pieces; NULL, NaN and -0.0 stay what they are, a row
+    without a key takes no part."""
+    monkeypatch.setattr(imp, "PACK_ROWS", 700)
+    rows = [(f"id{i}", float(i), [None, math.nan, -0.0, 0.25][i % 4], float(i % 7)) for i in range(9000)] + [(None, -1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, a double, b double, y double").repartition(3)
+    want = imp.permutation_pairs(df, "k", ["a", "b"], "y", 3).select("rep", "a", "b", "_pv.p0", "_pv.p1", "y")
+    got = imp.permutation_rows(df, "k", ["a", "b"], "y", 3).select("rep", "o0", "o1", "p0", "p1", "y")
+    plain = lambda d: sorted(repr(tuple(r)) for r in d.collect())
+    assert plain(got) == plain(want) and got.count() == 27000
+
+
+def test_rows_of_equal_inputs_share_an_evaluation(spark):
+    """A model is evaluated once for equal inputs and values over all repeats, and its
+    importances are those of a plain pass over the pairs."""
+    rows = [(f"id{i}", float(i % 5), float(i % 3), float(i % 11)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, a double, b double, y double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def predict(x):
+        return 2.0 * x[:, 0] + x[:, 1] * x[:, 1]
+
+    def swapped(x):
+        def run(j, at, values):
+            seen.add(len(at))
+            c = x[at]
+            c[:, j] = values
+            return predict(c)
+        return run
+
+    got = {r["feature"]: r for r in imp.model_permutation_importance(df, "k", ["a", "b"], "y", predict, "m", 4, swapped=swapped).collect()}
+    assert 0 < seen.value <= 15 * (5 + 3)
+    p = imp.permutation_pairs(df, "k", ["a", "b"], "y", 4).select("rep", "a", "b", "_pv.p0", "_pv.p1", "y").toPandas()
+    base = np.mean([(2 * a + b * b - y) ** 2 for _, a, b, y in rows])
+    for j, f in enumerate("ab"):
+        a, b = (p.p0, p.b) if j == 0 else (p.a, p.p1)
+        d = ((2 * a + b * b - p.y) ** 2).groupby(p.rep).mean() - base
+        assert got[f]["importance"] == pytest.approx(d.mean(), rel=1e-9) and got[f]["std"] == pytest.approx(d.std(ddof=0), rel=1e-6)
