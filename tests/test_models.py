@@ -262,3 +262,19 @@ def test_running_sums_give_the_loss_of_every_row(monkeypatch):
     monkeypatch.undo()
     few = kk._SortedTargets(yt[:50], np.arange(50), 50)
     assert np.allclose(few.sums(np.full((50, 1), 50.0), 0.2, 0.1, False)[0], kk._huber_eps(yt[:50] - 50.0, 0.2, 0.1)[0].sum())
+
+
+def test_a_swapped_input_is_predicted_from_its_terms_alone():
+    rng = np.random.default_rng(4)
+    eng = pp.engineered_np(rng.uniform(0.1, 2.0, (30, 3)))
+    width = len(pp.poly_terms(15, 2))
+    prep = pp.Prep(2, rng.normal(size=(1, width)), rng.uniform(0.5, 2, (1, width)), rng.uniform(-1, 3, (1, width)),
+                   rng.normal(size=(1, width)), rng.uniform(0.5, 2, (1, width)))
+    model = kk.SVRModel({2: prep}, pp.TargetPrep(np.ones(1), np.zeros(1), np.ones(1)), [kk.SVRSpec(gamma=0.01)], [(0, 0)],
+                        {2: rng.normal(size=(64, width))}, rng.uniform(0, 6, 64), rng.normal(size=(1, 65)), None, None, 0)
+    run = kk.svr_swapped_np(model, 0, 0, eng)
+    rows, values = rng.integers(0, 30, 50), rng.uniform(0.1, 2.0, 50)
+    for j in (0, 7, 14):
+        changed = eng[rows]
+        changed[:, j] = values
+        assert np.allclose(run(j, rows, values), kk.svr_predict_np(model, 0, 0, changed), rtol=1e-9)
