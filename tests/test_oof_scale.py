@@ -63,3 +63,11 @@ def test_folded_and_oof_tables_are_read_by_column(spark):
     plan = o.agg(F.avg("pred_svr"))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<pred_svr:double>" in plan
     assert f.count() == o.count() == 0 + spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def test_large_parts_of_one_interval_are_thinned_before_they_are_held(spark):
+    from rugosa.operators.quantiles import exact_quantiles
+
+    df = spark.range(60_000, numPartitions=2).select(F.expr("cast((id * 7919) % 60000 as double)").alias("v"))
+    got = exact_quantiles(df, ["v"], [0.0, 0.2, 0.5, 1.0])["v"]
+    np.testing.assert_allclose(got, np.quantile(np.arange(60_000.0), [0.0, 0.2, 0.5, 1.0]))
