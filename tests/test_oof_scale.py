@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rugosa.operators import preprocess as pp
 from rugosa.operators import scorers as sco
 
 COLS = "run_id string, Vc double, Fz double, ap double, t double, fold int"
@@ -65,6 +66,29 @@ def test_folded_and_oof_tables_are_read_by_column(spark):
     assert f.count() == o.count() == 0 + spark.read.parquet(f"{sf}/lineitem.parquet").count()
 
 
+def test_target_values_are_transformed_once_for_states_that_share_a_grid(spark, monkeypatch):
+    rows = [(float(v), i % 5) for i, v in enumerate(np.random.default_rng(1).gamma(2.0, size=300))]
+    df = spark.createDataFrame(rows, "t double, fold int")
+    cells = []
+    real = pp.yj_np
+
+    def counted(x, lam, *rest):
+        cells.append(np.broadcast(np.asarray(x), np.asarray(lam)).size)
+        return real(x, lam, *rest)
+
+    def local(frame, fn, *a, **k):
+        monkeypatch.setattr(pp, "yj_np", counted)
+        return fn(frame.toPandas())
+
+    monkeypatch.setattr(pp, "partial_sums", local)
+    got = pp.fit_target_prep(df, "t")
+    assert cells[0] == 300 * 33 and cells[2] < 6 * 300 * 17
+    y, fold = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for s in range(6):
+        t = real(y[fold != s], np.array(got.lam[s]))
+        assert abs(t.mean() - got.mean[s]) < 1e-9 and abs(t.std() - got.sd[s]) < 1e-9
+
+
 def test_large_parts_of_one_interval_are_thinned_before_they_are_held(spark):
     from rugosa.operators.quantiles import exact_quantiles
 
