@@ -95,3 +95,13 @@ def test_large_parts_of_one_interval_are_thinned_before_they_are_held(spark):
     df = spark.range(60_000, numPartitions=2).select(F.expr("cast((id * 7919) % 60000 as double)").alias("v"))
     got = exact_quantiles(df, ["v"], [0.0, 0.2, 0.5, 1.0])["v"]
     np.testing.assert_allclose(got, np.quantile(np.arange(60_000.0), [0.0, 0.2, 0.5, 1.0]))
+
+
+def test_fold_quantiles_read_inputs_and_counts_only(spark, monkeypatch):
+    from rugosa.operators import ranks
+
+    seen = []
+    monkeypatch.setattr(ranks, "weighted_quantiles", lambda df, *rest: seen.extend(df.columns) or np.zeros((6, 15, 3)))
+    names = [*pp.INPUTS, "y0", *[f"{c}{k}" for k in range(5) for c in ("n", "sy", "syy")]]
+    pp.robust_fold_stats(spark.range(1).select(*[F.lit(1.0).alias(c) for c in names]), 1)
+    assert seen == [*pp.INPUTS, "n0", "n1", "n2", "n3", "n4"]
