@@ -492,3 +492,19 @@ def test_secret_runs_are_cut_at_base_spans(make):
     assert got[0] == f"hex:0:40,random:40:{41 + len(key)}"
     assert got[1] == f"random:0:{len(key) + 1},hex:{len(key) + 1}:{len(key) + 41}"
     assert got[2] == "assign:0:21" and got[3] == f"random:4:{4 + len(key)}" and got[4] == ""
+
+
+def test_unrelated_lines_of_one_language_rarely_meet(make):
+    """Lines that share their syllables but no passage have no key in common, so that
+    the compared rows do not grow with the square of the corpus."""
+    from rugosa.llm.components import shared_members
+    from rugosa.llm.line_dedup import band_keys, lines, signatures
+
+    rng = random.Random(12)
+    texts = ["\n".join("".join(rng.choice(SYLLABLES[:12]) for _ in range(55)) for _ in range(30)) for _ in range(60)]
+    members = shared_members(band_keys(signatures(lines(make(list(enumerate(texts)))))), "rare")
+    assert members.select("id").distinct().count() < 90  # of 1,800 lines
+
+    # an equal line of a batch brings its keys once
+    twice = signatures(lines(make([(1, texts[0]), (2, texts[0])]).coalesce(1))).selectExpr("id", "size(keys1) as n").collect()
+    assert len(twice) == 60 and sum(r.n > 0 for r in twice) == len({r.id for r in twice}) == 30

@@ -326,3 +326,45 @@ def test_near_duplicates_of_texts_that_share_a_doc_id(make):
     rows = near_duplicates(make(docs)).collect()
     assert len(rows) == len(docs)
     assert {(r.doc_id, r.component_id, r.kept) for r in rows} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True)}
+
+
+def test_shared_members_are_listed_once(spark):
+    from rugosa.llm.components import shared_members
+
+    keys = spark.createDataFrame([(1, 10), (1, 10), (1, 12), (2, 10), (3, 14), (3, 14), (4, 9), (4, 8), (4, 9)], "key long, id long")
+    got = sorted(tuple(r) for r in shared_members(keys, "once").collect())
+    assert got == [(1, 10), (1, 12), (4, 8), (4, 9)]
+    assert shared_members(keys.limit(0), "once").collect() == []
+
+
+def test_filter_keeps_what_is_wanted_and_little_else(spark):
+    """Only rows that the exact join may need are shuffled with their texts."""
+    from rugosa.llm.common import possibly_among
+
+    rows = spark.range(20_000).selectExpr("id", "xxhash64(id) as h", "'x' as `_word`")
+    wanted = rows.where("id % 40 = 0").select("h")
+    got = possibly_among(rows.withColumnRenamed("_word", "word"), "h", wanted, "filter")
+    assert got.columns == ["id", "h", "word"]
+    ids = {r.id for r in got.collect()}
+    assert ids >= set(range(0, 20_000, 40)) and len(ids) < 600
+    assert possibly_among(rows.select("h"), "h", wanted.limit(0), "filter").count() == 0
+
+
+@pytest.mark.parametrize("counted", [1, 1 << 18])
+def test_profile_tells_elements_that_other_sets_hold(spark, monkeypatch, counted):
+    """Counts by block are of the elements that another set holds, also when hashes are
+    counted run by run first."""
+    import numpy as np
+
+    from rugosa.llm import near_duplicates as N
+
+    monkeypatch.setattr(N, "COUNTED", counted)
+    sets = {1: [5, -7, 1 << 60], 2: [5, 40], 3: [99], 4: [-7, 5, 41]}
+    made = lambda i, text: np.array(sorted(map(int, text.split())), dtype=np.int64).view(np.uint64)
+    table = spark.createDataFrame([(i, " ".join(map(str, s))) for i, s in sets.items()], "id long, set string").coalesce(1)
+    rows = {r.id: r for r in N.held_profile(table, made).collect()}
+    assert {i: rows[i].size for i in rows} == {i: len(s) for i, s in sets.items()}
+    for i, own in sets.items():
+        counts = [(rows[i][f"w{b // 4}"] >> (16 * (b % 4))) & 0xFFFF for b in range(N.BLOCKS)]
+        held = [x for x in own if any(x in s for j, s in sets.items() if j != i)]
+        assert counts == [sum(x % N.BLOCKS == b for x in held) for b in range(N.BLOCKS)]
