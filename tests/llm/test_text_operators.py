@@ -368,3 +368,50 @@ def test_profile_tells_elements_that_other_sets_hold(spark, monkeypatch, counted
         counts = [(rows[i][f"w{b // 4}"] >> (16 * (b % 4))) & 0xFFFF for b in range(N.BLOCKS)]
         held = [x for x in own if any(x in s for j, s in sets.items() if j != i)]
         assert counts == [sum(x % N.BLOCKS == b for x in held) for b in range(N.BLOCKS)]
+
+
+def test_remembered_values_are_looked_up_once_a_call():
+    """The work of Python itself follows the different keys of a call; and a worker of
+    op4 remembers 300,000 segments of eight letters through a change of generation."""
+    from rugosa.llm.common import Remembered
+    from rugosa.llm.token_files import CACHE_BYTES
+
+    asked = []
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *a):
+            Counted.looked += 1
+            return super().get(*a)
+
+    def learn(keys):
+        asked.extend(keys)
+        return [k.encode() for k in keys]
+
+    memory = Remembered(1 << 20)
+    memory.young, memory.old = Counted(), Counted()
+    long = "z" * 100
+    assert memory.values([["a", "b", long] * 1000, ["a"] * 1000], learn) == [[b"a", b"b", long.encode()] * 1000, [b"a"] * 1000]
+    assert Counted.looked <= 6 and asked == ["a", "b", long] and sorted(memory.young) == ["a", "b"]
+
+    memory, n = Remembered(CACHE_BYTES), 300_000
+    for at in range(0, n, 10_000):
+        memory.values([[f"{i:08d}" for i in range(at, at + 10_000)]], learn)
+    asked.clear()
+    memory.values([[f"{i:08d}" for i in range(100_000)]], learn)
+    assert not asked
+
+
+def test_text_slices_are_bounded_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from rugosa.llm.token_files import text_slices
+
+    texts = ["é" * 10, None, "", "a" * 50, "b" * 5, "c" * 5, "d" * 20, "", "e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"]).slice(0)
+    got = [p.column(1).to_pylist() for p in text_slices(batch, most=3, n_bytes=25)]
+    assert [t for p in got for t in p] == texts
+    assert got == [texts[:3], texts[3:4], texts[4:7], texts[7:]]
+    assert [p.column(0).to_pylist() for p in text_slices(batch.slice(4), most=2, n_bytes=1 << 20)] == [[4, 5], [6, 7], [8]]
+    assert list(text_slices(batch.slice(0, 0))) == []
