@@ -406,3 +406,89 @@ def test_text_slices_are_bounded_by_rows_and_bytes():
     assert got == [texts[:3], texts[3:4], texts[4:7], texts[7:]]
     assert [p.column(0).to_pylist() for p in text_slices(batch.slice(4), most=2, n_bytes=1 << 20)] == [[4, 5], [6, 7], [8]]
     assert list(text_slices(batch.slice(0, 0))) == []
+
+
+def test_pieces_of_short_segments_follow_the_agenda(monkeypatch):
+    """The list form of the agenda merges as the heap does, with ties and without."""
+    import random
+
+    from rugosa.llm import piece_bpe
+    from rugosa.llm.queries import tokenizer
+
+    model = piece_bpe.PieceBpe(tokenizer("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    texts = ["", "▁", "aaaaaaa", "▁中x\n\n,,,"] + ["".join(rng.choices("▁aethinoséÉ.,\n$", k=rng.randint(1, 40))) for _ in range(500)]
+    short = [model._merge_short(t) for t in texts]
+    model.order = tied = {p: round(o, -3) for p, o in model.order.items()}
+    short_tied = [model._merge_short(t) for t in texts]
+    monkeypatch.setattr(piece_bpe, "SHORT", -1)
+    assert short_tied == [model.merge(t) for t in texts] and len(set(tied.values())) < len(tied)
+    model = piece_bpe.PieceBpe(tokenizer("piece_bpe_32k.model"))
+    assert short == [model.merge(t) for t in texts]
+
+
+def test_words_are_learned_once_whatever_follows():
+    from rugosa.llm import piece_bpe, token_files
+    from rugosa.llm.queries import tokenizer
+
+    texts = ["so thinghe came", "so thinghe, came", "to thinghe.\nThe thinghe's <|endoftext|>x<|endoftext|> a_b é, 中. x̂,", "of thinghe$$$ (thinghe) they're, I²."]
+    pieces = piece_bpe.Encoder(tokenizer("piece_bpe_32k.model"), "texts")
+    merged, merge = [], pieces.model.merge
+    pieces.model.merge = lambda t: merged.append(t) or merge(t)
+    for t in texts:
+        assert pieces.encode([t])[0].tolist() == pieces.library.encode(t)
+    assert [t for t in merged if t.startswith("▁thinghe")] == ["▁thinghe"]
+
+    files = token_files.SegmentEncoder(tokenizer("byte_bpe_50k.json"))
+    asked, spaced = [], files.spaced
+    files.spaced = lambda keys: asked.extend(keys) or spaced(keys)
+    for t in texts:
+        assert files.encode([t], 2) == files.whole([t])
+    assert [k for k in asked if k.startswith("thinghe")] == ["thinghe"]
+
+
+def test_texts_cut_by_arrow_and_by_python_agree():
+    from rugosa.llm import piece_bpe, token_files
+
+    texts = ["a b c", "a", "", " a b", "a  b", "a▁b c", "é b 中 c", "a b "]
+    for own in ([t] for t in texts):
+        heads, later = token_files.cut_texts(own)
+        assert [heads[0], *later.to_pylist()[0]] == token_files.segments(own[0])
+        assert piece_bpe.cut_texts(own).to_pylist() == [piece_bpe.segments(own[0])]
+    assert piece_bpe.cut_texts(texts).to_pylist() == list(map(piece_bpe.segments, texts))
+    assert token_files.cut_texts([])[1].to_pylist() == [] and piece_bpe.cut_texts([]).to_pylist() == []
+
+
+def test_a_worker_frees_what_another_operator_left(make):
+    """The encoder of a worker does not outlive tasks that need none."""
+    from rugosa.llm import common
+    from rugosa.llm.piece_bpe import digest_documents
+    from rugosa.llm.queries import tokenizer
+
+    table = make([(i, "some words here") for i in range(8)])
+
+    def held():
+        return lambda part: [(len(common._kept),) for _ in part]
+
+    def left(keeps):
+        return {r[0] for r in common.arrow_rows(common.id_text(table), "n int", ["n"], held, keeps=keeps).collect()}
+
+    assert digest_documents(table, tokenizer("piece_bpe_32k.model")).count() == 8
+    left(True)
+    assert left(False) == {0}
+    common.worker_object(("a",), list)
+    assert common.worker_object(("a",), lambda: None) == [] and common.worker_object(("b",), dict) == {} and len(common._kept) == 1
+    common.drop_worker_object()
+    assert common._kept == {}
+
+
+def test_profile_rows_may_go_by_number(spark):
+    """Sets named by a number have the profile that they have by id."""
+    import numpy as np
+
+    from rugosa.llm import near_duplicates as N
+
+    sets = [range(10), range(5, 20), range(100, 130), [7], range(100, 130)]
+    rows = [(9**15 + i, np.array(s, dtype=np.int64).tobytes(), i) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "id long, set binary, number long")
+    assert sorted(map(tuple, N.held_profile(table).collect())) == sorted(map(tuple, N.held_profile(table.drop("number")).collect()))
