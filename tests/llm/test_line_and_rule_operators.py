@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 RNG = random.Random(11)
@@ -508,3 +509,55 @@ def test_unrelated_lines_of_one_language_rarely_meet(make):
     # an equal line of a batch brings its keys once
     twice = signatures(lines(make([(1, texts[0]), (2, texts[0])]).coalesce(1))).selectExpr("id", "size(keys1) as n").collect()
     assert len(twice) == 60 and sum(r.n > 0 for r in twice) == len({r.id for r in twice}) == 30
+
+
+def test_crowded_keys_are_linked_without_writing_pairs_down(make, spark, monkeypatch):
+    """Near copies of one line under one key: the edges link what brute force links, over
+    several chunks and a skewed main component, and are fewer than the members."""
+    import rugosa.llm.line_dedup as L
+    from rugosa.llm.components import CROWD
+
+    rng = random.Random(15)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(240)) for _ in range(3)]
+    texts = [base[i % 3][: 240 - rng.randint(0, 60)] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 40))) for i in range(150)]
+    texts.append("quite another line of the key")
+    sets = [{t[k : k + 10] for k in range(len(t) - 9)} for t in texts]
+    linked = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    main = {0} | {i for i in range(1, len(sets)) if (i, 0) in linked}
+    label = [0 if i in main else 2 * i for i in range(len(sets))]
+
+    def roots(edges):
+        up = {c: c for c in label}
+        for _ in label:
+            for u, v in edges:
+                up[u] = up[v] = min(up[u], up[v])
+        return up
+
+    want = roots([(label[i], label[j]) for i, j in linked])
+    assert len(set(want.values())) >= 3 and len(main) > 1
+    rows = [(k, 2 * i, label[i], 0, len(texts), sum(map(len, sets))) for k in (7, 8) for i in range(len(texts))]
+    placed = spark.createDataFrame(rows, "key long, id long, component long, main long, n long, total long")
+    lines = spark.createDataFrame([(2 * i, t) for i, t in enumerate(texts)], "id long, line string")
+    for members in (1024, 40):
+        monkeypatch.setattr(L, "CHUNK_MEMBERS", members)
+        edges = [tuple(r) for r in L.crowded_edges(placed, lines).collect()]
+        assert roots(edges) == want
+    # whole operator: as brute force over all lines, and few rows leave each comparison
+    monkeypatch.setattr(L, "CHUNK_MEMBERS", 1024)
+    assert len(L.crowded_edges(placed, lines).collect()) < 2 * len(texts) and len(texts) > CROWD
+    got = {r.doc_id: r.dropped for r in L.report(make([(i, t) for i, t in enumerate(texts)])).collect()}
+    every = roots([(label[i], label[j]) for i, j in linked])
+    firsts = {}
+    for i in range(len(texts)):
+        firsts.setdefault(every[label[i]], i)
+    assert got == {i: [] if firsts[every[label[i]]] == i else [0] for i in range(len(texts))}
+
+
+def test_counts_of_shared_shingles():
+    from rugosa.llm.line_dedup import shared_counts
+
+    rng = random.Random(3)
+    sets = [np.array(sorted(rng.sample(range(9000), rng.randint(1, 4000))), dtype=np.uint64) for _ in range(9)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]
+    assert shared_counts(sets[:4], sets[4:]).tolist() == want
+    assert shared_counts([sets[0]], [np.array([10**6], dtype=np.uint64)]).tolist() == [[0.0]]
