@@ -103,3 +103,65 @@ def test_rows_of_equal_inputs_share_an_evaluation(spark):
         a, b = (p.p0, p.b) if j == 0 else (p.a, p.p1)
         d = ((2 * a + b * b - p.y) ** 2).groupby(p.rep).mean() - base
         assert got[f]["importance"] == pytest.approx(d.mean(), rel=1e-9) and got[f]["std"] == pytest.approx(d.std(ddof=0), rel=1e-6)
+
+
+def test_large_tables_take_their_repeats_in_rounds(spark, monkeypatch):
+    """A few repeats at a time give what all at once give, and no shuffle holds more than
+    a round's: six bytes of a hash and two of a code for a row and repeat."""
+    rows = [(f"id{i}", float(i % 50), float(i % 11), float(i % 7)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k string, a double, b double, y double")
+    once = imp.model_permutation_importance(df, "k", ["a", "b"], "y", lambda x: x[:, 0] * x[:, 1], "m", 5).collect()
+    asked, plain = [], imp.aligned_chunks
+    monkeypatch.setattr(imp, "WHOLE_ROWS", 1000)
+    monkeypatch.setattr(imp, "aligned_chunks", lambda *a: asked.append(list(a[6])) or plain(*a))
+    parts = imp.model_permutation_importance(df, "k", ["a", "b"], "y", lambda x: x[:, 0] * x[:, 1], "m", 5).collect()
+    assert sum(asked, []) == [0, 1, 2, 3, 4] and max(map(len, asked)) <= imp.REPEATS_AT_ONCE
+    assert [r["feature"] for r in parts] == [r["feature"] for r in once]
+    for p, o in zip(parts, once):
+        assert p["importance"] == pytest.approx(o["importance"], rel=1e-12) and p["std"] == pytest.approx(o["std"], rel=1e-9)
+
+
+def test_rows_travel_in_few_bytes():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(0, n, 5000).astype(np.float64).view(np.uint64) for n in (50, 11, 9)] + [rng.normal(size=5000).view(np.uint64)]
+    code, data, values = imp._packed_columns(columns)
+    assert code.itemsize == 2 and values[3] is None and (data[3] == columns[3]).all()
+    for i in (2, 1, 0):
+        assert (values[i][code % len(values[i])] == columns[i]).all()
+        code = code // len(values[i])
+
+
+def test_equal_keys_are_ordered_by_values(spark, monkeypatch):
+    """Whatever is left of a hash, every repeat is a permutation, the same on any split."""
+    monkeypatch.setattr(imp, "KEY_BITS", 18)
+    rows = [(f"id{i}", float(i), float(i % 7)) for i in range(5000)]
+    got = []
+    for n in (1, 5):
+        df = spark.createDataFrame(rows, "k string, a double, y double").repartition(n)
+        got.append(sorted(map(tuple, imp.permutation_rows(df, "k", ["a"], "y", 2).select("rep", "o0", "p0", "y").collect())))
+    assert got[0] == got[1]
+    for r in range(2):
+        for i in (1, 2):
+            assert sorted(x[i] for x in got[0] if x[0] == r) == [float(i) for i in range(5000)]
+
+
+def test_predictions_are_remembered_over_chunks(monkeypatch):
+    asked = []
+
+    def score(x):
+        return lambda j, rows, values: asked.append(len(rows)) or x[rows, 1 - j] * 100 + values
+
+    known = imp._Scores(2)
+    for keep in (True, False):
+        for shift in (0, 0, 1):
+            x = np.array([[a + shift, b] for a in range(4) for b in range(3)], np.float64)
+            run = known.of(np.ascontiguousarray(x.T).view(np.uint64), x, score(x))
+            for j in range(2):
+                values = np.unique(x[:, j])
+                rows, which = (v.ravel() for v in np.meshgrid(np.arange(len(x)), np.arange(len(values))))
+                assert (run(j, rows, values, which) == x[rows, 1 - j] * 100 + values[which]).all()
+        every = 12 * 4 + 12 * 3
+        assert every < sum(asked) < 2 * every if keep else sum(asked) == 3 * every
+        asked.clear()
+        monkeypatch.setattr(imp, "KNOWN_CELLS", 1)
+        known = imp._Scores(2)
