@@ -281,3 +281,36 @@ def test_a_swapped_input_is_predicted_from_its_terms_alone():
         changed = eng[rows]
         changed[:, j] = values
         assert np.allclose(run(j, rows, values), kk.svr_predict_np(model, 0, 0, changed), rtol=1e-9)
+
+
+def test_curvature_above_linear_parts_takes_no_pass_over_the_rows(monkeypatch):
+    """Many rows of an input: cells of targets stand for them, far out and beside the
+    corner, on both sides, and give the sum over the rows."""
+    rng = np.random.default_rng(10)
+    counts = rng.integers(3000, 9000, 6)
+    iv = np.repeat(np.arange(6), counts)
+    yt = np.concatenate([np.sort(rng.normal(0.3 * i, [0.02, 0.1, 1.0][i % 3], k)) for i, k in enumerate(counts)])
+    targets = kk._SortedTargets(yt, iv, 6)
+    for pred in (np.zeros(6), rng.normal(0.5, 0.3, 6), np.full(6, 9.0), np.full(6, -9.0), 0.3 * np.arange(6) + 0.31):
+        _, _, curv, above = kk._huber_eps(yt - pred[iv], 0.2, 0.1)
+        got = targets.sums(pred[:, None], 0.2, 0.1, True)[2]
+        assert np.allclose(got, np.bincount(iv, weights=curv + above, minlength=6), rtol=1e-9, atol=1e-9)
+    assert targets.cells is not None and len(targets.cells[0]) < len(yt) / 16
+    assert len(targets.sums(np.zeros((6, 1)), 0.2, 0.1, False)[0]) == 1
+
+
+def test_trials_are_scored_by_input(spark):
+    """The pooled error of a study equals a plain pass over the rows."""
+    rng = np.random.default_rng(12)
+    x = rng.integers(1, 4, (400, 3)) / 2.0
+    y = x @ [1.0, 0.5, -0.2] + 5.0 + 0.1 * rng.normal(size=400)
+    fold = rng.integers(0, 5, 400)
+    df = spark.createDataFrame([(*map(float, r), float(v), int(f)) for r, v, f in zip(x, y, fold)], "Vc double, Fz double, ap double, y double, fold int")
+    width = len(pp.poly_terms(15, 1))
+    prep = pp.Prep(1, np.zeros((6, width)), np.ones((6, width)), np.ones((6, width)), np.zeros((6, width)), np.ones((6, width)))
+    tp = pp.TargetPrep(np.full(6, 1.0), np.full(6, 5.0), np.full(6, 0.7))
+    specs = [kk.SVRSpec(gamma=0.02, poly_degree=1), kk.SVRSpec(gamma=0.3, poly_degree=1)]
+    model = kk.SVRModel({1: prep}, tp, specs, [(t, s) for t in range(2) for s in range(5)], {1: rng.normal(size=(16, width))},
+                        rng.uniform(0, 6, 16), rng.normal(size=(10, 17)), None, None, 0)
+    want = [np.mean([(y[i] - kk.svr_predict_np(model, t, int(fold[i]), pp.engineered_np(x[i:i + 1]))[0]) ** 2 for i in range(400)]) for t in range(2)]
+    assert np.allclose(kk.pooled_trial_mse(df, svr=model, n_specs=2), want, rtol=1e-9)
