@@ -561,3 +561,15 @@ def test_counts_of_shared_shingles():
     want = [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]
     assert shared_counts(sets[:4], sets[4:]).tolist() == want
     assert shared_counts([sets[0]], [np.array([10**6], dtype=np.uint64)]).tolist() == [[0.0]]
+
+
+def test_what_a_worker_drops_goes_back_to_the_system(monkeypatch):
+    from rugosa.llm import common
+
+    released = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: released.append(1)})())
+    common.worker_object(("test",), dict)
+    common.drop_worker_object()
+    assert released == [1] and not common._kept
+    common.drop_worker_object()
+    assert released == [1]
